@@ -11,6 +11,7 @@ from .language_id import learn_languages, predict_languages
 from .packing import best_fit_pack
 from .sharding import extendible_shards
 from .simhash import near_duplicates
+from .substring_dedup import dedup_spans
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", f"{name}.*")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -94,6 +100,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
