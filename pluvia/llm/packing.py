@@ -26,6 +26,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,24 @@ from .common import slices, stored, texts
 #: something that may be a special token, are encoded whole.
 WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 
+#: Chunks of characters that have one lower-case form and are their own NFC form.
+SIMPLE = re.compile("[\x21-\u012f\u0131-\u024f]+")
+
+#: Fixed value: the pre-tokenizer's pattern, as in the tokenizer's file.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+
 #: Distinct chunks a worker remembers before it starts anew.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 _WORKER: dict[str, Any] = {}
 
@@ -57,8 +74,27 @@ class ChunkEncoder:
 
     def reset(self) -> None:
         self.code: dict[str, int] = {}
+        self.parts: dict[str, array] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
+    def learn(self, new: list[str]) -> None:
+        """Encodes chunks not seen before.
+
+        Latin chunks skip the normalizer and the pre-tokenizer, which take most of the tokenizer's time: lower-casing
+        and the pattern are applied here, and the model's merges to each part. All others are encoded as they are.
+        """
+        for c in new:
+            if SIMPLE.fullmatch(c):
+                for part in PARTS.findall(c.lower()):
+                    if (ids := self.parts.get(part)) is None:
+                        raw = "".join(map(BYTE_CHARS.__getitem__, part.encode()))
+                        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(raw)])
+                    self.ids.extend(ids)
+            else:
+                self.ids.extend(self.tokenizer.encode(c, add_special_tokens=False).ids)
+            self.code[c] = len(self.ends) - 1
+            self.ends.append(len(self.ids))
+
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
         if len(self.code) > REMEMBER or len(self.ids) > 20 * REMEMBER:
@@ -69,13 +105,7 @@ class ChunkEncoder:
             own = [" " + x] if WHOLE.search(x) else x.split()
             chunks += own
             counts.append(len(own))
-        new = [c for c in dict.fromkeys(chunks) if c not in code]
-        for begin in range(0, len(new), 10_000):
-            part = new[begin : begin + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                code[c] = len(self.ends) - 1
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
+        self.learn([c for c in dict.fromkeys(chunks) if c not in code])
         at = np.fromiter(map(code.__getitem__, chunks), np.int64, len(chunks))
         ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32), np.frombuffer(self.ends, np.int64)
         sizes = ends[at + 1] - ends[at]
@@ -99,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             raw = texts(batch)
             columns: list[list[int]] = [[], [], [], []]
             ends = [0]
-            for a, b in slices(raw):
+            for a, b in slices(raw, 1_000_000):
                 flat, stops = encoder.encode([x.decode() for x in raw[a:b]])
                 begin = 0
                 for stop in stops.tolist():
