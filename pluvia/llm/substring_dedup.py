@@ -1,7 +1,7 @@
 """Substring deduplication by sliding runs of sentences.
 
-Every run of ``run`` consecutive sentences with at least ``min_words`` words is hashed; equal runs meet in one
-global grouping; the first by (doc_id, text hash, place) stays, and every sentence that any later run covers
+From every sentence on, the run of consecutive sentences that has at least ``run`` sentences and ``min_words``
+words is hashed; equal runs meet in one global grouping; the first by (doc_id, text hash, place) stays, and every sentence that any later run covers
 is removed from its text.
 
 Two scans keep shuffles small. The first counts 64-bit run hashes. The second brings (128-bit hash, place) of
@@ -14,8 +14,8 @@ Sentences end after ``.``, ``!`` or ``?`` before white space, and at line ends.
 ``long_sentence`` words is cut behind words that a hash picks, wherever it stands, so that passages without
 punctuation have common parts too.
 
-Defined cases: null text stays null and has no sentence; texts with fewer than ``run`` sentences are one run,
-if they have ``min_words``; rows equal in doc_id and text share their decisions; runs repeat within a document
+Defined cases: null text stays null and has no sentence; a text with fewer than ``run`` sentences is one run,
+if it has ``min_words``; rows equal in doc_id and text share their decisions; runs repeat within a document
 as they do across; a null doc_id sorts first; empty tables work; other columns pass through.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ WORD = re.compile(rb"\S+")
 #: Bits of the bitmap over hashes; 4 MB whatever the corpus holds.
 BITMAP = 25
 
-_A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_B = np.array([0xC4CEB9FE1A85EC53, 0x87C37B91114253D5, 0x4CF5AD432745937F, 0x52DCE729DA3ED7B1, 0x38495AB5A3B1F6D3], np.uint64)
+#: Odd multipliers and their inverses modulo 2^64, of the two run hashes.
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
 
 
 def sentences(text: bytes, long_sentence: int) -> list[tuple[int, int, bytes, int]]:
@@ -64,20 +66,47 @@ def sentences(text: bytes, long_sentence: int) -> list[tuple[int, int, bytes, in
     return out
 
 
+def runs_of(sizes: list[int], run: int, min_words: int) -> list[tuple[int, int]]:
+    """(begin, end) of each run: from every sentence on, the fewest that are ``run`` sentences and ``min_words`` words.
+
+    One more run ends with the text: the shortest such. A text of fewer than ``run`` sentences is a run if it has the words.
+    """
+    n = len(sizes)
+    least = min(run, n)
+    total = [0, *accumulate(sizes)]
+    if not n or total[n] < min_words:
+        return []
+    out, end = [], 0
+    for begin in range(n):
+        end = max(end, begin + least)
+        while end <= n and total[end] - total[begin] < min_words:
+            end += 1
+        if end > n:
+            break
+        out.append((begin, end))
+    last = n - least
+    while total[n] - total[last] < min_words:
+        last -= 1
+    return out if (last, n) in out[-1:] else [*out, (last, n)]
+
+
 def run_hashes(found: list[tuple[int, int, bytes, int]], run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, second hash) of each run that is long enough."""
-    n = len(found) - min(run, len(found)) + 1 if found else 0
+    """(number of the run, hash, second hash) of each run."""
+    runs = np.array(runs_of([x[3] for x in found], run, min_words), np.int64).reshape(-1, 2)
+    if not len(runs):
+        return (np.empty(0, np.int64),) * 3
     own = np.fromiter((xxhash.xxh3_64_intdigest(x[2]) for x in found), np.uint64, len(found))
-    size = np.fromiter((x[3] for x in found), np.int64, len(found))
-    high, low, words = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for j in range(min(run, len(found))):
-        part = own[j : n + j]
-        part = (part ^ (part >> np.uint64(31))) * _A[j % 5] + np.uint64(j)
-        high = (high ^ part) * _B[j % 5] + (part >> np.uint64(29))
-        low = (low + part * _B[(j + 1) % 5]) * _A[(j + 2) % 5] ^ (part >> np.uint64(27))
-        words += size[j : n + j]
-    at = np.flatnonzero(words >= min_words)
-    return at, high[at], low[at]
+    begin, end = runs.T
+    out = []
+    for base, inverse in zip(_BASES, _INVERSES, strict=True):
+        down = np.full(len(own), inverse, np.uint64)
+        up = np.full(len(own), base, np.uint64)
+        down[0] = up[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * np.multiply.accumulate(down), dtype=np.uint64)])
+        h = (sums[end] - sums[begin]) * np.multiply.accumulate(up)[begin]  # the sum of hash * inverse^place, places from 0
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(29)))
+    return np.arange(len(runs)), out[0], out[1]
 
 
 def _runs_udf(run: int, min_words: int, long_sentence: int, bitmap=None):
@@ -116,7 +145,7 @@ def _bitmap(repeated: DataFrame) -> np.ndarray:
 
 
 def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """(doc_id, text_hash, places): for each text with repeats, where its non-first runs begin, in sentences."""
+    """(doc_id, text_hash, places): for each text with repeats, the numbers of its non-first runs."""
     count = docs.select(F.explode(_runs_udf(run, min_words, long_sentence)("text")).alias("r")).select(F.col("r.high").alias("high"))
     repeated = count.groupBy("high").agg(F.count("*").alias("n")).filter("n > 1").select("high")
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
@@ -127,14 +156,15 @@ def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     return later.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_set("at.place").alias("places"))
 
 
-def _cut_udf(run: int, long_sentence: int):
+def _cut_udf(run: int, min_words: int, long_sentence: int):
     @F.arrow_udf("struct<n_sentences:int,n_removed:int,text:string>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch, places in batches:
             total, removed, left = [], [], []
             for text, at in zip(batch.cast(pa.binary()).to_pylist(), places.to_pylist(), strict=True):
                 found = sentences(text or b"", long_sentence)
-                gone = {p + j for p in at or () for j in range(run) if p + j < len(found)}
+                runs = runs_of([x[3] for x in found], run, min_words) if at else ()
+                gone = {i for p in at or () for i in range(*runs[p])}
                 if gone:
                     begins = [*(x[0] for x in found), len(text)]
                     kept = [text[: begins[0]], *(text[begins[i] : begins[i + 1]] for i in range(len(found)) if i not in gone)]
@@ -154,7 +184,7 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, lon
         F.col("doc_id").alias(f"{name}id"), F.col("text_hash").alias(f"{name}hash"), F.col("places").alias(f"{name}places")
     )
     same = docs["doc_id"].eqNullSafe(F.col(f"{name}id")) & (F.xxhash64(docs["text"]) == F.col(f"{name}hash"))
-    out = docs.join(side, same, "left").withColumn(name, _cut_udf(run, long_sentence)("text", f"{name}places"))
+    out = docs.join(side, same, "left").withColumn(name, _cut_udf(run, min_words, long_sentence)("text", f"{name}places"))
     return out.select(*docs.columns, name), name
 
 
