@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_windows, read_back
 from .common import remainder, table
 from .decontaminate import find_contamination
+from .importance import resample
 from .language_id import learn_languages, predict_languages
+from .lm_score import learn, score
 from .packing import best_fit_pack
 from .sharding import extendible_shards
 from .simhash import near_duplicates
 from .substring_dedup import dedup_spans
+from .winnowing import compare_edited
+
+
+#: The text of both turns of the conversation that is added to the given ones.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,11 +28,39 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 10) == 0)
+    model, vocabulary = learn(docs.filter("NOT held_out"))
+    out, name = score(docs, model, vocabulary)
+    m = F.col(name)
+    return out.select(
+        "doc_id",
+        "held_out",
+        m["n_tokens"].alias("n_tokens"),
+        m["n_known"].alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        m["base_score"].alias("base_score"),
+        m["score"].alias("score"),
+        F.pow(F.lit(10.0), -m["score"] / m["n_tokens"]).alias("perplexity"),
+    )
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", f"{name}.*")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    turns = turns.unionByName(spark.createDataFrame(more, "conv_id bigint, turn bigint, role string, text string"))
+    return read_back(format_windows(turns, tokenizer_path("byte_bpe_50k.json")))
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -75,6 +111,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0")
+    return resample(table(spark, sf_dir, "documents"), good)
+
+
 def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", f"{name}.*")
@@ -100,10 +141,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op4_winnowing": op4_winnowing,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
+    "op8_importance_resampling": op8_importance_resampling,
     "op9_extendible_shards": op9_extendible_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
