@@ -1,4 +1,8 @@
 """All registered queries of the library, and SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import checks, descriptive, features, filters, joins, linking, models, scans, series, streams, verification  # noqa: F401
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
