@@ -1 +1,222 @@
+"""Event extraction and windows over hourly series."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.expressions import midpoint, seconds
+from ..operators import events, grid
+from .base import query
+
+
+@query("fill_gaps", """
+, months AS (SELECT DISTINCT cid, date_trunc('month', time) AS month FROM observed),
+calendar AS (SELECT cid, month, unnest(generate_series(CAST(month AS TIMESTAMP), CAST(last_day(month) AS TIMESTAMP) + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS time FROM months),
+joined AS (SELECT c.cid, c.month, c.time, o.precip, CASE WHEN o.precip IS NOT NULL THEN {'t': c.time, 'p': o.precip} END AS k FROM calendar c LEFT JOIN observed o ON o.cid = c.cid AND o.time = c.time),
+sided AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY cid, month ORDER BY time) AS a, last_value(k IGNORE NULLS) OVER (PARTITION BY cid, month ORDER BY time DESC) AS b FROM joined)
+SELECT cid, time, round(coalesce(precip, a.p + (b.p - a.p) * (epoch(time) - epoch(a.t)) / (epoch(b.t) - epoch(a.t)), 0.0) + 1e-9, 6) AS precip FROM sided""")
+def fill_gaps(d) -> DataFrame:
+    return grid.fill_gaps(d.observed).select("cid", "time", F.round(F.col("precip") + 1e-9, 6).alias("precip"))
+
+
+@query("dedup_times", """
+SELECT cid, time, value FROM (SELECT CAST(user_id + 1 AS INTEGER) AS cid, date_trunc('hour', ts) AS time, value, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def dedup_times(d) -> DataFrame:
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time")
+    rows = d.table("events").select((F.col("user_id") + 1).cast("int").alias("cid"), hour, "value", "ts", "event_id")
+    return grid.first_per_time(rows, F.col("ts"), F.col("event_id")).select("cid", "time", "value")
+
+
+@query("resample_sum", "SELECT cid, time_bucket(INTERVAL 6 HOUR, time, TIMESTAMP '2000-01-01') AS time, round(sum(precip), 3) AS precip FROM precip GROUP BY 1, 2")
+def resample_sum(d) -> DataFrame:
+    step = F.window("time", "6 hours")
+    return d.precip.groupBy("cid", step.alias("w")).agg(F.round(F.sum("precip"), 3).alias("precip")).select("cid", F.col("w.start").alias("time"), "precip")
+
+
+@query("coarsen_mean", """
+, placed AS (SELECT CAST(floor(x / 1000) AS BIGINT) AS i, CAST(floor(y / 1000) AS BIGINT) AS j, time, precip FROM precip),
+size AS (SELECT max(i) + 1 AS nx, max(j) + 1 AS ny FROM placed)
+SELECT i // 2 AS bx, j // 2 AS by, time, round(avg(precip) + 1e-9, 5) AS precip FROM placed, size WHERE i < (nx // 2) * 2 AND j < (ny // 2) * 2 GROUP BY 1, 2, 3""")
+def coarsen_mean(d) -> DataFrame:
+    return grid.block_mean(d.precip, 2).withColumn("precip", F.round(F.col("precip") + 1e-9, 5))
+
+
+SMOOTH = """
+, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells),
+around AS (SELECT c.cid, n.cid AS nbr, count(*) AS weight FROM cells c, box, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), cells n
+  WHERE n.x = least(greatest(c.x + 1000 * i, x0), x1) AND n.y = least(greatest(c.y + 1000 * j, y0), y1) GROUP BY c.cid, n.cid),
+smoothed AS (SELECT a.cid, time, sum(precip * weight) / sum(weight) AS precip FROM precip p JOIN around a ON a.nbr = p.cid GROUP BY a.cid, time)"""
+
+
+@query("smooth_3x3", SMOOTH + " SELECT cid, time, round(precip + 1e-9, 5) AS precip FROM smoothed")
+def smooth_3x3(d) -> DataFrame:
+    return grid.smooth(d.precip, d.cells).withColumn("precip", F.round(F.col("precip") + 1e-9, 5))
+
+
+@query("api", "SELECT cid, e_start, api FROM rain_events")
+def api(d) -> DataFrame:
+    return d.rain_events.select("cid", "e_start", "api")
+
+
+@query("sessionise", "SELECT cid, gid, time, precip FROM grouped")
+def sessionise(d) -> DataFrame:
+    return events.sessionise(d.precip).select("cid", "gid", "time", "precip")
+
+
+@query("i_max_date", "SELECT cid, e_start, i_max_date FROM sums")
+def i_max_date(d) -> DataFrame:
+    return events.event_sums(events.sessionise(d.precip)).select("cid", "e_start", "i_max_date")
+
+
+@query("events", "SELECT cid, e_start, e_end, duration, p_sum, i_max, i_mean, i_sd, api, i_max_date FROM rain_events")
+def all_events(d) -> DataFrame:
+    return d.rain_events.select("cid", "e_start", "e_end", "duration", "p_sum", "i_max", "i_mean", "i_sd", "api", "i_max_date")
+
+
+@query("event_quantiles", "SELECT cid, e_start, duration_q, p_sum_q, i_max_q, i_mean_q, i_sd_q, api_q FROM rain_events")
+def event_quantiles(d) -> DataFrame:
+    return d.rain_events.select("cid", "e_start", *[f"{c}_q" for c in events.RANKED])
+
+
+@query("event_ids", "SELECT eid, cid, e_start FROM rain_events")
+def event_ids(d) -> DataFrame:
+    return d.rain_events.select("eid", "cid", "e_start")
+
+
+@query("series_of_cell", SMOOTH + " SELECT cid, time, round(precip + 1e-9, 5) AS precip FROM smoothed WHERE cid IN (3, 7) AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09'")
+def series_of_cell(d) -> DataFrame:
+    """Mean series of 3 x 3 cells around two cells in a period; only their neighbours' hours are read on."""
+    around = grid.neighbours(d.cells).filter("cid IN (3, 7)")
+    hours = d.precip.filter("time BETWEEN TIMESTAMP_NTZ'2024-01-05' AND TIMESTAMP_NTZ'2024-01-09'")
+    rows = hours.select(F.col("cid").alias("nbr_cid"), "time", "precip").join(F.broadcast(around), "nbr_cid")  # 18 rows
+    mean = F.sum(F.col("precip") * F.col("weight")) / F.sum("weight")
+    return rows.groupBy("cid", "time").agg(F.round(mean + 1e-9, 5).alias("precip"))
+
+
+@query("precip_at_claims", """
+, pct AS (SELECT cid, time, precip, (rank() OVER (PARTITION BY cid ORDER BY precip) + (count(*) OVER (PARTITION BY cid, precip) - 1) / 2.0) / count(*) OVER (PARTITION BY cid) AS q FROM precip),
+near AS (SELECT c.date_claim, c.cid, p.time, p.precip, p.q,
+    sum(p.precip) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s6, sum(p.precip) OVER (w ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS s12,
+    sum(p.precip) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS s24, row_number() OVER w AS rn
+  FROM claims c JOIN pct p ON p.cid = c.cid AND p.time BETWEEN c.date_claim - INTERVAL 2 DAY AND c.date_claim + INTERVAL 3 DAY WINDOW w AS (PARTITION BY c.date_claim, c.cid ORDER BY p.time))
+SELECT date_claim, cid, max(precip) AS precip_max, round(max(q), 6) AS quantile_max,
+  CASE WHEN max(precip) > 0 THEN date_diff('hour', date_claim + INTERVAL 12 HOUR, arg_min(time, {'a': -precip, 'b': time})) END AS dt_max,
+  round(max(s6) FILTER (rn >= 6), 3) AS max_6h, round(max(s12) FILTER (rn >= 12), 3) AS max_12h, round(max(s24) FILTER (rn >= 24), 3) AS max_24h
+FROM near GROUP BY date_claim, cid""")
+def precip_at_claims(d) -> DataFrame:
+    """Around each claim: largest precipitation, its rank in the cell's whole series, its distance from the middle, and largest rolling sums."""
+    from ..functions.expressions import percentile_rank
+
+    ranked = d.precip.select("cid", "time", "precip").withColumn("q", percentile_rank("precip", "cid"))
+    claims = d.claims.select("date_claim", "cid", F.explode(F.sequence(F.date_sub("date_claim", 2), F.date_add("date_claim", 3), F.expr("INTERVAL 1 DAY"))).alias("day"))
+    met = claims.join(ranked.withColumn("day", F.to_date("time")), ["cid", "day"]).filter(F.col("time") <= F.date_add("date_claim", 3).cast("timestamp_ntz"))
+    by_time = Window.partitionBy("date_claim", "cid").orderBy("time")
+    rolling = {f"s{k}": F.when(F.row_number().over(by_time) >= k, F.sum("precip").over(by_time.rowsBetween(1 - k, 0))) for k in (6, 12, 24)}
+    first = F.min_by("time", F.struct(-F.col("precip"), F.col("time")))
+    offset = (seconds(first) - seconds(F.col("date_claim").cast("timestamp_ntz"))) / 3600 - 12
+    return met.withColumns(rolling).groupBy("date_claim", "cid").agg(
+        F.max("precip").alias("precip_max"), F.round(F.max("q"), 6).alias("quantile_max"), F.when(F.max("precip") > 0, offset.cast("long")).alias("dt_max"),
+        *[F.round(F.max(f"s{k}"), 3).alias(f"max_{k}h") for k in (6, 12, 24)],
+    )
+
+
+def cubes(d, half: int = 1, days_before: int = 2, days_after: int = 1, step: int = 6) -> DataFrame:
+    """Per event with a claim: values of a square of cells over time, flattened by row, column and time.
+
+    Places outside the grid and missing steps are 0; a sample that misses more than a tenth of its steps is all 0.
+    """
+    samples = d.targets.filter("target = 1").select("eid", "x", "y", F.col("i_max_date").alias("ref")).distinct()
+    on_step = F.timestamp_seconds(F.bround(seconds(F.col("ref")) / (3600.0 * step), 0).cast("long") * 3600 * step).cast("timestamp_ntz")
+    samples = samples.withColumn("ref", on_step)
+    hours = F.sequence(F.expr(f"ref - INTERVAL {days_before} DAYS"), F.expr(f"ref + INTERVAL {days_after} DAYS"), F.expr(f"INTERVAL {step} HOURS"))
+    square = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    places = samples.select("eid", "x", "y", F.posexplode(hours).alias("t", "time")).select("*", square.alias("row")).select("*", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("col"))
+    places = places.select("eid", "t", "row", "col", "time", (F.col("x") + 1000 * F.col("col")).alias("x"), (F.col("y") + 1000 * F.col("row")).alias("y"))
+    sums = d.precip.groupBy("x", "y", F.window("time", f"{step} hours").alias("w")).agg(F.sum("precip").alias("p")).select("x", "y", F.col("w.start").alias("time"), "p")
+    steps = (days_before + days_after) * 24 // step + 1
+    seen = d.precip.select(F.window("time", f"{step} hours").start.alias("time")).distinct()
+    full = places.join(sums, ["x", "y", "time"], "left").join(F.broadcast(seen.withColumn("there", F.lit(1))), "time", "left")
+    value = F.struct("row", "col", "t", F.coalesce("p", F.lit(0.0)).alias("p"))
+    out = full.groupBy("eid").agg(F.array_sort(F.collect_list(value)).alias("v"), (F.countDistinct("t") - F.countDistinct(F.when(F.col("there") == 1, F.col("t")))).alias("missing"))
+    flat = F.transform("v", lambda s: s["p"])
+    return out.select("eid", F.when(F.col("missing") > 0.1 * steps, F.transform(flat, lambda _: F.lit(0.0))).otherwise(flat).alias("cube"))
+
+
+@query("sample_cubes", """
+, samples AS (SELECT DISTINCT eid, x, y, to_timestamp(CAST(round_even(epoch(i_max_date) / 21600.0, 0) * 21600 AS BIGINT)) AT TIME ZONE 'UTC' AS ref FROM targets WHERE target = 1),
+steps AS (SELECT eid, x, y, unnest(generate_series(ref - INTERVAL 2 DAY, ref + INTERVAL 1 DAY, INTERVAL 6 HOUR)) AS time FROM samples),
+sums6 AS (SELECT x, y, time_bucket(INTERVAL 6 HOUR, time, TIMESTAMP '2000-01-01') AS time, sum(precip) AS p FROM precip GROUP BY 1, 2, 3),
+cubed AS (SELECT s.eid, count(*) FILTER (NOT EXISTS (SELECT 1 FROM sums6 q WHERE q.time = s.time)) AS missing FROM steps s GROUP BY s.eid),
+totals AS (SELECT s.eid, sum(p) AS total FROM steps s JOIN sums6 q ON q.time = s.time AND abs(q.x - s.x) <= 1000 AND abs(q.y - s.y) <= 1000 GROUP BY s.eid)
+SELECT eid, 117 AS n, CASE WHEN missing > 1.3 THEN 0.0 ELSE round(coalesce(total, 0), 3) END AS total FROM cubed LEFT JOIN totals USING (eid)""")
+def sample_cubes(d) -> DataFrame:
+    total = F.aggregate("cube", F.lit(0.0), lambda a, x: a + x)
+    return cubes(d).select("eid", F.size("cube").alias("n"), F.round(total, 3).alias("total"))
+
+
+def sample_series(d, days_before: int = 3, days_after: int = 1, daily: int = 10) -> DataFrame:
+    """Per event with a claim: hourly values around it, and sums of the days before those; missing ones are 0."""
+    samples = d.targets.filter("target = 1").select("eid", "cid", F.col("i_max_date").alias("ref")).distinct()
+    hours = F.sequence(F.expr(f"ref - INTERVAL {days_before} DAYS"), F.expr(f"ref + INTERVAL {days_after} DAYS"), F.expr("INTERVAL 1 HOUR"))
+    last = F.date_sub(F.to_date("ref"), days_before + 1)
+    days = F.sequence(F.date_sub(last, daily - 1), last, F.expr("INTERVAL 1 DAY"))
+    pick = lambda rows, time, value: rows.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct(time, F.coalesce(value, F.lit(0.0)).alias("p")))), lambda s: s["p"]).alias("v"))
+    fine = samples.select("eid", "cid", F.explode(hours).alias("time")).join(d.precip.select("cid", "time", "precip"), ["cid", "time"], "left")
+    per_day = d.precip.groupBy("cid", F.to_date("time").alias("day")).agg(F.sum("precip").alias("precip"))
+    coarse = samples.select("eid", "cid", F.explode(days).alias("day")).join(per_day, ["cid", "day"], "left")
+    return pick(fine, "time", "precip").withColumnRenamed("v", "hf").join(pick(coarse, "day", "precip").withColumnRenamed("v", "daily"), "eid")
+
+
+@query("sample_series", """
+, samples AS (SELECT DISTINCT eid, cid, i_max_date AS ref FROM targets WHERE target = 1),
+hf AS (SELECT eid, 'hf' AS part, date_diff('hour', ref - INTERVAL 3 DAY, time) AS i, time, cid FROM (SELECT *, unnest(generate_series(ref - INTERVAL 3 DAY, ref + INTERVAL 1 DAY, INTERVAL 1 HOUR)) AS time FROM samples)),
+dl AS (SELECT eid, 'daily' AS part, i, CAST(ref AS DATE) - 13 + CAST(i AS INTEGER) AS day, cid FROM (SELECT *, unnest(range(10)) AS i FROM samples)),
+days AS (SELECT cid, CAST(time AS DATE) AS day, sum(precip) AS precip FROM precip GROUP BY 1, 2)
+SELECT eid, part, CAST(i AS INTEGER) AS i, round(coalesce(p.precip, 0.0), 3) AS p FROM hf LEFT JOIN precip p USING (cid, time)
+UNION ALL SELECT eid, part, CAST(i AS INTEGER), round(coalesce(p.precip, 0.0), 3) FROM dl LEFT JOIN days p USING (cid, day)""")
+def sample_series_rows(d) -> DataFrame:
+    rows = sample_series(d)
+    part = lambda name: rows.select("eid", F.lit(name).alias("part"), F.posexplode(name).alias("i", "p"))
+    return part("hf").unionByName(part("daily")).withColumn("p", F.round("p", 3))
+
+
+@query("pixel_mean_std", "SELECT cid, round(avg(precip) + 1e-9, 6) AS mean, round(stddev_pop(precip) + 1e-9, 6) AS sd FROM precip GROUP BY cid")
+def pixel_mean_std(d) -> DataFrame:
+    return d.precip.groupBy("cid").agg(F.round(F.avg("precip") + 1e-9, 6).alias("mean"), F.round(F.stddev_pop("precip") + 1e-9, 6).alias("sd"))
+
+
+@query("pixel_quantile", "SELECT cid, round(quantile_cont(precip, 0.99), 6) AS q99 FROM precip GROUP BY cid")
+def pixel_quantile(d) -> DataFrame:
+    return d.precip.groupBy("cid").agg(F.round(F.percentile("precip", F.lit(0.99)), 6).alias("q99"))
+
+
+@query("standardise_precip", """
+, stats AS (SELECT cid, avg(precip) AS mean, stddev_pop(precip) AS sd FROM precip GROUP BY cid)
+SELECT cid, time, round((precip - mean) / sd, 5) AS precip FROM precip JOIN stats USING (cid) WHERE sd > 0 AND precip > 0""")
+def standardise_precip(d) -> DataFrame:
+    """Rainy hours in units of the cell's standard deviation; a cell that is always dry has none."""
+    stats = d.precip.groupBy("cid").agg(F.avg("precip").alias("mean"), F.stddev_pop("precip").alias("sd")).filter("sd > 0")
+    return d.precip.filter("precip > 0").join(stats, "cid").select("cid", "time", F.round((F.col("precip") - F.col("mean")) / F.col("sd"), 5).alias("precip"))
+
+
+@query("normalise_precip", """
+, q AS (SELECT cid, quantile_cont(precip, 0.99) AS q99 FROM precip GROUP BY cid), low AS (SELECT date_trunc('month', time) AS month, min(precip) AS low FROM precip GROUP BY 1)
+SELECT cid, time, round((precip - low) / (q99 - low), 5) AS precip FROM precip JOIN q USING (cid) JOIN low ON month = date_trunc('month', time) WHERE q99 > low AND precip > 0""")
+def normalise_precip(d) -> DataFrame:
+    """Between the month's smallest value in the whole grid and the cell's 99 % quantile."""
+    q99 = d.precip.groupBy("cid").agg(F.percentile("precip", F.lit(0.99)).alias("q99"))
+    low = d.precip.groupBy(F.trunc("time", "month").alias("month")).agg(F.min("precip").alias("low"))
+    rows = d.precip.filter("precip > 0").withColumn("month", F.trunc("time", "month")).join(F.broadcast(low), "month").join(q99, "cid").filter("q99 > low")
+    return rows.select("cid", "time", F.round((F.col("precip") - F.col("low")) / (F.col("q99") - F.col("low")), 5).alias("precip"))
+
+
+@query("days_to_event", """
+SELECT date_claim, l.cid, l.eid, CAST(floor((epoch(e_start) - epoch(CAST(date_claim AS TIMESTAMP))) / 86400) AS BIGINT) AS dt_start,
+  CAST(floor(((epoch(e_start) + epoch(e_end)) // 2 - epoch(CAST(date_claim AS TIMESTAMP))) / 86400) AS BIGINT) AS dt_center FROM linked l JOIN rain_events e USING (eid)""")
+def days_to_event(d) -> DataFrame:
+    side = d.rain_events.select("eid", "e_start", "e_end")
+    day = seconds(F.col("date_claim").cast("timestamp_ntz"))
+    days = lambda t: F.floor((seconds(t) - day) / 86400)
+    rows = d.linked.join(side, "eid")
+    return rows.select("date_claim", "cid", "eid", days(F.col("e_start")).alias("dt_start"), days(midpoint(F.col("e_start"), F.col("e_end"))).alias("dt_center"))
