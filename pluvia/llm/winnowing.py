@@ -120,12 +120,14 @@ def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     following, repeated = successors(texts)
-    side = texts.withColumnRenamed("doc_id", "next_id").join(following, "next_id")
+    known = texts.filter("doc_id IS NOT NULL")  # the same rows on both sides of the joins: their texts are shuffled once
+    side = known.join(following.withColumnRenamed("doc_id", "before_id"), F.col("doc_id") == F.col("next_id"))
     side = with_fingerprint(side, "text", "chosen", k, w)
-    side = side.select("doc_id", F.expr("substring(text, 1, m)").alias("head"), hashes(F.col("chosen")).alias("next_hashes"))
+    side = side.select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, m)").alias("head"), hashes(F.col("chosen")).alias("next_hashes"))
     if repeated:
         side = side.groupBy("doc_id").agg(F.min(F.struct("head", "next_hashes")).alias("s")).select("doc_id", "s.*")
-    rows = texts.join(side, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
+    alone = texts.filter("doc_id IS NULL").select("*", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<int>").alias("next_hashes"))
+    rows = known.join(side, "doc_id", "left").unionByName(alone).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), coalesce(substring(head, 1, int(n_chars div 4)), ''))"))
     rows = with_fingerprint(with_fingerprint(rows, "text", "chosen", k, w), "edited", "edited_chosen", k, w)
     rows = rows.withColumns({"own": hashes(F.col("chosen")), "other": hashes(F.col("edited_chosen")), "next": F.coalesce("next_hashes", F.array().cast("array<int>"))})
