@@ -1 +1,140 @@
+"""Impact models: thresholds, logistic regression, forests, benchmarks, tuning (Spark ML)."""
+
+from __future__ import annotations
+
+import random
+from functools import reduce
+
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import samples
+from .base import query
+from .features import FEATURES, sampled, split_rows, stored, vectors
+from .verification import confusion_counts, roc_area
+
+TREES, DEPTH, LEAF = 40, 8, 20
+
+
+@query("thresholds", """
+SELECT eid, target, CASE WHEN i_max_q >= 0.9 OR p_sum_q >= 0.98 THEN 1 ELSE 0 END AS union_pred, CASE WHEN i_max_q >= 0.9 AND p_sum_q >= 0.98 THEN 1 ELSE 0 END AS intersection_pred FROM targets""")
+def thresholds(d) -> DataFrame:
+    return d.targets.select("eid", "target", samples.threshold_prediction().alias("union_pred"), samples.threshold_prediction(both=True).alias("intersection_pred"))
+
+
+def weighted(d, denominator: float = 2.0) -> DataFrame:
+    """Samples as vectors, scaled by the training part, with the weight of their class."""
+    rows = stored(d, samples.scaled(stored(d, split_rows(d), "samples"), FEATURES), "scaled")
+    weights = samples.class_weights(rows.filter("split = 'train'"), denominator).withColumnRenamed("label", "target")
+    return vectors(rows.join(F.broadcast(weights), "target")).withColumn("label", F.col("target").cast("double"))  # one row per class
+
+
+def fit_logistic(rows: DataFrame, max_iter: int = 1000):
+    """Logistic regression with the usual L2 penalty of one, in terms of the weights' sum."""
+    train = rows.filter("split = 'train'")
+    total = train.agg(F.sum("weight")).first()[0] or 1.0
+    return LogisticRegression(weightCol="weight", maxIter=max_iter, standardization=False, elasticNetParam=0.0, regParam=1.0 / total).fit(train)
+
+
+def fit_forest(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, features: str = "0.6", seed: int = 42, impurity: str = "gini"):
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, featureSubsetStrategy=features, weightCol="weight", seed=seed, impurity=impurity)
+    return forest.fit(rows.filter("split = 'train'"))
+
+
+def scored(model, rows: DataFrame) -> DataFrame:
+    prob = vector_to_array("probability")[1]
+    return model.transform(rows).select("eid", "split", "target", prob.alias("prob"), (prob > 0.5).cast("int").alias("pred"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Counts and ROC area per split."""
+    return confusion_counts(rows, ["split"]).join(roc_area(rows, ["split"]), "split")
+
+
+@query("logistic_regression")
+def logistic_regression(d) -> DataFrame:
+    rows = weighted(d)
+    return summary(scored(fit_logistic(rows), rows))
+
+
+@query("random_forest")
+def random_forest(d) -> DataFrame:
+    rows = weighted(d)
+    return summary(scored(fit_forest(rows), rows))
+
+
+@query("random_forest_ratio")
+def random_forest_ratio(d) -> DataFrame:
+    """A forest for the ratio of claims to contracts."""
+    ratio = d.targets.select("eid", F.least(F.lit(1.0), F.col("nb_claims") / F.col("nb_contracts")).alias("label")).groupBy("eid").agg(F.max("label").alias("label"))
+    rows = vectors(stored(d, split_rows(d).join(ratio, "eid"), "samples"))
+    model = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy="0.6", seed=42).fit(rows.filter("split = 'train'"))
+    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))))
+    return model.transform(rows).groupBy("split").agg(error.alias("rmse"), F.count("*").alias("n"))
+
+
+@query("feature_importance")
+def feature_importance(d) -> DataFrame:
+    """The twenty most important features of a forest, with the spread over its trees."""
+    model = fit_forest(weighted(d))
+    trees = [t.featureImportances.toArray() for t in model.trees]
+    rows = [(f, float(model.featureImportances[i]), i) for i, f in enumerate(FEATURES)]
+    out = d.spark.createDataFrame(rows, "feature string, importance double, i int")
+    long = d.spark.createDataFrame([(i, float(t[i])) for t in trees for i in range(len(FEATURES))], "i int, v double")
+    spread = long.groupBy("i").agg(F.stddev_pop("v").alias("sd"))
+    return out.join(F.broadcast(spread), "i").drop("i").orderBy(F.desc("importance")).limit(20)  # features by trees
+
+
+@query("benchmarks", "SELECT eid, target, 1 AS always_true, 0 AS always_false FROM targets")
+def benchmarks(d) -> DataFrame:
+    return d.targets.select("eid", "target", F.lit(1).alias("always_true"), F.lit(0).alias("always_false"))
+
+
+@query("benchmark_random")
+def benchmark_random(d) -> DataFrame:
+    """Random probabilities from a hash of the event, so that they stay the same when a task runs again."""
+    prob = F.pmod(F.xxhash64("eid", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
+    rows = split_rows(d).select("eid", "split", "target", prob.alias("prob"))
+    return summary(rows.withColumn("pred", (F.col("prob") > 0.5).cast("int")))
+
+
+@query("score_batch")
+def score_batch(d) -> DataFrame:
+    """Class and probability of every sample of every split, by a model that is written and read again."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from .scans import scratch
+
+    rows, path = weighted(d), scratch(d, "model")
+    fit_logistic(rows).write().overwrite().save(path)
+    return scored(LogisticRegressionModel.load(path), rows)
+
+
+@query("seed_weight_sweep")
+def seed_weight_sweep(d) -> DataFrame:
+    """Scores for several splits (seeds) and weight denominators; all fits read one written table."""
+    base, parts = stored(d, sampled(d), "samples"), []
+    for seed in (1, 2, 3):
+        rows = stored(d, samples.scaled(samples.split_by_date(base, seed), FEATURES), "scaled")
+        for denominator in (1.0, 5.0):
+            weights = samples.class_weights(rows.filter("split = 'train'"), denominator).withColumnRenamed("label", "target")
+            full = vectors(rows.join(F.broadcast(weights), "target")).withColumn("label", F.col("target").cast("double"))  # one row per class
+            parts.append(summary(scored(fit_logistic(full, 50), full)).select(F.lit(seed).alias("seed"), F.lit(denominator).alias("denominator"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("tune_forest")
+def tune_forest(d) -> DataFrame:
+    """Random trials over a forest's parameters, scored by F1 on the validation part; the best comes first."""
+    rows, draw, parts = weighted(d), random.Random(42), []
+    for trial in range(4):
+        setting = {"trees": draw.randint(5, 30), "depth": draw.randint(3, 10), "leaf": draw.randint(1, 100), "features": str(round(draw.uniform(0.2, 1.0), 2))}
+        counts = confusion_counts(scored(fit_forest(rows, **setting), rows.filter("split = 'valid'")), ["split"])
+        f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn") + 1e-7)
+        parts.append(counts.select(F.lit(trial).alias("trial"), *[F.lit(v).alias(k) for k, v in setting.items()], f1.alias("f1")))
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("f1"), "trial")
+
 

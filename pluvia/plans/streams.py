@@ -1 +1,44 @@
+"""Streams: event extraction from a feed, and scoring of arriving events."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.samples import threshold_prediction
+from ..streaming.events import run_to_table, stream_events
+from .base import query
+from .scans import scratch
+
+
+def feed(d) -> DataFrame:
+    """The observed hours as a stream of files, closed by one far-future row that lets the watermark pass all others."""
+    path = scratch(d, "feed")
+    rows = d.observed.filter("precip >= 0.1")
+    rows.write.parquet(path)
+    end = d.observed.agg(F.lit(-1).alias("cid"), F.expr("max(time) + INTERVAL 30 DAYS").alias("time"), F.lit(99.0).alias("precip"))
+    end.select("cid", "time", "precip").write.mode("append").parquet(path)
+    return d.spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("stream_events", """
+SELECT cid, min(time) AS e_start, max(time) AS e_end, CAST(date_diff('hour', min(time), max(time)) + 1 AS INTEGER) AS duration, round(sum(precip), 3) AS p_wet, max(precip) AS i_max,
+  arg_min(time, {'a': -precip, 'b': time}) AS i_max_date FROM wet GROUP BY cid, gid HAVING round(sum(precip), 3) >= 10""")
+def streamed_events(d) -> DataFrame:
+    """Events of the feed; the batch result over wet hours is the same."""
+    out, state = scratch(d, "stream-out"), scratch(d, "stream-state")
+    stream = stream_events(feed(d)).filter("cid >= 0")
+    run_to_table(stream, out, state)
+    return d.spark.read.schema(stream.schema).parquet(out)
+
+
+@query("score_forecast", """
+SELECT eid, CASE WHEN i_max_q >= 0.9 OR p_sum_q >= 0.98 THEN 1 ELSE 0 END AS pred FROM rain_events""")
+def score_forecast(d) -> DataFrame:
+    """Arriving events scored by the threshold model, batch by batch."""
+    path, out, state = scratch(d, "new-events"), scratch(d, "scored"), scratch(d, "scored-state")
+    d.rain_events.select("eid", "i_max_q", "p_sum_q").write.parquet(path)
+    stream = d.spark.readStream.schema("eid bigint, i_max_q double, p_sum_q double").parquet(path)
+    scored = stream.select("eid", threshold_prediction().alias("pred"))
+    run_to_table(scored, out, state)
+    return d.spark.read.schema(scored.schema).parquet(out)
