@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import remainder, stored, table
+from pluvia.llm.common import remainder, small_batches, stored, table
 from pluvia.llm.decontaminate import remove_contaminated
 from pluvia.llm.language_id import accepted, learn_languages, predict_languages
 from pluvia.llm.packing import best_fit_pack
@@ -20,6 +20,7 @@ from pluvia.llm.substring_dedup import remove_repeated_spans
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told (no letters, or no n-gram of a learned language)."""
+    small_batches(spark)
     model = learn_languages(docs.filter(remainder(F.col("doc_id"), 3) != 1))
     out, name = predict_languages(docs, model)
     return out.filter(accepted(F.col(name))).drop(name)
@@ -27,21 +28,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest doc_id, of each group of near copies."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages from texts; a document of which nothing is left goes."""
+    small_batches(spark)
     return remove_repeated_spans(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
+    small_batches(spark)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into token sequences."""
+    small_batches(spark)
     return best_fit_pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -6,6 +6,8 @@ is a Parquet table below ``spark.checkpoint.dir``, never a block kept by one exe
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,8 +23,25 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: ``bytes.split()`` without an argument splits on exactly those.
 
 
+#: Rows of a batch between Spark and Python: texts of a few kB make a few MB, which bounds what a worker holds.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def release() -> None:
+    """Gives a worker's free memory back to the system when its task ends; Spark keeps workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The given Parquet table, by a path that only Spark's readers need to open."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

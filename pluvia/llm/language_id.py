@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, stored, texts
+from .common import fresh, release, slices, stored, texts
 
 UNKNOWN = "und"
 POSITIONS = 1 << 22
@@ -87,6 +87,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 for a, b in slices(own, 1_000_000):
                     found, n = np.unique(grams(own[a:b])[0], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        release()
 
     spread = docs.filter("lang IS NOT NULL").select(F.col("lang").cast("string"), F.col("text")).mapInArrow(count, "lang string, gram bigint, n bigint")
     return spread.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -169,6 +170,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> tuple[DataFrame
                 langs += own[0]
                 scores += own[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        release()
 
     return docs.withColumn(name, predict("text")), name
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import release, slices, stored, texts
 
 #: Separators that ``str.split`` knows and the tokenizer's pattern ``\s`` doesn't; texts with one, or with
 #: something that may be a special token, are encoded whole.
@@ -142,6 +142,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                     ends.append(len(columns[0]))
             rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)], fields=list(PIECE))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+        encoder.reset()
+        release()
 
     found = docs.select("doc_id", F.explode(cut("text")).alias("p"))
     return found.select("doc_id", "p.*")

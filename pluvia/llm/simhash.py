@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stored, texts
+from .common import LOWER, release, slices, stored, texts
 from .components import components
 
 SEED = 42
@@ -54,12 +54,13 @@ def fingerprint_udf(n: int):
         for batch in batches:
             raw = texts(batch)
             found = [np.empty(0, np.uint64)]
-            for a, b in slices(raw):
+            for a, b in slices(raw, 1_000_000):
                 own = [shingle_hashes(x, n) for x in raw[a:b]]
                 counts = np.array([len(x) for x in own], np.int64)
                 flat = np.fromiter((h for x in own for h in x), np.uint64, counts.sum())
                 found.append(majority(flat, counts))
             yield pa.array(np.concatenate(found).view(np.int64))
+        release()
 
     return fingerprint
 

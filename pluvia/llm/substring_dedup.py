@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, texts
+from .common import LOWER, fresh, release, texts
 
 RUN = 3
 MIN_WORDS = 15
@@ -115,14 +115,15 @@ def _runs_udf(run: int, min_words: int, long_sentence: int, bitmap=None):
 
     @F.arrow_udf("array<struct<place:int,high:bigint,low:bigint>>")
     def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = np.unpackbits(bitmap.value, bitorder="little").view(bool) if bitmap is not None else None
+        known = bitmap.value if bitmap is not None else None
         for batch in batches:
             parts: list[list[np.ndarray]] = [[np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
             ends = [0]
             for x in texts(batch):
                 place, high, low = run_hashes(sentences(x, long_sentence), run, min_words) if x else (np.empty(0, np.int64),) * 3
                 if known is not None and len(place):
-                    keep = known[(high >> np.uint64(64 - BITMAP)).astype(np.int64)]
+                    bit = (high >> np.uint64(64 - BITMAP)).astype(np.int64)
+                    keep = (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                     place, high, low = place[keep], high[keep], low[keep]
                 if len(place):
                     for column, value in zip(parts, (place.astype(np.int32), high, low), strict=True):
@@ -131,6 +132,8 @@ def _runs_udf(run: int, min_words: int, long_sentence: int, bitmap=None):
             place, high, low = (np.concatenate(p) for p in parts)
             rows = pa.StructArray.from_arrays([pa.array(place), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], fields=list(kind))
             yield pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), rows)
+        del known
+        release()
 
     return runs
 
@@ -173,6 +176,7 @@ def _cut_udf(run: int, min_words: int, long_sentence: int):
                 removed.append(len(gone))
                 left.append(text)
             yield pa.StructArray.from_arrays([pa.array(total, pa.int32()), pa.array(removed, pa.int32()), pa.array(left, pa.binary()).cast(pa.string())], names=["n_sentences", "n_removed", "text"])
+        release()
 
     return cut
 
