@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import claims, events, linking
+from .sources import files
 
 CATEGORY_OF = {"click": "A", "error": "B", "purchase": "C", "signup": "D", "view": "E"}
 CATEGORIES = list(CATEGORY_OF.values())
@@ -60,7 +61,7 @@ class Domain:
     @cached_property
     def rain_events(self) -> DataFrame:
         found = events.extract_events(self.precip).join(F.broadcast(self.cells), "cid")
-        return events.with_event_ids(found)
+        return files.stored(events.with_event_ids(found), "events")  # a table of its own: most analyses read it several times
 
     @cached_property
     def claims_long(self) -> DataFrame:
@@ -116,7 +117,7 @@ class Domain:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return linking.ranked_candidates(self.candidates, linking.WINDOWS, linking.CRITERIA)
+        return files.stored(linking.ranked_candidates(self.candidates, linking.WINDOWS, linking.CRITERIA), "candidates")
 
     @cached_property
     def linked(self) -> DataFrame:

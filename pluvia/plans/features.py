@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import linking, samples
 from .base import query
 from .filters import reference_date
-from .scans import scratch
 
 FEATURES = ["i_max_q", "p_sum_q", "duration", "c_acctbal", "p_retailprice"]
 
@@ -34,13 +33,6 @@ def split_rows(d) -> DataFrame:
     return samples.split_by_date(sampled(d))
 
 
-def stored(d, rows: DataFrame, name: str) -> DataFrame:
-    """Rows written once to the shared folder, for jobs that read them again and again."""
-    path = scratch(d, name)
-    rows.write.parquet(path)
-    return d.spark.read.schema(rows.schema).parquet(path)
-
-
 @query("split_by_date", SPLIT + " SELECT eid, ref_date, target, split FROM split_rows")
 def split_by_date(d) -> DataFrame:
     return split_rows(d).select("eid", "ref_date", "target", "split")

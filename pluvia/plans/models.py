@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import samples
+from ..sources.files import stored
 from .base import query
-from .features import FEATURES, sampled, split_rows, stored, vectors
+from .features import FEATURES, sampled, split_rows, vectors
 from .verification import confusion_counts, roc_area
 
 TREES, DEPTH, LEAF = 40, 8, 20
@@ -27,7 +28,7 @@ def thresholds(d) -> DataFrame:
 
 def weighted(d, denominator: float = 2.0) -> DataFrame:
     """Samples as vectors, scaled by the training part, with the weight of their class."""
-    rows = stored(d, samples.scaled(stored(d, split_rows(d), "samples"), FEATURES), "scaled")
+    rows = stored(samples.scaled(stored(split_rows(d), "samples"), FEATURES), "scaled")
     weights = samples.class_weights(rows.filter("split = 'train'"), denominator).withColumnRenamed("label", "target")
     return vectors(rows.join(F.broadcast(weights), "target")).withColumn("label", F.col("target").cast("double"))  # one row per class
 
@@ -70,7 +71,7 @@ def random_forest(d) -> DataFrame:
 def random_forest_ratio(d) -> DataFrame:
     """A forest for the ratio of claims to contracts."""
     ratio = d.targets.select("eid", F.least(F.lit(1.0), F.col("nb_claims") / F.col("nb_contracts")).alias("label")).groupBy("eid").agg(F.max("label").alias("label"))
-    rows = vectors(stored(d, split_rows(d).join(ratio, "eid"), "samples"))
+    rows = vectors(stored(split_rows(d).join(ratio, "eid"), "samples"))
     model = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy="0.6", seed=42).fit(rows.filter("split = 'train'"))
     error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))))
     return model.transform(rows).groupBy("split").agg(error.alias("rmse"), F.count("*").alias("n"))
@@ -116,9 +117,9 @@ def score_batch(d) -> DataFrame:
 @query("seed_weight_sweep")
 def seed_weight_sweep(d) -> DataFrame:
     """Scores for several splits (seeds) and weight denominators; all fits read one written table."""
-    base, parts = stored(d, sampled(d), "samples"), []
+    base, parts = stored(sampled(d), "samples"), []
     for seed in (1, 2, 3):
-        rows = stored(d, samples.scaled(samples.split_by_date(base, seed), FEATURES), "scaled")
+        rows = stored(samples.scaled(samples.split_by_date(base, seed), FEATURES), "scaled")
         for denominator in (1.0, 5.0):
             weights = samples.class_weights(rows.filter("split = 'train'"), denominator).withColumnRenamed("label", "target")
             full = vectors(rows.join(F.broadcast(weights), "target")).withColumn("label", F.col("target").cast("double"))  # one row per class

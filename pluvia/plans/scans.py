@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +13,7 @@ _EVENTS = ", ".join(EVENT_COLUMNS)
 
 
 def scratch(d, name: str) -> str:
-    """A new folder that all executors share; a temporary one only where no shared one is set."""
-    root = d.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pluvia-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return files.scratch(d.spark, name)
 
 
 @query("scan_events", f"SELECT {_EVENTS} FROM rain_events")

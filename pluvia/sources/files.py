@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; a temporary one only where no shared one is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pluvia-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the shared folder, for plans that read them again and again."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_static_attributes(spark: SparkSession, path: str, schema: str, wanted: list[str]) -> DataFrame:
     """One attribute class from CSV with a header: the key and the wanted columns only."""
     return spark.read.schema(schema).option("header", True).csv(path).select("cid", *wanted)
