@@ -93,8 +93,7 @@ def extendible_shards(docs: DataFrame, limit: int = 16 << 20) -> tuple[DataFrame
     out = out.withColumn(f"{name}b", pick).drop(*chosen)
     bucket = F.col(f"{name}b")
     digits = F.call_function("lpad", F.bin(bucket["leaf"]), bucket["leaf_depth"], F.lit("0"))
-    pages = levels[-1][1].filter((F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).isEmpty()
-    paged = any(not f.filter((F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).isEmpty() for _, f in levels) if pages else True
+    paged = any(not f.filter((F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).isEmpty() for _, f in levels)
     if paged:
         part = F.shiftright(F.monotonically_increasing_id(), 33)
         crowded = (bucket["shard_bytes"] > limit) & (bucket["shard_docs"] > 1)
