@@ -14,7 +14,7 @@ from pluvia.llm.decontaminate import remove_contaminated
 from pluvia.llm.language_id import accepted, learn_languages, predict_languages
 from pluvia.llm.packing import best_fit_pack
 from pluvia.llm.queries import tokenizer_path
-from pluvia.llm.simhash import drop_near_duplicates
+from pluvia.llm.similar import drop_near_duplicates
 from pluvia.llm.substring_dedup import remove_repeated_spans
 
 

@@ -160,18 +160,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, segmen
     of_group = linked.select("fp", "root").join(smallest, "root").select("fp", F.col("component_id").alias("group_id"))
     ids = stored(prints.join(of_group, "fp", "left").select("fp", F.coalesce("group_id", "first").alias("component_id")))
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id. Rows without a doc_id stay.
-
-    Of repeated rows with the smallest doc_id one stays as well.
-    """
-    found = stored(near_duplicates(docs, shingle, distance))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

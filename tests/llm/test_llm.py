@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on given tables and on small hard cases."""
 
+import itertools
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pluvia.llm import chat_format, decontaminate, importance, language_id, lm_score, packing, queries, sharding, simhash, substring_dedup, winnowing
+from pluvia.llm import chat_format, decontaminate, importance, language_id, lm_score, packing, queries, sharding, simhash, similar, substring_dedup, winnowing
 from pluvia.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -310,12 +311,86 @@ def test_simhash_hard_cases(spark, hard, empty):
     got = {(r["doc_id"], r["fp"]): r["component_id"] for r in rows}
     assert got[1, 0] == 0 and got[2, 0] == 0  # no words: fingerprint 0, one group
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.drop_near_duplicates(hard)
+    kept = similar.drop_near_duplicates(hard)
     assert kept.columns == hard.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 11 not in ids and 13 not in ids and ids.count(12) == 1 and ids.count(None) == 1
 
 
+def groups_at(least, docs):
+    """Components of texts by the exact similarity of their five-word shingles."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for d, x in docs.items() for w in [words(x)]}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least * max(len(sets[a] | sets[b]), 1)]
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    return {d: find(d) for d in sets}
+
+
+def assert_between(found, docs, sure=0.85, least=0.7):
+    """All pairs of similarity ``sure`` are in one group, and no group has a link below ``least``."""
+    inner, outer = groups_at(sure, docs), groups_at(least, docs)
+    assert all(found[d] == found[r] for d, r in inner.items())
+    assert all(outer[d] == outer[r] for d, r in found.items())
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_similar_groups_against_brute_force(spark, block):
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    docs = {}
+    for _ in range(12):
+        base = [word() for _ in range(random.choice([60, 150, 400, 900]))]
+        for _ in range(9):
+            new = list(base)
+            for _ in range(random.choice([0, 0, 1, 2, 3, 12, 40])):
+                new[random.randrange(len(new))] = word()
+            docs[len(docs)] = " ".join(new[: random.choice([len(new), len(new), len(new) - 3, len(new) // 2])])
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows, block=block).collect()}
+    assert_between(got, docs)
+    assert len(set(got.values())) < len(docs) - 20
+
+
+def test_similar_links_connect_what_brute_force_connects(spark):
+    rng = np.random.default_rng(3)
+    prints = []
+    for _ in range(6):
+        base = rng.integers(0, 2, 64 * similar.LANES, dtype=np.uint8)
+        for _ in range(40):
+            near = base.copy()
+            near[rng.choice(len(near), 60, replace=False)] ^= 1
+            prints.append(near)
+    rows = [(i, 100, bytearray(np.packbits(p).tobytes())) for i, p in enumerate(prints)]
+    table = spark.createDataFrame(rows, "id bigint, n int, bits binary")
+    for block in (256, 8):
+        roots = {r["node"]: r["root"] for r in components(similar.similar_links(table, len(rows), 0.8, 0.02, block)).collect()}
+        assert roots == {i: i // 40 * 40 for i in range(240)}
+
+
+def test_forest_links_whole_blocks():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 1 << 63, (30, similar.LANES)).astype(np.uint64)
+    bits[10:20], bits[20:] = bits[:10] ^ np.uint64(1), bits[:10] ^ np.uint64(3)
+    block = (np.arange(30), np.full(30, 50), bits)
+    links = similar.forest(block, block, 20, 0.8)
+    assert len(links) == 20 and {(b - a) % 10 for a, b in links} == {0}
+
+
+def test_table_shape_keeps_recall():
+    for n in (0, 1, 1000, 10**7, 10**12):
+        width, segments = similar.table_shape(n, 0.8)
+        assert 20 <= width <= 28 and width * segments <= 64 * (similar.LANES - 1)
+    assert similar.table_shape(10, 0.8) == (20, 12)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(-5, 200), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -532,8 +607,9 @@ def test_pipeline_stages(spark, given):
         docs = stage(spark, docs, DATA).cache()
         assert docs.columns == spark.read.parquet(f"{DATA}/documents.parquet").columns
         kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
-    groups = brute_groups([(d, brute_fingerprint(x)) for d, x in kept[1].items()])
+    groups = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(list(kept[1].items()), "doc_id bigint, text string")).collect()}
     assert set(kept[2]) == {d for d in kept[1] if groups[d] == d}
+    assert_between(groups, kept[1])
     gone = brute_spans(kept[2].items())
     total = {d: len(substring_dedup.sentences(x.encode(), 32)) for d, x in kept[2].items()}
     assert set(kept[3]) == {d for d in kept[2] if not gone[d] or gone[d] < total[d]}
