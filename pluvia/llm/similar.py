@@ -12,9 +12,10 @@ one bit each that the other lacks, meet. The width grows with the logarithm of t
 keep tables sparse, and the number of segments grows with the width, so that pairs at the least similarity meet
 in some table with probability ``RECALL`` at any size; more similar ones meet almost surely.
 
-Values of a segment with more than ``block`` fingerprints, and all keys around them, are compared block by block, each
-pair of blocks returning only a spanning forest of its links. All other keys have less than (width + 1) * block
-members; they are joined, one further lane thins the pairs, and the complete distance decides.
+Keys with more than ``crowd`` members are compared in blocks of about ``block``, each pair of blocks returning only a
+spanning forest of its links, so that the links of a group grow with its members and not with their square. All other
+keys are joined, one further lane thins the pairs, and the complete distance decides. Beyond 2^27 fingerprints tables
+fill up and more keys take the way by blocks, with the same result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .simhash import majority, shingle_hashes
 LANES = 16
 RECALL = 0.98
 LEAST_WIDTH, MOST_WIDTH = 20, 28
-BLOCK = 256
+BLOCK, CROWD = 256, 16
 
 
 def bit_share(similarity: float) -> float:
@@ -44,7 +45,7 @@ def bit_share(similarity: float) -> float:
 
 def table_shape(n: int, similarity: float) -> tuple[int, int]:
     """Width and number of segments for ``n`` fingerprints."""
-    width = min(max(LEAST_WIDTH, math.ceil(math.log2(max(n, 1)))), MOST_WIDTH)
+    width = min(max(LEAST_WIDTH, math.ceil(math.log2(max(n, 1))) + 1), MOST_WIDTH)
     p = bit_share(similarity)
     meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1) + width * (width - 1) / 4 * p**2 * (1 - p) ** (width - 2)
     return width, min(math.ceil(math.log(1 - RECALL) / math.log(1 - meet)), 64 * (LANES - 1) // width)
@@ -165,7 +166,7 @@ def _distance_udf():
     return distance
 
 
-def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, block: int = BLOCK) -> DataFrame:
+def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between ids that connect all linked fingerprints which meet in a table.
 
     ``prints`` is a written table (id: bigint, bits, n: shingles) of ``n`` rows.
@@ -178,8 +179,7 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, b
     cut = stored(prints.select("id", "n", _segments_udf(width, segments)("bits").alias("s")).select("id", "n", "s.*"))
     own = cut.select("id", "n", "lane", F.explode("parts").alias("own"))
     entries = own.select("id", "n", "lane", F.explode(_ball(F.col("own"), width)).alias("key"))
-    crowds = own.groupBy("own").agg(F.count("*").alias("members")).filter(F.col("members") > block)
-    crowded = stored(crowds.select(F.explode(_ball(F.col("own"), width)).alias("key"), "members").groupBy("key").agg(F.sum("members").alias("members")))
+    crowded = stored(entries.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > crowd))
     some = not crowded.isEmpty()
     few = entries.join(crowded, "key", "left_anti") if some else entries
     a, b = few.alias("a"), few.alias("b")
@@ -199,7 +199,7 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, b
     return links.unionByName(many)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.02, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.02, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id): one row per row of ``docs``; the smallest doc_id reachable over links, its own included.
 
     Words: A-Z lower-cased, then ``[^\\x20\\x09-\\x0D]+``; shingles of ``shingle`` words, each counted once (fewer words: the
@@ -212,7 +212,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     rows = stored(docs.select("doc_id", _prints_udf(shingle)("text").alias("p")).select("doc_id", "p.*"))
     distinct = rows.groupBy("bits", "n").agg(F.min("doc_id").alias("first"))
     prints = stored(distinct.withColumn("id", F.monotonically_increasing_id()))  # written, so that ids are fixed
-    links = similar_links(prints.filter("n > 0").select("id", "n", "bits"), prints.count(), similarity, margin, block)
+    links = similar_links(prints.filter("n > 0").select("id", "n", "bits"), prints.count(), similarity, margin, block, crowd)
     linked = prints.join(components(links), prints["id"] == F.col("node"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_group = linked.select("id", "root").join(smallest, "root").select("id", F.col("component_id").alias("group_id"))

@@ -341,8 +341,8 @@ def assert_between(found, docs, sure=0.85, least=0.7):
     assert all(outer[d] == outer[r] for d, r in found.items())
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_similar_groups_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "crowd"), [(256, 1000), (256, 3), (4, 4)])
+def test_similar_groups_against_brute_force(spark, block, crowd):
     random.seed(9)
     word = lambda: "".join(random.choices("abcdefghij", k=5))
     docs = {}
@@ -354,7 +354,7 @@ def test_similar_groups_against_brute_force(spark, block):
                 new[random.randrange(len(new))] = word()
             docs[len(docs)] = " ".join(new[: random.choice([len(new), len(new), len(new) - 3, len(new) // 2])])
     rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows, block=block).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows, block=block, crowd=crowd).collect()}
     assert_between(got, docs)
     assert len(set(got.values())) < len(docs) - 20
 
