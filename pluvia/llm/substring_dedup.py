@@ -10,9 +10,13 @@ tells tasks which runs to leave out, and the exact grouping after it corrects th
 Counting and first places are partial aggregates, so a passage that a third of all documents share does not
 meet in one task; its places find the first by an equi-join that adaptive execution splits.
 
-Sentences end after ``.``, ``!`` or ``?`` before white space, and at line ends. A sentence of more than
-``long_sentence`` words is cut behind words that a hash picks, wherever it stands, so that passages without
-punctuation have common parts too.
+Sentences end after ``.``, ``!`` or ``?`` before white space, and at line ends. Every sentence is cut further into
+pieces, and all that is said of sentences here holds for pieces: in each ``WINDOW`` consecutive words of a sentence the
+one with the smallest hash (the last of equal ones) ends a piece, so pieces have at most ``WINDOW`` words and cuts
+depend only on the ``WINDOW`` - 1 words on each side. A passage that repeats has the same pieces from its eighth word
+to its eighth last, whatever it is glued to: of 51 words, the first whole piece begins with the sixteenth at the latest
+and its run takes at most 24, so every repeated passage of over 50 words has a common run. A sentence of up to
+``long_sentence`` words is cut in the same way as a longer one.
 
 Defined cases: null text stays null and has no sentence; a text with fewer than ``run`` sentences is one run,
 if it has ``min_words``; rows equal in doc_id and text share their decisions; runs repeat within a document
@@ -36,6 +40,7 @@ from .common import LOWER, fresh, release, texts
 RUN = 3
 MIN_WORDS = 15
 LONG_SENTENCE = 32
+WINDOW = 8
 
 SENTENCE = re.compile(rb"[^\s][^.!?\n]*(?:[.!?]+(?![\s.!?])[^.!?\n]+)*[.!?]*")
 WORD = re.compile(rb"\S+")
@@ -48,21 +53,33 @@ _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
 
 
+def _cuts(words: list[bytes], ends: list[int]) -> np.ndarray:
+    """Whether a piece ends behind each word: at the ends of sentences, and at the smallest hash of each window in one."""
+    cut = np.zeros(len(words), bool)
+    cut[np.array(ends, np.int64) - 1] = True
+    if len(words) >= WINDOW:
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+        sentence = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        begin = np.flatnonzero(sentence[: len(words) - WINDOW + 1] == sentence[WINDOW - 1 :])
+        least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[begin, ::-1].argmin(1)
+        cut[begin + WINDOW - 1 - least] = True
+    return cut
+
+
 def sentences(text: bytes, long_sentence: int) -> list[tuple[int, int, bytes, int]]:
-    """(begin, end, words joined by blanks in lower case, number of words) of each sentence."""
-    out = []
+    """(begin, end, words joined by blanks in lower case, number of words) of each piece of a sentence."""
+    spans, ends = [], []
     for m in SENTENCE.finditer(text):
-        begin, end = m.span()
-        words = m[0].translate(LOWER).split()
-        if len(words) <= long_sentence:
-            out.append((begin, end, b" ".join(words), len(words)))
-            continue
-        first = 0
-        spans = [w.span() for w in WORD.finditer(text, begin, end)]
-        for i, w in enumerate(words):
-            if xxhash.xxh32_intdigest(w) % 8 == 0 or i + 1 == len(words):
-                out.append((spans[first][0], spans[i][1], b" ".join(words[first : i + 1]), i + 1 - first))
-                first = i + 1
+        spans += [w.span() for w in WORD.finditer(text, *m.span())]
+        ends.append(len(spans))
+    if not spans:
+        return []
+    low = text.translate(LOWER)
+    words = [low[a:b] for a, b in spans]
+    out, first = [], 0
+    for i in (np.flatnonzero(_cuts(words, ends)) + 1).tolist():
+        out.append((spans[first][0], spans[i - 1][1], b" ".join(words[first:i]), i - first))
+        first = i
     return out
 
 

@@ -164,6 +164,28 @@ def test_spans_hard_cases(spark, hard, empty):
     assert substring_dedup.remove_repeated_spans(hard).columns == hard.columns
 
 
+def repeated_windows(docs, n=51):
+    """Windows of ``n`` words that occur in two texts."""
+    seen = Counter(w for x in docs.values() for ws in [words(x or "")] for w in {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)})
+    return {w for w, k in seen.items() if k > 1}
+
+
+def test_spans_leave_no_repeated_window_of_51_words(spark, given):
+    rng = random.Random(4)
+    make = lambda n: [rng.choice("bcdfghj") * 2 + str(rng.randrange(9999)) for _ in range(n)]
+    docs = {}
+    for k, lengths in enumerate([[26, 25], [32, 20], [20, 31], [51], [10, 31, 10], [5, 20, 20, 6], [8] * 7, [1, 49, 1], [12, 12, 12, 15]] * 3):
+        passage = " ".join(" ".join(make(n)) + "." for n in lengths).rstrip(".")  # its edges belong to the sentences around it
+        for c in range(2):
+            docs[2 * k + c] = " ".join([*make(rng.randrange(1, 40)), passage, *make(rng.randrange(1, 40))]) + "."
+    docs |= {1000 + d: x for d, x in given.items() if d is not None}
+    before = repeated_windows(docs)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeated_spans(rows).collect()}
+    assert len(before) > 27 and not before & repeated_windows(left)
+    assert all(left[2 * k] == docs[2 * k] for k in range(27))
+
+
 # -- chat formatting ----------------------------------------------------------------------------------------
 
 
