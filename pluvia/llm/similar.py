@@ -1,8 +1,9 @@
-"""Near-duplicate groups by estimated shingle similarity: wide SimHash fingerprints and multi-index hashing.
+"""Near-duplicate groups by exact shingle similarity: candidates by wide SimHash fingerprints and multi-index hashing.
 
 A fingerprint has ``LANES`` words of 64 bits over a text's distinct shingles. For two sets of similarity s
 (shared over all shingles) a bit differs with probability acos(2 s / (1 + s)) / pi, so the complete distance
-estimates s; two texts link if it is at most what s = ``similarity`` - ``margin`` gives. With 1024 bits the estimate's
+estimates s; two texts are candidates if it is at most what s = ``similarity`` - ``margin`` gives, and link if the exact
+similarity of their sets of 64-bit shingle hashes is at least ``similarity``. With 1024 bits the estimate's
 standard error is about 0.025 at s = 0.8. As s can't exceed the ratio of the two counts of shingles, texts whose counts
 differ by more than that never link.
 
@@ -12,28 +13,33 @@ one bit each that the other lacks, meet. The width grows with the logarithm of t
 keep tables sparse, and the number of segments grows with the width, so that pairs at the least similarity meet
 in some table with probability ``RECALL`` at any size; more similar ones meet almost surely.
 
+Texts of at most ``SHORT`` shingles are estimated too coarsely. They stand under hashes of their own as well: of n
+hashes in order the first n - ceil(s n) + 1, of which two sets of similarity s share one, so that these pairs are all found.
+
 Keys with more than ``crowd`` members are compared in blocks of about ``block``, each pair of blocks returning only a
 spanning forest of its links, so that the links of a group grow with its members and not with their square. All other
-keys are joined, one further lane thins the pairs, and the complete distance decides. Beyond 2^27 fingerprints tables
+keys are joined, one further lane and the complete distance thin the pairs, and the exact similarity decides, in blocks
+before a link enters the forest. Beyond 2^27 fingerprints tables
 fill up and more keys take the way by blocks, with the same result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored, texts
+from .common import release, slices, small_batches, stored, texts
 from .components import components
 from .simhash import majority, shingle_hashes
 
 LANES = 16
-RECALL = 0.98
+RECALL, EXACT_RECALL = 0.98, 0.999
+SHORT = 64
 LEAST_WIDTH, MOST_WIDTH = 20, 28
 BLOCK, CROWD = 256, 16
 
@@ -43,12 +49,12 @@ def bit_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def table_shape(n: int, similarity: float) -> tuple[int, int]:
+def table_shape(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
     """Width and number of segments for ``n`` fingerprints."""
     width = min(max(LEAST_WIDTH, math.ceil(math.log2(max(n, 1))) + 1), MOST_WIDTH)
     p = bit_share(similarity)
     meet = (1 - p) ** width + width * p * (1 - p) ** (width - 1) + width * (width - 1) / 4 * p**2 * (1 - p) ** (width - 2)
-    return width, min(math.ceil(math.log(1 - RECALL) / math.log(1 - meet)), 64 * (LANES - 1) // width)
+    return width, min(math.ceil(math.log(1 - recall) / math.log(1 - meet)), 64 * (LANES - 1) // width)
 
 
 def lanes_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -62,27 +68,66 @@ def lanes_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints_udf(n: int):
-    """struct<bits, n>: the fingerprint and the number of distinct shingles."""
+def _set(text: bytes, n: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, n), np.uint64))
+
+
+def _few(own: np.ndarray, similarity: float) -> list[int]:
+    """Table keys of a short text: its first hashes, apart from all keys of segments."""
+    most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if 0 < len(own) <= SHORT else 0
+    return [int(h) & (1 << 62) - 1 | 1 << 62 for h in own[:most]]
+
+
+def _prints_udf(n: int, similarity: float):
+    """struct<bits, n, few>: the fingerprint, the number of distinct shingles, and the table keys of a short text."""
 
-    @F.arrow_udf("struct<bits:binary,n:int>")
+    @F.arrow_udf("struct<bits:binary,n:int,few:array<bigint>>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             raw = texts(batch)
-            bits, sizes = [np.zeros((0, LANES), np.uint64)], [np.zeros(0, np.int64)]
+            bits, sizes, few = [np.zeros((0, LANES), np.uint64)], [np.zeros(0, np.int64)], []
             for a, b in slices(raw, 1_000_000):
-                own = [np.unique(np.array(shingle_hashes(x, n), np.uint64)) for x in raw[a:b]]
+                own = [_set(x, n) for x in raw[a:b]]
                 counts = np.array([len(x) for x in own], np.int64)
                 bits.append(lanes_of(np.concatenate(own), counts))
                 sizes.append(counts)
+                few += [_few(x, similarity) for x in own]
             flat = np.ascontiguousarray(np.concatenate(bits))
             fixed = pa.Array.from_buffers(pa.binary(8 * LANES), len(flat), [None, pa.py_buffer(flat)])
-            yield pa.StructArray.from_arrays([fixed.cast(pa.binary()), pa.array(np.concatenate(sizes), pa.int32())], names=["bits", "n"])
+            yield pa.StructArray.from_arrays([fixed.cast(pa.binary()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(few, pa.list_(pa.int64()))], names=["bits", "n", "few"])
         release()
 
     return prints
 
 
+def _sets_udf(n: int):
+    @F.arrow_udf("binary")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_set(x, n).tobytes() for x in texts(batch)], pa.binary())
+        release()
+
+    return sets
+
+
+def enough(shared, size, other, similarity: float):
+    """Whether sets of two sizes that share so many are similar."""
+    return shared + 1e-9 >= similarity * (size + other - shared)
+
+
+def _exact_udf(similarity: float):
+    @F.arrow_udf("boolean")
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out.append(enough(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), similarity))
+        return pa.array(out, pa.bool_())
+
+    return exact
+
+
 def _matrix(bits: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, LANES)
 
@@ -114,8 +159,8 @@ def near(bits: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int, distan
     return ok & (np.minimum(sizes, size) >= ratio * np.maximum(sizes, size))
 
 
-def forest(left: tuple, right: tuple, distance: int, ratio: float) -> list[tuple[int, int]]:
-    """Links that connect all that is linked between two blocks (ids, sizes, bits), as few as do.
+def forest(left: tuple, right: tuple, distance: int, ratio: float, similarity: float | None = None) -> list[tuple[int, int]]:
+    """Links that connect all that is linked between two blocks (ids, sizes, bits, and sets for exact checks), as few as do.
 
     The first rows go first: in a block of copies they connect nearly all, and only pairs that are not
     connected yet are compared.
@@ -124,6 +169,17 @@ def forest(left: tuple, right: tuple, distance: int, ratio: float) -> list[tuple
     group = np.arange(len(ids))
     here, there = place[: len(left[0])], place[len(left[0]) :]
     links = []
+    if similarity is not None:
+        sets = [*left[3], *right[3]]
+        values, codes = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+        codes = np.split(codes, np.cumsum([len(x) for x in sets])[:-1])
+        flag = np.zeros(len(values), bool)
+
+    def exact(i: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        flag[codes[i]] = True
+        shared = np.array([np.count_nonzero(flag[codes[j]]) for j in others], np.int64)
+        flag[codes[i]] = False
+        return enough(shared, len(codes[i]), sizes, similarity)
 
     def join(one: int, others: np.ndarray) -> None:
         for g in np.unique(group[others]):
@@ -134,7 +190,15 @@ def forest(left: tuple, right: tuple, distance: int, ratio: float) -> list[tuple
     def sweep(i: int, own: np.ndarray, a: tuple, other: np.ndarray, b: tuple) -> None:
         rest = np.flatnonzero(group[other] != group[own[i]])
         if len(rest):
-            join(own[i], other[rest[near(b[2][rest], b[1][rest], a[2][i], a[1][i], distance, ratio)]])
+            most = 64 * LANES if similarity is not None and a[1][i] <= SHORT else distance
+            found = near(b[2][rest], b[1][rest], a[2][i], a[1][i], distance, ratio)
+            if most > distance:
+                found |= (b[1][rest] <= SHORT) & near(b[2][rest], b[1][rest], a[2][i], a[1][i], most, ratio)
+            rest = rest[found]
+            if similarity is not None and len(rest):
+                here_first = a is left
+                rest = rest[exact(i if here_first else len(left[0]) + i, rest + len(left[0]) if here_first else rest, b[1][rest])]
+            join(own[i], other[rest])
 
     if len(here) and len(there):
         sweep(0, there, right, here, left)
@@ -143,16 +207,17 @@ def forest(left: tuple, right: tuple, distance: int, ratio: float) -> list[tuple
     return links
 
 
-def _forest_udf(distance: int, ratio: float):
+def _forest_udf(distance: int, ratio: float, similarity: float | None):
     kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
-    def block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.asarray(rows.field("id")), np.asarray(rows.field("n")).astype(np.int64), _matrix(rows.field("bits"))
+    def block(rows: pa.StructArray) -> tuple:
+        out = np.asarray(rows.field("id")), np.asarray(rows.field("n")).astype(np.int64), _matrix(rows.field("bits"))
+        return out if similarity is None else (*out, [np.frombuffer(x, np.uint64) for x in rows.field("hashes").to_pylist()])
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
     def links(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            found = [forest(block(x.values), block(y.values), distance, ratio) for x, y in zip(left, right, strict=True)]
+            found = [forest(block(x.values), block(y.values), distance, ratio, similarity) for x, y in zip(left, right, strict=True)]
             yield pa.array([[{"a": a, "b": b} for a, b in f] for f in found], pa.list_(kind))
 
     return links
@@ -166,40 +231,65 @@ def _distance_udf():
     return distance
 
 
-def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, block: int = BLOCK, crowd: int = CROWD, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) between ids that connect all linked fingerprints which meet in a table.
 
-    ``prints`` is a written table (id: bigint, bits, n: shingles) of ``n`` rows.
+    ``prints`` is a written table (id: bigint, bits, n: shingles, few: keys of short texts) of ``n`` rows. ``sets`` gives
+    (id, hashes) of a table of ids, for exact checks; without it the distance decides and there are no ``few``.
     """
-    width, segments = table_shape(n, similarity)
+    width, segments = table_shape(n, similarity, RECALL if sets is None else EXACT_RECALL)
     distance = int(64 * LANES * bit_share(similarity - margin))
     share = bit_share(similarity - margin)
     lane_most = int(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
     ratio = similarity - margin
-    cut = stored(prints.select("id", "n", _segments_udf(width, segments)("bits").alias("s")).select("id", "n", "s.*"))
+    wide = prints if sets is None else prints.filter(F.col("n") >= similarity * SHORT)  # shorter pairs meet in ``few``
+    cut = stored(wide.select("id", "n", _segments_udf(width, segments)("bits").alias("s")).select("id", "n", "s.*"))
     own = cut.select("id", "n", "lane", F.explode("parts").alias("own"))
     entries = own.select("id", "n", "lane", F.explode(_ball(F.col("own"), width)).alias("key"))
-    crowded = stored(entries.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > crowd))
+    if sets is not None:
+        entries = entries.unionByName(prints.select("id", "n", F.lit(0).cast("long").alias("lane"), F.explode("few").alias("key")))
+    crowded = stored(entries.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter(F.col("members") > crowd))
     some = not crowded.isEmpty()
     few = entries.join(crowded, "key", "left_anti") if some else entries
     a, b = few.alias("a"), few.alias("b")
-    alike = (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= lane_most)
+    short = F.greatest("a.n", "b.n") <= (SHORT if sets is not None else 0)
+    alike = (F.col("a.id") < F.col("b.id")) & (short | (F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= lane_most))
     alike &= F.least("a.n", "b.n") >= ratio * F.greatest("a.n", "b.n")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda name: prints.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").filter(_distance_udf()("a_bits", "b_bits") <= distance)
+    side = lambda name: prints.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").alias(f"{name}_n"))
+    short = F.greatest("a_n", "b_n") <= (SHORT if sets is not None else 0)
+    checked = pairs.join(side("a"), "a").join(side("b"), "b").filter(short | (_distance_udf()("a_bits", "b_bits") <= distance))
     links = checked.select("a", "b")
+    salted = entries.select("id", "key").distinct().join(crowded, "key")
+    if sets is not None:
+        links = stored(links)
+        ids = links.select(F.col("a").alias("id")).union(links.select("b")).union(salted.select("id")).distinct()
+        known = stored(sets(ids))
+        side = lambda name: known.select(F.col("id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
+        links = _few_rows(links.join(side("a"), "a").join(side("b"), "b").filter(_exact_udf(similarity)("a_hashes", "b_hashes")).select("a", "b"), 64)
     if not some:
         return links
-    salted = entries.select("id", "key").join(crowded, "key").select("id", "key", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / block)).alias("salt"))
-    blocks = stored(salted.join(prints, "id").groupBy("key", "salt").agg(F.collect_list(F.struct("id", "n", "bits")).alias("rows")))
+    full = prints.select("id", "n", "bits") if sets is None else prints.select("id", "n", "bits").join(known, "id")
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("total") / (500 * block)))  # bounds a block's shingles too
+    salted = salted.select("id", "key", F.pmod(F.xxhash64("id"), parts).alias("salt"))
+    blocks = stored(salted.join(full, "id").groupBy("key", "salt").agg(F.sort_array(F.collect_list(F.struct(*full.columns))).alias("rows")))
     x, y = blocks.alias("x"), blocks.alias("y")
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") <= F.col("y.salt")))
-    many = both.select(F.explode(_forest_udf(distance, ratio)("x.rows", "y.rows")).alias("l")).select("l.a", "l.b")
-    return links.unionByName(many)
+    many = both.select(F.explode(_forest_udf(distance, ratio, None if sets is None else similarity)("x.rows", "y.rows")).alias("l")).select("l.a", "l.b")
+    return links.unionByName(_few_rows(many, 16))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.02, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+def _few_rows(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` written with so many rows at a time in a Python worker: sets and blocks are large."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        return stored(df)
+    finally:
+        small_batches(spark)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id): one row per row of ``docs``; the smallest doc_id reachable over links, its own included.
 
     Words: A-Z lower-cased, then ``[^\\x20\\x09-\\x0D]+``; shingles of ``shingle`` words, each counted once (fewer words: the
@@ -209,10 +299,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     shingles are one group; null doc_ids take part but are never the smallest unless a group has no other; an empty table
     gives no rows; other columns are ignored.
     """
-    rows = stored(docs.select("doc_id", _prints_udf(shingle)("text").alias("p")).select("doc_id", "p.*"))
-    distinct = rows.groupBy("bits", "n").agg(F.min("doc_id").alias("first"))
+    text_hash = F.xxhash64("text").alias("text_hash")
+    rows = stored(docs.select("doc_id", text_hash, _prints_udf(shingle, similarity)("text").alias("p")).select("doc_id", "text_hash", "p.*"))
+    distinct = rows.groupBy("bits", "n").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.min("few").alias("few"))
     prints = stored(distinct.withColumn("id", F.monotonically_increasing_id()))  # written, so that ids are fixed
-    links = similar_links(prints.filter("n > 0").select("id", "n", "bits"), prints.count(), similarity, margin, block, crowd)
+
+    def sets(ids: DataFrame) -> DataFrame:
+        one = docs.groupBy(text_hash).agg(F.first("text").alias("text"))
+        return one.join(prints.join(ids, "id", "left_semi").select("id", "text_hash"), "text_hash").select("id", _sets_udf(shingle)("text").alias("hashes"))
+
+    links = similar_links(prints.filter("n > 0").select("id", "n", "bits", "few"), prints.count(), similarity, margin, block, crowd, sets)
     linked = prints.join(components(links), prints["id"] == F.col("node"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_group = linked.select("id", "root").join(smallest, "root").select("id", F.col("component_id").alias("group_id"))

@@ -381,6 +381,21 @@ def test_similar_groups_against_brute_force(spark, block, crowd):
     assert len(set(got.values())) < len(docs) - 20
 
 
+@pytest.mark.parametrize("crowd", [16, 1])
+def test_similar_groups_are_exact_at_the_limit(spark, crowd):
+    rng, docs = random.Random(6), {}
+    make = lambda n: [str(rng.randrange(10**9)) for _ in range(n)]
+    # words, and how many of the last are replaced or dropped: similarities 4/5, 8/10, 80/100, 800/1000, then 7/11, 79/101, 790/1010, 6/7
+    for n, new, drop in [(9, 0, 1), (13, 1, 0), (94, 10, 0), (904, 100, 0), (13, 2, 0), (94, 11, 0), (904, 110, 0), (11, 0, 1)] * 6:
+        base = make(n)
+        docs[len(docs)] = " ".join(base)
+        docs[len(docs)] = " ".join([*base[: n - new - drop], *make(new)])
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows, crowd=crowd).collect()}
+    assert got == groups_at(0.8, docs)
+    assert sum(d != r for d, r in got.items()) == 30
+
+
 def test_similar_links_connect_what_brute_force_connects(spark):
     rng = np.random.default_rng(3)
     prints = []
