@@ -17,7 +17,7 @@ from .base import query
 from .features import FEATURES, sampled, split_rows, vectors
 from .verification import confusion_counts, roc_area
 
-TREES, DEPTH, LEAF = 40, 8, 20
+TREES, DEPTH, LEAF, SHARE = 800, 30, 90, "0.3"
 
 
 @query("thresholds", """
@@ -40,7 +40,7 @@ def fit_logistic(rows: DataFrame, max_iter: int = 1000):
     return LogisticRegression(weightCol="weight", maxIter=max_iter, standardization=False, elasticNetParam=0.0, regParam=1.0 / total).fit(train)
 
 
-def fit_forest(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, features: str = "0.6", seed: int = 42, impurity: str = "gini"):
+def fit_forest(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, features: str = SHARE, seed: int = 42, impurity: str = "gini"):
     forest = RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, featureSubsetStrategy=features, weightCol="weight", seed=seed, impurity=impurity)
     return forest.fit(rows.filter("split = 'train'"))
 
@@ -72,7 +72,7 @@ def random_forest_ratio(d) -> DataFrame:
     """A forest for the ratio of claims to contracts."""
     ratio = d.targets.select("eid", F.least(F.lit(1.0), F.col("nb_claims") / F.col("nb_contracts")).alias("label")).groupBy("eid").agg(F.max("label").alias("label"))
     rows = vectors(stored(split_rows(d).join(ratio, "eid"), "samples"))
-    model = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy="0.6", seed=42).fit(rows.filter("split = 'train'"))
+    model = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy=SHARE, seed=42).fit(rows.filter("split = 'train'"))
     error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))))
     return model.transform(rows).groupBy("split").agg(error.alias("rmse"), F.count("*").alias("n"))
 
