@@ -17,136 +17,69 @@ Defined cases: null text is empty and packs as its end token alone; an empty tab
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored, texts
+from .common import release, stored
+from .merges import MergeEncoder
 
-#: Separators that ``str.split`` knows and the tokenizer's pattern ``\s`` doesn't; texts with one, or with
-#: something that may be a special token, are encoded whole.
-WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+#: Bytes of text that a task encodes at once: few enough to bound its arrays, many enough to share chunks.
+SLICE = 12_000_000
 
-#: Chunks of characters that have one lower-case form and are their own NFC form.
-SIMPLE = re.compile("[\x21-\u012f\u0131-\u024f]+")
+_WORKER: dict[str, MergeEncoder] = {}
 
-#: Fixed value: the pre-tokenizer's pattern, as in the tokenizer's file.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-
-def _byte_chars() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
-BYTE_CHARS = _byte_chars()
-
-#: Distinct chunks a worker remembers before it starts anew.
-REMEMBER = 200_000
-
-_WORKER: dict[str, Any] = {}
-
-
-class ChunkEncoder:
-    """Ids of many texts by one public tokenizer whose pre-tokenizer drops white space.
-
-    No merge crosses white space there, so every blank-separated chunk has the same ids in any text, and a
-    worker encodes each distinct chunk once. The result equals ``Tokenizer.encode`` of the whole text.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.parts: dict[str, array] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes chunks not seen before.
-
-        Latin chunks skip the normalizer and the pre-tokenizer, which take most of the tokenizer's time: lower-casing
-        and the pattern are applied here, and the model's merges to each part. All others are encoded as they are.
-        """
-        for c in new:
-            if SIMPLE.fullmatch(c):
-                for part in PARTS.findall(c.lower()):
-                    if (ids := self.parts.get(part)) is None:
-                        raw = "".join(map(BYTE_CHARS.__getitem__, part.encode()))
-                        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(raw)])
-                    self.ids.extend(ids)
-            else:
-                self.ids.extend(self.tokenizer.encode(c, add_special_tokens=False).ids)
-            self.code[c] = len(self.ends) - 1
-            self.ends.append(len(self.ids))
-
-    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's ids end."""
-        if len(self.code) > REMEMBER or len(self.ids) > 20 * REMEMBER:
-            self.reset()
-        code, chunks, counts = self.code, [], []
-        for x in batch:
-            # a whole text is one "chunk" of its own kind: the leading blank keeps it apart from ordinary chunks
-            own = [" " + x] if WHOLE.search(x) else x.split()
-            chunks += own
-            counts.append(len(own))
-        self.learn([c for c in dict.fromkeys(chunks) if c not in code])
-        at = np.fromiter(map(code.__getitem__, chunks), np.int64, len(chunks))
-        ids, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32), np.frombuffer(self.ends, np.int64)
-        sizes = ends[at + 1] - ends[at]
-        done = np.concatenate([[0], np.cumsum(sizes)])
-        flat = ids[np.repeat(ends[at] - done[:-1], sizes) + np.arange(done[-1])]
-        return flat, done[np.cumsum(np.array(counts, np.int64))]
-
-
-PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def gathered(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches put together, and cut after each row that brings a slice to ``most`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0), dtype=np.int64)
+            rows = min(int(np.searchsorted(sizes, most - size)) + 1, batch.num_rows)
+            held.append(batch.slice(0, rows))
+            size += int(sizes[rows - 1])
+            batch = batch.slice(rows)
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``capacity`` are cut."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _WORKER:
-            _WORKER[tokenizer] = ChunkEncoder(tokenizer)
-        encoder = _WORKER[tokenizer]
-        for batch in batches:
-            raw = texts(batch)
-            columns: list[list[int]] = [[], [], [], []]
-            ends = [0]
-            for a, b in slices(raw, 1_000_000):
-                flat, stops = encoder.encode([x.decode() for x in raw[a:b]])
-                begin = 0
-                for stop in stops.tolist():
-                    ids = np.append(flat[begin:stop], np.uint32(end_id)).astype("<u4")
-                    begin = stop
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        for column, value in zip(columns, (k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                            column.append(value)
-                    ends.append(len(columns[0]))
-            rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)], fields=list(PIECE))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-        encoder.reset()
+            _WORKER[tokenizer] = MergeEncoder(tokenizer)
+        for batch in gathered(batches):
+            flat, stops = _WORKER[tokenizer].encode(batch["text"])
+            n = np.diff(stops, prepend=0) + 1
+            count = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            length = np.minimum(n[doc] - piece * capacity, capacity)
+            crcs, end = [], np.array([end_id], "<u4").tobytes()
+            data = flat.astype("<u4").view(np.uint8)
+            last = piece == count[doc] - 1
+            begin = (stops - n + 1)[doc] + piece * capacity
+            for at, size, ends in zip((4 * begin).tolist(), (4 * (length - last)).tolist(), last.tolist(), strict=True):
+                crc = zlib.crc32(data[at : at + size])
+                crcs.append(zlib.crc32(end, crc) if ends else crc)
+            columns = [batch["doc_id"].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
         release()
 
-    found = docs.select("doc_id", F.explode(cut("text")).alias("p"))
-    return found.select("doc_id", "p.*")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def match_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:

@@ -9,12 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pluvia.llm import chat_format, decontaminate, importance, language_id, lm_score, packing, queries, sharding, simhash, similar, substring_dedup, winnowing
+from pluvia.llm import chat_format, decontaminate, importance, language_id, lm_score, merges, packing, queries, sharding, simhash, similar, substring_dedup, winnowing
 from pluvia.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -117,9 +118,26 @@ def test_lm_empty(spark, empty, hard):
 # -- substring dedup ----------------------------------------------------------------------------------------
 
 
+def brute_pieces(text, window=8):
+    """(begin, end, words in lower case, number of words) of each piece of a sentence, word by word."""
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    own = [low(text[a:b].decode()).encode() for a, b in spans]
+    hashes = [int(substring_dedup.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> 32 for w in own]
+    stops = {i for i, (_, b) in enumerate(spans) if text[b - 1] in b".!?" or i + 1 == len(spans) or b"\n" in text[b : spans[i + 1][0]]}
+    cuts = set(stops)
+    for i in range(len(own) - window + 1):
+        if not stops & set(range(i, i + window - 1)):
+            cuts.add(min(range(i, i + window), key=lambda j: (hashes[j], -j)))
+    out, first = [], 0
+    for i in sorted(cuts):
+        out.append((spans[first][0], spans[i][1], b" ".join(own[first : i + 1]), i + 1 - first))
+        first = i + 1
+    return out
+
+
 def brute_spans(rows, run=3, least=15):
-    """Kept texts, by dictionaries of joined sentences."""
-    cut = {d: substring_dedup.sentences((x or "").encode(), 32) for d, x in rows}
+    """Numbers of removed sentences, by dictionaries of joined sentences."""
+    cut = {d: brute_pieces((x or "").encode()) for d, x in rows}
     places = defaultdict(list)
     for d in sorted(cut):
         found = cut[d]
@@ -129,7 +147,7 @@ def brute_spans(rows, run=3, least=15):
         runs |= {(next((p for p in range(n - 1, -1, -1) if long_enough(p, n)), None), n)}
         for p, q in runs:
             if p is not None and q is not None:
-                places[tuple(s[2] for s in found[p:q])].append((d, p, q))
+                places[b" ".join(s[2] for s in found[p:q])].append((d, p, q))
     gone = defaultdict(set)
     for at in places.values():
         for d, p, q in sorted(at)[1:]:
@@ -150,16 +168,37 @@ def test_spans_remove_later_copies_only(spark):
     plain = " ".join(f"nopunct{i}" for i in range(120))
     docs = spark.createDataFrame([(1, f"{tails[0]} {passage}"), (2, f"{passage} {tails[1]}"), (3, tails[2]), (4, plain), (5, f"x y z {plain} q r")], "doc_id bigint, text string")
     left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeated_spans(docs).collect()}
-    assert left[1] == f"{tails[0]} {passage}" and left[2] == tails[1] and left[3] == tails[2] and left[4] == plain
+    assert left[1] == f"{tails[0]} {passage}" and left[3] == tails[2] and left[4] == plain
+    assert left[2].endswith(tails[1]) and len(left[2].split()) < len(tails[1].split()) + 9  # less than a piece of the passage
     assert len(left[5].split()) < 60
 
 
+def test_pieces_against_brute_force(given):
+    rng = random.Random(3)
+    made = ["".join(rng.choices(["a", "Bb", "c.", "!", " ", " ", "\n", "\t", "?", "é", ".x"], k=rng.randrange(60))).encode() for _ in range(400)]
+    raw = [*made, b"", b" \n", *(x.encode() for x in list(given.values())[:40])]
+    p = substring_dedup.pieces(raw)
+    for i, x in enumerate(raw):
+        own = range(p.of_text[i], p.of_text[i + 1])
+        assert [(p.word_begin[p.first[k]], p.word_end[p.first[k + 1] - 1], p.first[k + 1] - p.first[k]) for k in own] == [(a, b, n) for a, b, _, n in brute_pieces(x)]
+
+
+def test_spans_remove_later_of_repeated_rows(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(40)) + "." for w in ("word", "other"))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, other), (None, other), (3, "short"), (3, "short")], "doc_id bigint, text string")
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in substring_dedup.remove_repeated_spans(docs).collect())
+    assert left == [(0, other), (1, text), (3, "short"), (3, "short")]
+    out, name = substring_dedup.dedup_spans(docs)
+    assert sorted(r[name]["n_removed"] > 0 for r in out.collect()) == [False] * 4 + [True] * 3
+
+
 def test_spans_hard_cases(spark, hard, empty):
     out, name = substring_dedup.dedup_spans(hard)
     rows = {(r["doc_id"], r["text"]): r[name] for r in out.collect()}
     assert out.count() == hard.count()
     assert rows[0, None]["text"] is None and rows[0, None]["n_sentences"] == 0
     assert rows[10, LONG]["n_removed"] == 0 and rows[11, LONG]["text"] == ""
+    assert rows[13, "same text here"]["n_removed"] == 0
     assert substring_dedup.dedup_spans(empty)[0].count() == 0
     assert substring_dedup.remove_repeated_spans(hard).columns == hard.columns
 
@@ -599,9 +638,12 @@ def test_packing_against_the_tokenizer(spark, given):
 def test_chunks_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
-    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), packing.ChunkEncoder(TOKENIZER)
-    texts = ["", " ", "Don't  STOP now été", "a\x1cb\x1d c", "x <|endoftext|> y<|startoftext|>", "ΟΔΟΣ ΣΑΣ 12345 !!?", "\x85a\x0bb​c", "ﬁ Ǆ ́x", "İ I ı"]
-    flat, ends = encoder.encode(texts)
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), merges.MergeEncoder(TOKENIZER)
+    texts = ["", " ", "Don't  STOP now été", "a\x1cb\x1d c", "x <|endoftext|> y<|startoftext|>", "ΟΔΟΣ ΣΑΣ 12345 !!?", "\x85a\x0bb​c", "ﬁ Ǆ ́x", "İ I ı", LONG, "y" * 3000]
+    rng = random.Random(8)
+    kinds = ["a", "É", "İ", "ß", "ǆ", "'s", "'ll", "'", "3", "½", "…", "日本", "\u0301", "e", "\x1c", "\x85", "\xa0", " ", "\u2003", "\n", "\v", "<|", "<|endoftext|>", "|>", "Σ", "ΑΣ", "!!", "\x00", "👍🏽", "한국"]
+    texts += ["".join(rng.choices(kinds, k=rng.randrange(25))) for _ in range(3000)]
+    flat, ends = encoder.encode(pa.array(texts))
     assert [list(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -632,6 +674,13 @@ def test_packing_hard_cases(spark, hard, empty):
     assert packing.best_fit_pack(empty, TOKENIZER).count() == 0
 
 
+def test_gathered_batches_keep_rows_in_order():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + 7)), "text": ["x" * (9 * i % 40) if i % 5 else None for i in range(k, k + 7)]}) for k in range(0, 70, 7)]
+    out = list(packing.gathered(iter(batches), 60))
+    assert [i for b in out for i in b["doc_id"].to_pylist()] == list(range(70))
+    assert all(sum(len(x or "") for x in b["text"].to_pylist()[:-1]) < 60 for b in out)
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------
 
 
@@ -648,7 +697,7 @@ def test_pipeline_stages(spark, given):
     assert set(kept[2]) == {d for d in kept[1] if groups[d] == d}
     assert_between(groups, kept[1])
     gone = brute_spans(kept[2].items())
-    total = {d: len(substring_dedup.sentences(x.encode(), 32)) for d, x in kept[2].items()}
+    total = {d: len(brute_pieces(x.encode())) for d, x in kept[2].items()}
     assert set(kept[3]) == {d for d in kept[2] if not gone[d] or gone[d] < total[d]}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert set(kept[4]) == {d for d, x in kept[3].items() if not brute_hits(x, items)[1]}
