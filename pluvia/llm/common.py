@@ -69,6 +69,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def repeats(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with one more column: whether the row repeats the doc_id and text of another row that counts."""
+    key = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    if key.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        return docs.withColumn(name, F.lit(False))
+    row = fresh(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that numbers are fixed
+    first = numbered.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min(row).alias(f"{row}kept")).select(f"{row}kept")
+    out = numbered.join(first, F.col(row) == F.col(f"{row}kept"), "left")
+    return out.select(*[f"`{c}`" for c in docs.columns], F.col(f"{row}kept").isNull().alias(name))
+
+
 def texts(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string array; null is the empty text."""
     return [b"" if x is None else x for x in array.cast(pa.binary()).to_pylist()]

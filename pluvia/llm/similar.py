@@ -14,35 +14,39 @@ keep tables sparse, and the number of segments grows with the width, so that pai
 in some table with probability ``RECALL`` at any size; more similar ones meet almost surely.
 
 Texts of at most ``SHORT`` shingles are estimated too coarsely. They stand under hashes of their own as well: of n
-hashes in order the first n - ceil(s n) + 1, of which two sets of similarity s share one, so that these pairs are all found.
+hashes in order the first n - ceil(s n) + 1, of which two sets of similarity s share one, so that these pairs all meet, and
+their distance is held against what their two sizes make likely.
 
-Keys with more than ``crowd`` members are compared in blocks of about ``block``, each pair of blocks returning only a
-spanning forest of its links, so that the links of a group grow with its members and not with their square. All other
-keys are joined, one further lane and the complete distance thin the pairs, and the exact similarity decides, in blocks
-before a link enters the forest. Beyond 2^27 fingerprints tables
-fill up and more keys take the way by blocks, with the same result.
+All keys but crowded ones are joined, one further lane and the complete distance thin the pairs, and the exact similarity
+decides. Keys with more than ``crowd`` members are compared in blocks of about ``block``. What is linked already has a label,
+and only pairs of different labels are looked for, so that the links of a group grow with its members and not with their
+square; see ``crowd_links``. Beyond 2^27 fingerprints tables fill up and more keys take that way, with the same result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, small_batches, stored, texts
+from .common import fresh, release, repeats, slices, small_batches, stored, texts
 from .components import components
 from .simhash import majority, shingle_hashes
 
 LANES = 16
-RECALL, EXACT_RECALL = 0.98, 0.999
+RECALL = 0.999
 SHORT = 64
 LEAST_WIDTH, MOST_WIDTH = 20, 28
 BLOCK, CROWD = 256, 16
 
+#: Text hashes that may be broadcast, 8 bytes each; beyond it they are joined.
+BROADCAST_ROWS = 1_000_000
+
 
 def bit_share(similarity: float) -> float:
     """Probability that a bit differs between two sets of equal size."""
@@ -132,6 +136,12 @@ def _matrix(bits: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, LANES)
 
 
+def segment_parts(rows: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """The leading bits cut into segments, as numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1)[:, : width * segments]
+    return bits.reshape(-1, segments, width) @ (np.int64(1) << np.arange(width))
+
+
 def _segments_udf(width: int, segments: int):
     """struct<lane, parts>: the last lane, and the table keys (segment number and bits) of all segments."""
 
@@ -139,8 +149,7 @@ def _segments_udf(width: int, segments: int):
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = _matrix(batch)
-            bits = np.unpackbits(rows.view(np.uint8), axis=1)[:, : width * segments].reshape(-1, segments, width)
-            keys = bits @ (np.int64(1) << np.arange(width)) + (np.arange(segments) << width)
+            keys = segment_parts(rows, width, segments) + (np.arange(segments) << width)
             ends = pa.array(np.arange(len(rows) + 1) * segments, pa.int32())
             yield pa.StructArray.from_arrays([pa.array(rows[:, -1].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "parts"])
 
@@ -153,130 +162,216 @@ def _ball(key: Column, width: int) -> Column:
     return F.concat(F.array(key), F.transform(F.filter(masks, lambda m: key.bitwiseAND(m) != 0), lambda m: key.bitwiseXOR(m)))
 
 
-def near(bits: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int, distance: int, ratio: float) -> np.ndarray:
-    """Which rows of a block link with one more fingerprint."""
-    ok = np.bitwise_count(bits ^ one).sum(1, dtype=np.int64) <= distance
-    return ok & (np.minimum(sizes, size) >= ratio * np.maximum(sizes, size))
+def short_limits(similarity: float, sigmas: float = 5.5) -> np.ndarray:
+    """The largest distance to expect between short sets, by their two sizes: ``sigmas`` above the mean at the least similarity.
 
+    For few shingles the chance that a bit differs is summed over the votes that the two sets share.
+    """
+    most = SHORT
+    pmf = np.zeros((most + 1, most + 1))  # of n coins the chance of k heads
+    pmf[0, 0] = 1
+    for n in range(1, most + 1):
+        pmf[n] = pmf[n - 1] / 2
+        pmf[n, 1:] += pmf[n - 1, :-1] / 2
+    tail = np.cumsum(pmf[:, ::-1], axis=1)[:, ::-1]  # of at least k heads
+    above = lambda n, k: np.where(k <= 0, 1.0, np.where(k > n, 0.0, tail[n, np.clip(k, 0, most)]))
+    out = np.full((most + 1, most + 1), -1, np.int64)
+    for a in range(1, most + 1):
+        for b in range(1, most + 1):
+            shared = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if shared > min(a, b):
+                continue
+            votes = np.arange(shared + 1)
+            p, q = above(a - shared, a // 2 + 1 - votes), above(b - shared, b // 2 + 1 - votes)
+            differ = float((pmf[shared, : shared + 1] * (p * (1 - q) + q * (1 - p))).sum())
+            out[a, b] = math.ceil(64 * LANES * differ + sigmas * math.sqrt(64 * LANES * differ * (1 - differ)))
+    return out
 
-def forest(left: tuple, right: tuple, distance: int, ratio: float, similarity: float | None = None) -> list[tuple[int, int]]:
-    """Links that connect all that is linked between two blocks (ids, sizes, bits, and sets for exact checks), as few as do.
 
-    The first rows go first: in a block of copies they connect nearly all, and only pairs that are not
-    connected yet are compared.
-    """
-    ids, place = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
-    group = np.arange(len(ids))
-    here, there = place[: len(left[0])], place[len(left[0]) :]
+class Nearness:
+    """Which pairs of fingerprints are candidates."""
+
+    def __init__(self, similarity: float, estimate: float) -> None:
+        self.ratio = min(similarity, estimate)
+        self.distance = int(64 * LANES * bit_share(estimate))
+        self.short = short_limits(similarity)
+
+    def __call__(self, bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """For arrays that broadcast against each other (``bits`` with one more axis, of lanes)."""
+        distance = np.bitwise_count(bits ^ other).sum(-1, dtype=np.int64)
+        limit = np.where(np.maximum(n, m) <= SHORT, self.short[np.minimum(n, SHORT), np.minimum(m, SHORT)], self.distance)
+        return (distance <= limit) & (np.minimum(n, m) >= self.ratio * np.maximum(n, m))
+
+
+def _near_udf(near: Nearness):
+    @F.arrow_udf("boolean")
+    def check(a: pa.Array, n: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array(near(_matrix(a), np.asarray(n), _matrix(b), np.asarray(m)))
+
+    return check
+
+
+@dataclass
+class Block:
+    """Members of a key: ids, shingle counts, labels of what they are linked with so far, fingerprints."""
+
+    id: np.ndarray
+    n: np.ndarray
+    label: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.StructArray) -> Block:
+        own = [np.asarray(rows.field(k)) for k in ("id", "n", "label")]
+        return Block(own[0], own[1].astype(np.int64), own[2], _matrix(rows.field("bits")))
+
+
+def forest(block: Block, near: Nearness) -> list[tuple[int, int]]:
+    """Links between near members that join all labels which can be joined, one link for each two that meet."""
+    _, group = np.unique(block.label, return_inverse=True)
     links = []
-    if similarity is not None:
-        sets = [*left[3], *right[3]]
-        values, codes = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-        codes = np.split(codes, np.cumsum([len(x) for x in sets])[:-1])
-        flag = np.zeros(len(values), bool)
-
-    def exact(i: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        flag[codes[i]] = True
-        shared = np.array([np.count_nonzero(flag[codes[j]]) for j in others], np.int64)
-        flag[codes[i]] = False
-        return enough(shared, len(codes[i]), sizes, similarity)
-
-    def join(one: int, others: np.ndarray) -> None:
-        for g in np.unique(group[others]):
-            if g != group[one]:
-                links.append((int(ids[one]), int(ids[others[group[others] == g][0]])))
-                group[group == g] = group[one]
-
-    def sweep(i: int, own: np.ndarray, a: tuple, other: np.ndarray, b: tuple) -> None:
-        rest = np.flatnonzero(group[other] != group[own[i]])
-        if len(rest):
-            most = 64 * LANES if similarity is not None and a[1][i] <= SHORT else distance
-            found = near(b[2][rest], b[1][rest], a[2][i], a[1][i], distance, ratio)
-            if most > distance:
-                found |= (b[1][rest] <= SHORT) & near(b[2][rest], b[1][rest], a[2][i], a[1][i], most, ratio)
-            rest = rest[found]
-            if similarity is not None and len(rest):
-                here_first = a is left
-                rest = rest[exact(i if here_first else len(left[0]) + i, rest + len(left[0]) if here_first else rest, b[1][rest])]
-            join(own[i], other[rest])
-
-    if len(here) and len(there):
-        sweep(0, there, right, here, left)
-        for i in range(len(here)):
-            sweep(i, here, left, there, right)
+    for i in range(len(group)):
+        rest = np.flatnonzero(group != group[i])
+        rest = rest[near(block.bits[rest], block.n[rest], block.bits[i], block.n[i])]
+        for g in np.unique(group[rest]):
+            links.append((int(block.id[i]), int(block.id[rest[group[rest] == g][0]])))
+            group[group == g] = group[i]
+    return links
+
+
+def across(key: int, members: Block, probes: Block, near: Nearness, main: int, width: int, segments: int) -> list[tuple[int, int]]:
+    """All near pairs of a probe and a member of another label that are to be reported for this key.
+
+    A pair meets in several tables: it is reported for the first segment in which it does, and there for the key of the
+    bits that both have. Pairs of short texts are reported for each key of their own hashes. ``main`` is the label that no probe has.
+    """
+    few, links = key >> 62 & 1, []
+    for label in np.unique(probes.label):
+        p, m = np.flatnonzero(probes.label == label), np.flatnonzero(members.label != label)
+        found = near(probes.bits[p][:, None], probes.n[p][:, None], members.bits[m], members.n[m])
+        i, j = np.nonzero(found)
+        i, j = p[i], m[j]
+        ok = (members.label[j] == main) | (probes.id[i] < members.id[j])
+        ok &= ((probes.n[i] <= SHORT) & (members.n[j] <= SHORT)) == bool(few)
+        i, j = i[ok], j[ok]
+        if not few and len(i):
+            x, y = segment_parts(probes.bits[i], width, segments), segment_parts(members.bits[j], width, segments)
+            meet = (np.bitwise_count(x & ~y) <= 1) & (np.bitwise_count(y & ~x) <= 1)
+            first = meet.argmax(1)
+            both = (x & y)[np.arange(len(i)), first] + (first << width)
+            i, j = i[both == key], j[both == key]
+        links += zip(probes.id[i].tolist(), members.id[j].tolist(), strict=True)
     return links
 
 
-def _forest_udf(distance: int, ratio: float, similarity: float | None):
-    kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _as_links(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in f] for f in found], _LINKS)
 
-    def block(rows: pa.StructArray) -> tuple:
-        out = np.asarray(rows.field("id")), np.asarray(rows.field("n")).astype(np.int64), _matrix(rows.field("bits"))
-        return out if similarity is None else (*out, [np.frombuffer(x, np.uint64) for x in rows.field("hashes").to_pylist()])
 
+def _forest_udf(near: Nearness):
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def links(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            found = [forest(block(x.values), block(y.values), distance, ratio, similarity) for x, y in zip(left, right, strict=True)]
-            yield pa.array([[{"a": a, "b": b} for a, b in f] for f in found], pa.list_(kind))
+    def links(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield _as_links([forest(Block.of(x.values), near) for x in rows])
+        release()
 
     return links
 
 
-def _distance_udf():
-    @F.arrow_udf("int")
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.bitwise_count(_matrix(a) ^ _matrix(b)).sum(1, dtype=np.int32))
+def _across_udf(near: Nearness, width: int, segments: int):
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    def links(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for keys, members, probes, mains in batches:
+            yield _as_links([across(k.as_py(), Block.of(m.values), Block.of(p.values), near, main.as_py(), width, segments) for k, m, p, main in zip(keys, members, probes, mains, strict=True)])
+        release()
 
-    return distance
+    return links
 
 
-def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, block: int = BLOCK, crowd: int = CROWD, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links (a, b) between ids that connect all linked fingerprints which meet in a table.
+def _blocks(members: DataFrame, block: int, name: str, seed: int, *keys: str) -> DataFrame:
+    """Members (key, id, n, label, bits, and the number of them) in random blocks of each key."""
+    salt = F.pmod(F.xxhash64("id", F.lit(seed), *keys[1:]), F.ceil(F.col(f"{name}_n") / block)).alias("salt")
+    return members.groupBy(*keys, salt).agg(F.collect_list(F.struct("id", "n", "label", "bits")).alias(name)).drop("salt")
+
+
+def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], links: DataFrame, similarity: float, margin: float, shape: tuple[int, int], block: int) -> DataFrame:
+    """Links that connect all similar members of crowded keys, beside ``links``: (id, key) -> (a, b).
+
+    Labels of what is linked so far keep the number of links below that of members. First every member is compared in random
+    blocks of its most crowded key, and only within them: in a group of near copies that links nearly all. Then, for
+    keys that still hold several labels, each member with another label than the most frequent one meets all members of
+    other labels, so that no similar pair of two labels is left out.
+    """
+    spark, full = members.sparkSession, prints.select("id", "n", "bits")
+    for estimate, times in ((similarity + 0.06, 3), (similarity, 3)):
+        labelled = _labelled(members, links)
+        of_key = stored(labelled.groupBy("key").agg(F.count("*").alias("rows_n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "rows_n"))
+        pick = labelled.join(of_key, "key").groupBy("id").agg(F.max(F.struct("rows_n", "key")).alias("most"), F.first("label").alias("label")).select("id", "label", "most.*")
+        size = pick.groupBy("key").agg(F.count("*").alias("rows_n"))
+        own = pick.drop("rows_n").join(size, "key").join(full, "id").withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        some = _blocks(own, block, "rows", 1, "key", "time")
+        udf = _forest_udf(Nearness(similarity, estimate))
+        found = _few_rows(some.select(F.explode(udf("rows")).alias("l")).select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b")), 16)
+        links = stored(links.unionByName(verified(found.distinct())))
+    labelled = stored(_labelled(members, links))
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("key").agg(F.sum("n").alias("rows_n"), F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
+    mains = stored(mains.filter("labels > 1").select("key", "rows_n", (F.col("rows_n") - F.col("m.n")).alias("probes_n"), F.col("m.label").alias("main")))
+    all_ = labelled.join(mains, "key").join(full, "id")
+    rows = _blocks(all_, block, "rows", 2, "key")
+    probes = _blocks(all_.filter("label <> main"), block, "probes", 3, "key")
+    both = rows.join(probes, "key").join(mains.select("key", "main"), "key")
+    udf = _across_udf(Nearness(similarity, similarity - margin), *shape)
+    found = _few_rows(both.select(F.explode(udf("key", "rows", "probes", "main")).alias("l")).select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b")), 16)
+    return links.unionByName(verified(found.distinct()))
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, key, label): what a member is linked with so far, itself if nothing."""
+    roots = components(links)
+    return members.join(roots, members["id"] == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label"))
+
+
+def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, sets: Callable[[DataFrame], DataFrame], block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between ids that connect all similar texts which meet in a table.
 
     ``prints`` is a written table (id: bigint, bits, n: shingles, few: keys of short texts) of ``n`` rows. ``sets`` gives
-    (id, hashes) of a table of ids, for exact checks; without it the distance decides and there are no ``few``.
+    (id, hashes) of a table of ids, for exact checks.
     """
-    width, segments = table_shape(n, similarity, RECALL if sets is None else EXACT_RECALL)
-    distance = int(64 * LANES * bit_share(similarity - margin))
+    width, segments = table_shape(n, similarity, RECALL)
     share = bit_share(similarity - margin)
     lane_most = int(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    ratio = similarity - margin
-    wide = prints if sets is None else prints.filter(F.col("n") >= similarity * SHORT)  # shorter pairs meet in ``few``
+    near = Nearness(similarity, similarity - margin)
+    wide = prints.filter(F.col("n") >= similarity * SHORT)  # shorter pairs meet in ``few``
     cut = stored(wide.select("id", "n", _segments_udf(width, segments)("bits").alias("s")).select("id", "n", "s.*"))
     own = cut.select("id", "n", "lane", F.explode("parts").alias("own"))
     entries = own.select("id", "n", "lane", F.explode(_ball(F.col("own"), width)).alias("key"))
-    if sets is not None:
-        entries = entries.unionByName(prints.select("id", "n", F.lit(0).cast("long").alias("lane"), F.explode("few").alias("key")))
-    crowded = stored(entries.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter(F.col("members") > crowd))
+    entries = entries.unionByName(prints.select("id", "n", F.lit(0).cast("long").alias("lane"), F.explode("few").alias("key")))
+    crowded = stored(entries.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > crowd).select("key"))
     some = not crowded.isEmpty()
     few = entries.join(crowded, "key", "left_anti") if some else entries
     a, b = few.alias("a"), few.alias("b")
-    short = F.greatest("a.n", "b.n") <= (SHORT if sets is not None else 0)
+    short = F.greatest("a.n", "b.n") <= SHORT
     alike = (F.col("a.id") < F.col("b.id")) & (short | (F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= lane_most))
-    alike &= F.least("a.n", "b.n") >= ratio * F.greatest("a.n", "b.n")
+    alike &= F.least("a.n", "b.n") >= near.ratio * F.greatest("a.n", "b.n")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     side = lambda name: prints.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").alias(f"{name}_n"))
-    short = F.greatest("a_n", "b_n") <= (SHORT if sets is not None else 0)
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").filter(short | (_distance_udf()("a_bits", "b_bits") <= distance))
-    links = checked.select("a", "b")
-    salted = entries.select("id", "key").distinct().join(crowded, "key")
-    if sets is not None:
-        links = stored(links)
-        ids = links.select(F.col("a").alias("id")).union(links.select("b")).union(salted.select("id")).distinct()
-        known = stored(sets(ids))
+    checked = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_udf(near)("a_bits", "a_n", "b_bits", "b_n")).select("a", "b"))
+    ids = checked.select(F.col("a").alias("id")).union(checked.select("b"))
+    if some:
+        members = stored(entries.join(crowded, "key").select("id", "key"))
+        ids = ids.union(members.select("id"))
+    known = stored(sets(ids.distinct()))
+
+    def verified(found: DataFrame) -> DataFrame:
         side = lambda name: known.select(F.col("id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
-        links = _few_rows(links.join(side("a"), "a").join(side("b"), "b").filter(_exact_udf(similarity)("a_hashes", "b_hashes")).select("a", "b"), 64)
-    if not some:
-        return links
-    full = prints.select("id", "n", "bits") if sets is None else prints.select("id", "n", "bits").join(known, "id")
-    parts = F.ceil(F.greatest(F.col("members") / block, F.col("total") / (500 * block)))  # bounds a block's shingles too
-    salted = salted.select("id", "key", F.pmod(F.xxhash64("id"), parts).alias("salt"))
-    blocks = stored(salted.join(full, "id").groupBy("key", "salt").agg(F.sort_array(F.collect_list(F.struct(*full.columns))).alias("rows")))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") <= F.col("y.salt")))
-    many = both.select(F.explode(_forest_udf(distance, ratio, None if sets is None else similarity)("x.rows", "y.rows")).alias("l")).select("l.a", "l.b")
-    return links.unionByName(_few_rows(many, 16))
+        return _few_rows(found.join(side("a"), "a").join(side("b"), "b").filter(_exact_udf(similarity)("a_hashes", "b_hashes")).select("a", "b"), 64)
+
+    links = verified(checked)
+    return crowd_links(members, prints, verified, links, similarity, margin, (width, segments), block) if some else links
 
 
 def _few_rows(df: DataFrame, rows: int) -> DataFrame:
@@ -289,6 +384,29 @@ def _few_rows(df: DataFrame, rows: int) -> DataFrame:
         small_batches(spark)
 
 
+def _grouped(docs: DataFrame, shingle: int, similarity: float, margin: float, block: int, crowd: int) -> DataFrame:
+    """(doc_id, text_hash, keep) of each row: struct none, doc_id, text_hash of the first row of its group, rows without doc_id last."""
+    text_hash = F.xxhash64("text").alias("text_hash")
+    rows = stored(docs.select("doc_id", text_hash, _prints_udf(shingle, similarity)("text").alias("p")).select("doc_id", "text_hash", "p.*"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = rows.groupBy("bits", "n").agg(F.min(row).alias("first"), F.min("text_hash").alias("text_hash"), F.min("few").alias("few"))
+    prints = stored(distinct.withColumn("id", F.monotonically_increasing_id()))  # written, so that ids are fixed
+
+    def sets(ids: DataFrame) -> DataFrame:
+        needed = stored(prints.join(ids, "id", "left_semi").select("id", "text_hash"))
+        hashes = needed.select("text_hash")
+        hashes = F.broadcast(hashes) if needed.count() <= BROADCAST_ROWS else hashes  # 8 bytes a row
+        one = docs.select(text_hash, "text").join(hashes, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+        return one.join(needed, "text_hash").select("id", _sets_udf(shingle)("text").alias("hashes"))
+
+    links = similar_links(prints.filter("n > 0").select("id", "n", "bits", "few"), prints.count(), similarity, margin, sets, block, crowd)
+    linked = prints.join(components(links), prints["id"] == F.col("node"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("keep"))
+    of_group = linked.select("id", "root").join(smallest, "root").select("id", "keep")
+    kept = stored(prints.join(of_group, "id", "left").select("bits", "n", F.coalesce("keep", "first").alias("keep")))
+    return rows.join(kept, ["bits", "n"]).select("doc_id", "text_hash", "keep")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id): one row per row of ``docs``; the smallest doc_id reachable over links, its own included.
 
@@ -296,36 +414,22 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     whole sequence).
 
     Defined cases: null text and text without words have the fingerprint zero and are one group; texts with the same
-    shingles are one group; null doc_ids take part but are never the smallest unless a group has no other; an empty table
-    gives no rows; other columns are ignored.
+    shingles are one group; null doc_ids take part but are never the smallest unless a group has no other; rows that share
+    a doc_id are grouped by their own texts; an empty table gives no rows; other columns are ignored.
     """
-    text_hash = F.xxhash64("text").alias("text_hash")
-    rows = stored(docs.select("doc_id", text_hash, _prints_udf(shingle, similarity)("text").alias("p")).select("doc_id", "text_hash", "p.*"))
-    distinct = rows.groupBy("bits", "n").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.min("few").alias("few"))
-    prints = stored(distinct.withColumn("id", F.monotonically_increasing_id()))  # written, so that ids are fixed
-
-    def sets(ids: DataFrame) -> DataFrame:
-        one = docs.groupBy(text_hash).agg(F.first("text").alias("text"))
-        return one.join(prints.join(ids, "id", "left_semi").select("id", "text_hash"), "text_hash").select("id", _sets_udf(shingle)("text").alias("hashes"))
-
-    links = similar_links(prints.filter("n > 0").select("id", "n", "bits", "few"), prints.count(), similarity, margin, block, crowd, sets)
-    linked = prints.join(components(links), prints["id"] == F.col("node"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_group = linked.select("id", "root").join(smallest, "root").select("id", F.col("component_id").alias("group_id"))
-    ids = stored(prints.join(of_group, "id", "left").select("bits", "n", F.coalesce("group_id", "first").alias("component_id")))
-    return rows.join(ids, ["bits", "n"]).select("doc_id", "component_id")
+    return _grouped(docs, shingle, similarity, margin, block, crowd).select("doc_id", F.col("keep.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id. Rows without a doc_id stay.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest doc_id, and of those the smallest text hash.
 
-    Of repeated rows with the smallest doc_id one stays as well.
+    Rows are told apart by doc_id and text, so different texts under one doc_id are kept or dropped on their own; of rows equal in both
+    one stays. Rows without a doc_id count like others, but come last.
     """
-    found = stored(similar_groups(docs, shingle, similarity))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    found = _grouped(docs, shingle, similarity, margin, BLOCK, CROWD)
+    name, marked = fresh(docs, "gone"), repeats(docs, fresh(docs, "again"))
+    gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))))
+    gone = stored(gone.select(F.col("doc_id").alias(f"{name}id"), F.col("text_hash").alias(f"{name}hash")).distinct())
+    same = marked["doc_id"].eqNullSafe(F.col(f"{name}id")) & (F.xxhash64(marked["text"]) == F.col(f"{name}hash"))
+    left = marked.join(gone, same, "left_anti")
+    return left.filter(~F.col(marked.columns[-1])).select(*[f"`{c}`" for c in docs.columns])

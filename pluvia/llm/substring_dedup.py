@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, release, slices, stored, texts
+from .common import LOWER, fresh, release, repeats, slices, stored, texts
 
 RUN = 3
 MIN_WORDS = 15
@@ -242,26 +242,13 @@ def _cut_udf(run: int, min_words: int):
     return cut
 
 
-def _marked(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with one more column: whether another row has the same doc_id and text and counts instead."""
-    key = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    again = key.groupBy("doc_id", "text_hash").count().filter("count > 1")
-    if again.isEmpty():
-        return docs.withColumn(name, F.lit(False))
-    row = fresh(docs, "row")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that numbers are fixed
-    counts = numbered.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min(row).alias("r")).select(F.col("r").alias(f"{row}kept"))
-    out = numbered.join(counts, F.col(row) == F.col(f"{row}kept"), "left")
-    return out.select(*[f"`{c}`" for c in docs.columns], F.col(f"{row}kept").isNull().alias(name))
-
-
 def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
     """``docs`` with one more column (its name is returned too): struct n_sentences, n_removed, text (what is left)."""
     name = fresh(docs, "spans")
     side = repeated_places(docs, run, min_words).select(
         F.col("doc_id").alias(f"{name}id"), F.col("text_hash").alias(f"{name}hash"), F.col("places").alias(f"{name}places")
     )
-    docs = _marked(docs, f"{name}extra")
+    docs = repeats(docs, f"{name}extra")
     same = docs["doc_id"].eqNullSafe(F.col(f"{name}id")) & (F.xxhash64(docs["text"]) == F.col(f"{name}hash"))
     out = docs.join(side, same, "left").withColumn(name, _cut_udf(run, min_words)("text", f"{name}places", f"{name}extra"))
     return out.drop(f"{name}id", f"{name}hash", f"{name}places", f"{name}extra"), name

@@ -435,36 +435,57 @@ def test_similar_groups_are_exact_at_the_limit(spark, crowd):
     assert sum(d != r for d, r in got.items()) == 30
 
 
-def test_similar_links_connect_what_brute_force_connects(spark):
-    rng = np.random.default_rng(3)
-    prints = []
-    for _ in range(6):
-        base = rng.integers(0, 2, 64 * similar.LANES, dtype=np.uint8)
-        for _ in range(40):
-            near = base.copy()
-            near[rng.choice(len(near), 60, replace=False)] ^= 1
-            prints.append(near)
-    rows = [(i, 100, bytearray(np.packbits(p).tobytes())) for i, p in enumerate(prints)]
-    table = spark.createDataFrame(rows, "id bigint, n int, bits binary")
-    for block in (256, 8):
-        roots = {r["node"]: r["root"] for r in components(similar.similar_links(table, len(rows), 0.8, 0.02, block)).collect()}
-        assert roots == {i: i // 40 * 40 for i in range(240)}
+def test_near_dedup_tells_rows_with_one_id_apart(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(str(rng.randrange(10**6)) for _ in range(80)) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, c), (7, d), (8, e), (8, e), (None, e + " x"), (None, "alone"), (None, "alone")]
+    kept = similar.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, a), (5, b), (7, c), (7, d), (8, e), (0, "alone")])
+
+
+def test_near_dedup_of_a_crowd(spark):
+    """One base, copies with few and with many edits, and texts that share a passage: groups as by all pairs, and few links."""
+    rng, docs = random.Random(12), {}
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    for _ in range(300):
+        new = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
+            new[rng.randrange(len(new))] = word()
+        docs[len(docs)] = " ".join(new)
+    for _ in range(100):
+        docs[len(docs)] = " ".join([*passage, *(word() for _ in range(rng.choice([5, 12, 40])))])
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    for block in (256, 32):
+        got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows, block=block, crowd=4).collect()}
+        assert got == groups_at(0.8, docs)
+
+
+def test_short_limits_hold_at_the_limit():
+    rng, limits = np.random.default_rng(2), similar.short_limits(0.8)
+    for shared, a, b in [(4, 1, 0), (8, 1, 1), (40, 5, 5), (48, 12, 0), (51, 6, 6), (1, 0, 0)]:
+        both, x, y = (rng.integers(0, 1 << 63, k).astype(np.uint64) * np.uint64(2) for k in (shared, a, b))
+        p, q = np.concatenate([both, x]), np.concatenate([both, y])
+        lanes = similar.lanes_of(np.concatenate([p, q]), np.array([len(p), len(q)]))
+        assert np.bitwise_count(lanes[0] ^ lanes[1]).sum() <= limits[len(p), len(q)] < 450
+    assert limits[5, 10] == -1
 
 
-def test_forest_links_whole_blocks():
+def test_forest_joins_labels():
     rng = np.random.default_rng(1)
     bits = rng.integers(0, 1 << 63, (30, similar.LANES)).astype(np.uint64)
     bits[10:20], bits[20:] = bits[:10] ^ np.uint64(1), bits[:10] ^ np.uint64(3)
-    block = (np.arange(30), np.full(30, 50), bits)
-    links = similar.forest(block, block, 20, 0.8)
+    near = similar.Nearness(0.8, 0.8)
+    links = similar.forest(similar.Block(np.arange(30), np.full(30, 100), np.arange(30), bits), near)
     assert len(links) == 20 and {(b - a) % 10 for a, b in links} == {0}
+    labels = np.arange(30) % 10
+    assert similar.forest(similar.Block(np.arange(30), np.full(30, 100), labels, bits), near) == []
 
 
 def test_table_shape_keeps_recall():
     for n in (0, 1, 1000, 10**7, 10**12):
         width, segments = similar.table_shape(n, 0.8)
         assert 20 <= width <= 28 and width * segments <= 64 * (similar.LANES - 1)
-    assert similar.table_shape(10, 0.8) == (20, 12)
 
 
 def test_components_of_chains_and_stars(spark):
