@@ -15,12 +15,13 @@ pixels             line items as raster pixels with a value, a class and the cel
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import claims, events, linking
+from .operators import claims, events, grid, linking
 from .sources import files
 
 CATEGORY_OF = {"click": "A", "error": "B", "purchase": "C", "signup": "D", "view": "E"}
@@ -58,11 +59,22 @@ class Domain:
         calendar = self.cells.join(F.broadcast(days)).select("cid", "x", "y", F.explode(hours).alias("time"))
         return calendar.join(self.observed, ["cid", "time"], "left").select("cid", "x", "y", "time", F.coalesce("precip", F.lit(0.0)).alias("precip"))
 
+    @cached_property
+    def smoothed(self) -> DataFrame:
+        """Means over 3 x 3 cells; rounded, so that a sum's order doesn't decide what is wet."""
+        return grid.smooth(self.precip, self.cells).withColumn("precip", F.round(F.col("precip") + 1e-9, 6))
+
     @cached_property
     def rain_events(self) -> DataFrame:
-        found = events.extract_events(self.precip).join(F.broadcast(self.cells), "cid")
+        found = events.extract_events(self.precip).join(self.cells, "cid")
         return files.stored(events.with_event_ids(found), "events")  # a table of its own: most analyses read it several times
 
+    @cached_property
+    def smoothed_events(self) -> DataFrame:
+        """Events of the smoothed series."""
+        found = events.extract_events(files.stored(self.smoothed, "smoothed")).join(self.cells, "cid")
+        return files.stored(events.with_event_ids(found), "events")
+
     @cached_property
     def claims_long(self) -> DataFrame:
         code = F.create_map(*[F.lit(x) for pair in CATEGORY_OF.items() for x in pair])[F.col("event_type")]
@@ -85,7 +97,7 @@ class Domain:
     @cached_property
     def urgent(self) -> DataFrame:
         rows = self.table("orders").filter("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") + 1).cast("int").alias("cid"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("category"))
-        return rows.join(F.broadcast(self.cells.select("cid")), "cid", "left_semi")
+        return rows.join(self.cells.select("cid"), "cid", "left_semi")
 
     @cached_property
     def exposure(self) -> DataFrame:
@@ -123,6 +135,11 @@ class Domain:
     def linked(self) -> DataFrame:
         return linking.linked_claims(self.ranked)
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Links by each named set of criteria and windows."""
+        return files.stored(linking.sweep(self.claims, self.rain_events), "runs")
+
     @cached_property
     def targets(self) -> DataFrame:
         return linking.events_with_target(self.rain_events, self.ranked, self.exposure)
@@ -212,3 +229,37 @@ targets AS (
   FROM rain_events e LEFT JOIN linked l USING (eid) JOIN exposure x ON x.cid = e.cid AND x.year = year(e.e_start)
   WHERE e.eid NOT IN (SELECT eid FROM losers))
 """
+
+#: Smoothed series, to go on after the domain tables.
+SMOOTHED = """
+, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells),
+around AS (SELECT c.cid, n.cid AS nbr, count(*) AS weight FROM cells c, box, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), cells n
+  WHERE n.x = least(greatest(c.x + 1000 * i, x0), x1) AND n.y = least(greatest(c.y + 1000 * j, y0), y1) GROUP BY c.cid, n.cid),
+smoothed AS (SELECT a.cid, time, round(sum(precip * weight) / 9.0 + 1e-9, 6) AS precip FROM precip p JOIN around a ON a.nbr = p.cid GROUP BY a.cid, time)"""
+
+
+def _events_of(series: str, prefix: str) -> str:
+    """The part of ``SQL`` that extracts events, on another series and under other names."""
+    part = SQL[SQL.index("wet AS (") : SQL.index("claims_long AS (")].rstrip().rstrip(",")
+    for name in ("wet", "spans", "grouped", "sums", "apis", "rounded", "rain_events"):
+        part = re.sub(rf"\b{name}\b", prefix + name, part)
+    return part.replace("FROM precip ", f"FROM {series} ").replace("JOIN precip ", f"JOIN {series} ")
+
+
+#: Events of the smoothed series as s_rain_events.
+SMOOTHED_EVENTS = f"{SMOOTHED},\n{_events_of('smoothed', 's_')}"
+
+#: Links by each named set of criteria as runs (run, date_claim, cid, eid); all sets have the windows 5, 3, 1.
+RUNS = f"""
+, sets AS (SELECT * FROM (VALUES {", ".join(f"('{run}', '{c}')" for run, (criteria, _) in linking.SWEEP.items() for c in criteria)}) AS t(run, crit)),
+names AS (SELECT run, bool_or(crit = 'prior') AS by_prior FROM sets GROUP BY run),
+hits AS (SELECT *, v = max(v) OVER (PARTITION BY date_claim, cid, w, crit) AS hit FROM criteria),
+run_votes AS (
+  SELECT run, date_claim, cid, eid, count(*) FILTER (hit) AS n, count(*) FILTER (hit AND w = 1 AND crit IN ('i_mean', 'i_max', 'p_sum')) AS s1,
+    count(*) FILTER (hit AND w = 3 AND crit IN ('i_mean', 'i_max', 'p_sum')) AS s3, count(*) FILTER (hit AND w = 5 AND crit IN ('i_mean', 'i_max', 'p_sum')) AS s5
+  FROM hits JOIN sets USING (crit) GROUP BY run, date_claim, cid, eid),
+run_ranked AS (
+  SELECT run, date_claim, cid, eid, row_number() OVER (PARTITION BY run, date_claim, cid
+    ORDER BY coalesce(n, 0) + CASE WHEN by_prior THEN prior ELSE 0 END DESC, coalesce(s1, 0) DESC, coalesce(s3, 0) DESC, coalesce(s5, 0) DESC, eid) AS rn
+  FROM (SELECT date_claim, cid, eid, prior, run, by_prior FROM windowed, names) LEFT JOIN run_votes USING (run, date_claim, cid, eid)),
+runs AS (SELECT run, date_claim, cid, eid FROM run_ranked WHERE rn = 1)"""

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import percentile_rank, seconds
+from ..sources.files import stored
 
 WET = 0.1
 GAP_HOURS = 8
 LEAST_SUM = 10.0
 API_HOURS = 720
 API_DECAY = 0.8
+CELL_BLOCK = 10_000
 RANKED = ["duration", "p_sum", "i_max", "i_mean", "i_sd", "api"]
 
 
@@ -80,10 +82,13 @@ def extract_events(precip: DataFrame) -> DataFrame:
 def with_event_ids(events: DataFrame) -> DataFrame:
     """``eid`` from 1 on, by cell and start: the place in the cell after the events of all cells before it.
 
-    Only the cells' counts are summed in one place, never the events.
+    Cells' counts are summed per block of cells, and only the blocks' sums in one place.
     """
-    counts = events.groupBy("cid").agg(F.count("*").alias("own"))
-    before = counts.select("cid", (F.sum("own").over(Window.orderBy("cid")) - F.col("own")).alias("before"))
+    counts = events.groupBy("cid").agg(F.count("*").alias("own")).withColumn("block", F.floor(F.col("cid") / CELL_BLOCK))
+    blocks = counts.groupBy("block").agg(F.sum("own").alias("all"))
+    start = blocks.select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("start"))  # one row per block of cells
+    inner = (F.sum("own").over(Window.partitionBy("block").orderBy("cid")) - F.col("own")).alias("inner")
+    before = counts.select("cid", "block", inner).join(start, "block").select("cid", (F.col("start") + F.col("inner")).alias("before"))
     place = F.row_number().over(Window.partitionBy("cid").orderBy("e_start"))
     return events.withColumn("place", place).join(before, "cid").withColumn("eid", (F.col("before") + F.col("place")).cast("long")).drop("place", "before")
 
@@ -94,19 +99,21 @@ EVENT_COLUMNS = ["eid", "cid", "x", "y", "e_start", "e_end", "duration", "p_sum"
 def compare_event_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of events of two sets, with the step that matched them: the same span, start, end, or overlapping spans.
 
-    Each step works on the events that no step before has matched; a row is (step, left eid, right eid).
+    Each step works on the events that no step before has matched; a row is (step, left eid, right eid). Both sets should be
+    written tables; each step's matches are written, since later steps read them twice.
     """
     steps = [
         ("same", ["cid", "e_start", "e_end"], None),
         ("start", ["cid", "e_start"], None),
         ("end", ["cid", "e_end"], None),
-        ("overlap", ["cid"], (F.col("l.e_start") <= F.col("r.e_end")) & (F.col("l.e_end") >= F.col("r.e_start"))),
+        ("overlap", ["cid"], (F.col("l.e_start") < F.col("r.e_end")) & (F.col("l.e_end") > F.col("r.e_start"))),
     ]
     keys = ["eid", "cid", "e_start", "e_end"]
     a, b, found = left.select(*keys), right.select(*keys), []
     for name, equal, more in steps:
         on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in equal] + ([more] if more is not None else [])
         met = a.alias("l").join(b.alias("r"), reduce(lambda p, q: p & q, on)).select(F.lit(name).alias("step"), F.col("l.eid").alias("left_eid"), F.col("r.eid").alias("right_eid"))
+        met = stored(met, "matches")
         found.append(met)
         a = a.join(met.select(F.col("left_eid").alias("eid")), "eid", "left_anti")
         b = b.join(met.select(F.col("right_eid").alias("eid")), "eid", "left_anti")

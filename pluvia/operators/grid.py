@@ -27,11 +27,11 @@ def neighbours(cells: DataFrame, size: int = 3, step: float = 1000.0) -> DataFra
 
 
 def smooth(precip: DataFrame, cells: DataFrame, size: int = 3) -> DataFrame:
-    """Mean over the square around each cell per hour, nulls as 0."""
+    """Mean over the square around each cell per hour; nulls, and places that the grid has no cell for, count as 0."""
     around = neighbours(cells, size).withColumnRenamed("cid", "target")
     rows = precip.select(F.col("cid").alias("nbr_cid"), "time", F.coalesce("precip", F.lit(0.0)).alias("precip"))
     sums = rows.join(around, "nbr_cid").groupBy(F.col("target").alias("cid"), "time")
-    return sums.agg((F.sum(F.col("precip") * F.col("weight")) / F.sum("weight")).alias("precip"))
+    return sums.agg((F.sum(F.col("precip") * F.col("weight")) / float(size * size)).alias("precip"))
 
 
 def hours_around(samples: DataFrame, precip: DataFrame, before_days: int, after_days: int) -> DataFrame:

@@ -19,17 +19,17 @@ CRITERIA = ("prior", "i_mean", "i_max", "p_sum", "r_ts_win", "r_ts_evt")
 SUB_CRITERIA = ("i_mean", "i_max", "p_sum")
 CLAIM = ("date_claim", "cid")
 
-#: Named sets of criteria and windows, for the sensitivity of links to them.
+#: Named sets of criteria and windows, for the sensitivity of links to them.
 SWEEP = {
-    "all_531": (CRITERIA, (5, 3, 1)),
-    "no_prior": (CRITERIA[1:], (5, 3, 1)),
-    "intensity": (("i_mean", "i_max"), (5, 3, 1)),
-    "amount": (("p_sum",), (5, 3, 1)),
-    "overlap": (("r_ts_win", "r_ts_evt"), (5, 3, 1)),
-    "prior_max": (("prior", "i_max"), (5, 3, 1)),
-    "all_31": (CRITERIA, (3, 1)),
-    "all_1": (CRITERIA, (1,)),
-    "all_642": (CRITERIA, (6, 4, 2)),
+    "v1": (("i_max",), (5, 3, 1)),
+    "v2": (("p_sum",), (5, 3, 1)),
+    "v3": (("i_max", "p_sum"), (5, 3, 1)),
+    "v4": (("i_max", "p_sum", "i_mean"), (5, 3, 1)),
+    "v5": (("i_max", "p_sum", "r_ts_evt"), (5, 3, 1)),
+    "v6": (("i_max", "p_sum", "r_ts_win", "r_ts_evt"), (5, 3, 1)),
+    "v7": (("i_mean", "i_max", "p_sum", "r_ts_win", "r_ts_evt"), (5, 3, 1)),
+    "v8": (("prior", "i_max", "p_sum", "r_ts_win", "r_ts_evt"), (5, 3, 1)),
+    "v9": (("prior", "i_mean", "i_max", "p_sum", "r_ts_win", "r_ts_evt"), (5, 3, 1)),
 }
 
 
@@ -85,8 +85,8 @@ def is_prior() -> Column:
     return (F.col("e_start") < day_start(F.col("date_claim"), 1)).cast("int")
 
 
-def scored_candidates(pairs: DataFrame, windows: tuple[int, ...] = WINDOWS, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
-    """``score`` (all votes) and ``sub_<window>`` (votes for intensity and amount) of each candidate.
+def with_votes(pairs: DataFrame, windows: tuple[int, ...], criteria: tuple[str, ...]) -> tuple[DataFrame, dict[tuple[int, str], str]]:
+    """Candidates with a column of 0 or 1 for each window and criterion, and the columns' names.
 
     In each window only candidates that overlap it compete, and all that have the largest value get the vote.
     """
@@ -100,12 +100,19 @@ def scored_candidates(pairs: DataFrame, windows: tuple[int, ...] = WINDOWS, crit
             if c != "prior":
                 value = F.when(F.col("min_window") <= w, F.col(f"{c}_{w}" if c.startswith("r_ts") else c))
                 votes[w, c] = F.coalesce((value == F.max(value).over(claim)).cast("int"), F.lit(0))
-    rows = rows.withColumns({f"vote_{c}_{w}": v for (w, c), v in votes.items()})
-    vote = lambda w, c: F.col(f"vote_{c}_{w}") if c in criteria else F.lit(0)
-    add = lambda columns: reduce(lambda a, b: a + b, columns, F.lit(0))
-    score = add([vote(w, c) for w, c in votes]) + (is_prior() if "prior" in criteria else F.lit(0))
-    subs = {f"sub_{w}": add([vote(w, c) for c in SUB_CRITERIA]) for w in windows}
-    return rows.withColumns({"prior": is_prior(), "score": score, **subs}).drop(*[f"vote_{c}_{w}" for w, c in votes])
+    return rows.withColumns({"prior": is_prior(), **{f"vote_{c}_{w}": v for (w, c), v in votes.items()}}), {k: f"vote_{k[1]}_{k[0]}" for k in votes}
+
+
+def sums_of_votes(votes: dict[tuple[int, str], str], windows: tuple[int, ...], criteria: tuple[str, ...]) -> dict[str, Column]:
+    """``score`` (all votes) and ``sub_<window>`` (votes for intensity and amount) by a set of criteria."""
+    add = lambda keys: reduce(lambda a, b: a + b, [F.col(votes[k]) for k in keys if k[1] in criteria], F.lit(0))
+    score = add(votes) + (F.col("prior") if "prior" in criteria else F.lit(0))
+    return {"score": score, **{f"sub_{w}": add([(w, c) for c in SUB_CRITERIA if (w, c) in votes]) for w in windows}}
+
+
+def scored_candidates(pairs: DataFrame, windows: tuple[int, ...] = WINDOWS, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
+    rows, votes = with_votes(pairs, windows, criteria)
+    return rows.withColumns(sums_of_votes(votes, windows, criteria)).drop(*votes.values())
 
 
 def ranked_candidates(pairs: DataFrame, windows: tuple[int, ...] = WINDOWS, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
@@ -144,10 +151,18 @@ def link_stats(claims: DataFrame, ranked: DataFrame, windows: tuple[int, ...] =
 def sweep(claims: DataFrame, events: DataFrame, sets: dict = SWEEP) -> DataFrame:
     """(run, date_claim, cid, eid) for each named set of criteria and windows.
 
-    Sets with the same windows share their candidates' plan, which Spark then reuses.
+    Sets with the same windows share one pass: votes are counted once, and every candidate then stands in each run with the
+    run's own score, still partitioned by claim.
     """
-    found = {w: candidates(claims, events, w) for w in {w for _, w in sets.values()}}
-    runs = [linked_claims(ranked_candidates(found[w], w, c)).select(F.lit(name).alias("run"), *CLAIM, "eid") for name, (c, w) in sets.items()]
+    runs = []
+    for windows in dict.fromkeys(w for _, w in sets.values()):
+        own = {name: c for name, (c, w) in sets.items() if w == windows}
+        rows, votes = with_votes(candidates(claims, events, windows), windows, tuple(dict.fromkeys(c for cs in own.values() for c in cs)))
+        of_run = [F.struct(F.lit(name).alias("run"), *[v.cast("int").alias(k) for k, v in sums_of_votes(votes, windows, c).items()]) for name, c in own.items()]
+        rows = rows.select(*CLAIM, "eid", F.inline(F.array(*of_run)))
+        order = [F.desc("score"), *[F.desc(f"sub_{w}") for w in sorted(windows)], F.asc("eid")]
+        nth = F.row_number().over(Window.partitionBy(*CLAIM, "run").orderBy(*order))
+        runs.append(rows.withColumn("rn", nth).filter("rn = 1").select("run", *CLAIM, "eid"))
     return reduce(DataFrame.unionByName, runs)
 
 

@@ -18,7 +18,7 @@ SELECT g.source, g.x0, g.x1, g.y0, g.y1, g.n_cells, s.step, g.x0 = p.x0 AND g.x1
 FROM grids g JOIN steps s USING (source), (SELECT * FROM grids WHERE source = 'precip') p, (SELECT * FROM steps WHERE source = 'precip') q""")
 def check_grid(d) -> DataFrame:
     """Extent, step and cells of each source, compared with the precipitation grid."""
-    places = lambda rows, name: rows.select(F.lit(name).alias("source"), "cid").distinct().join(F.broadcast(d.cells), "cid")
+    places = lambda rows, name: rows.select(F.lit(name).alias("source"), "cid").distinct().join(d.cells, "cid")
     rows = places(d.claims_wide, "claims").unionByName(places(d.exposure, "contracts")).unionByName(places(d.precip, "precip"))
     grids = rows.groupBy("source").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.countDistinct("cid").alias("n_cells"))
     gaps = rows.select("source", "x").distinct().withColumn("gap", F.col("x") - F.lag("x").over(Window.partitionBy("source").orderBy("x")))

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..adapters import STATUSES
+from ..adapters import RUNS, STATUSES
 from ..operators import claims, events, grid, linking
+from ..sources.files import stored
 from .base import query
-from .joins import DIFF, OTHER, TWO_RUNS, other_events, two_runs
+from .joins import DIFF, MATCHES
 
 
 def share(value: Column) -> Column:
@@ -122,19 +123,37 @@ def histograms(d) -> DataFrame:
     return part(0).unionByName(part(1)).select("target", "bin", "n", "density")
 
 
-@query("smoothing_stats", OTHER + """
-SELECT step, count(*) AS n, round(100.0 * count(DISTINCT left_eid) / (SELECT count(*) FROM rain_events), 4) AS percent,
-  round(avg(r.duration_h - l.duration) + 1e-9, 4) AS mean_diff, round(avg(100.0 * (r.duration_h - l.duration) / l.duration) + 1e-9, 4) AS mean_rel_diff
-FROM matches JOIN rain_events l ON l.eid = left_eid JOIN (SELECT eid, date_diff('hour', e_start, e_end) + 1 AS duration_h FROM other) r ON r.eid = right_eid GROUP BY step""")
+COMPARED = ["p_sum", "i_mean", "i_max", "api", "p_sum_q", "i_mean_q", "i_max_q", "api_q"]
+
+
+@query("smoothing_stats", MATCHES + """
+, met AS (SELECT step, l.*, r.duration AS r_duration, """ + ", ".join(f"r.{c} AS r_{c}" for c in COMPARED) + """ FROM matches JOIN rain_events l ON l.eid = left_eid JOIN s_rain_events r ON r.eid = right_eid),
+long AS (SELECT step, 'duration' AS attribute, CAST(duration AS DOUBLE) AS a, CAST(r_duration AS DOUBLE) AS b FROM met""" + "".join(f" UNION ALL SELECT step, '{c}', {c}, r_{c} FROM met WHERE step = 'same'" for c in COMPARED) + """),
+size AS (SELECT count(*) AS total FROM rain_events)
+SELECT step, attribute, count(*) AS n, round(100.0 * count(*) / max(total) + 1e-9, 4) AS percent, round(avg(a) + 1e-9, 4) AS mean_raw, round(avg(b) + 1e-9, 4) AS mean_smoothed, max(a) AS max_raw, max(b) AS max_smoothed,
+  round(avg(b - a) + 1e-9, 4) AS mean_diff, round(avg(100.0 * (b - a) / nullif(a, 0)) + 1e-9, 4) AS mean_rel_diff FROM long, size GROUP BY step, attribute
+UNION ALL SELECT 'rest', NULL, count(*), round(100.0 * count(*) / (SELECT total FROM size) + 1e-9, 4), NULL, NULL, NULL, NULL, NULL, NULL FROM rain_events WHERE eid NOT IN (SELECT left_eid FROM matches)""")
 def smoothing_stats(d) -> DataFrame:
-    """Differences of durations between matched events of two sets, and the share of the first set at each step."""
-    other = other_events(d)
-    met = events.compare_event_sets(d.rain_events, other)
-    rows = met.join(d.rain_events.select(F.col("eid").alias("left_eid"), "duration"), "left_eid").join(other.select(F.col("eid").alias("right_eid"), F.col("duration").alias("other")), "right_eid")
+    """What smoothing does to events: durations of the pairs that each step matched, eight attributes of equal spans, and what no step matched.
+
+    Differences are smoothed less raw; relative ones leave out raw values of 0.
+    """
+    met = stored(events.compare_event_sets(d.rain_events, d.smoothed_events), "matches")
+    side = lambda rows, eid, name: rows.select(F.col("eid").alias(eid), F.struct(F.col("duration").cast("double").alias("duration"), *COMPARED).alias(name))
+    rows = met.join(side(d.rain_events, "left_eid", "a"), "left_eid").join(side(d.smoothed_events, "right_eid", "b"), "right_eid")
+    kept = lambda c: (F.col("step") == "same") | F.lit(c == "duration")
+    pairs = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b"), kept(c).alias("kept")) for c in ["duration", *COMPARED]])
+    long = rows.select("step", F.inline(pairs)).filter("kept")
     total = d.rain_events.agg(F.count("*").alias("total"))  # one row
-    diff = F.col("other") - F.col("duration")
-    out = rows.groupBy("step").agg(F.count("*").alias("n"), F.countDistinct("left_eid").alias("left"), F.round(F.avg(diff) + 1e-9, 4).alias("mean_diff"), F.round(F.avg(100.0 * diff / F.col("duration")) + 1e-9, 4).alias("mean_rel_diff"))
-    return out.join(F.broadcast(total)).select("step", "n", F.round(100.0 * F.col("left") / F.col("total"), 4).alias("percent"), "mean_diff", "mean_rel_diff")
+    r = lambda c: F.round(c + 1e-9, 4)
+    diff = F.col("b") - F.col("a")
+    out = long.groupBy("step", "attribute").agg(
+        F.count("*").alias("n"), r(F.avg("a")).alias("mean_raw"), r(F.avg("b")).alias("mean_smoothed"), F.max("a").alias("max_raw"), F.max("b").alias("max_smoothed"),
+        r(F.avg(diff)).alias("mean_diff"), r(F.avg(F.try_divide(100.0 * diff, F.col("a")))).alias("mean_rel_diff"),
+    )
+    rest = d.rain_events.join(met.select(F.col("left_eid").alias("eid")), "eid", "left_anti").agg(F.count("*").alias("n")).withColumn("step", F.lit("rest"))
+    both = out.unionByName(rest, allowMissingColumns=True).join(F.broadcast(total))
+    return both.withColumn("percent", r(100.0 * F.col("n") / F.col("total"))).drop("total")
 
 
 @query("time_difference_hist", """
@@ -153,7 +172,7 @@ def time_difference_hist(d) -> DataFrame:
 SELECT run_a AS run_row, run_b AS run_col, CAST(n_diff AS DOUBLE) AS value FROM diffs UNION ALL SELECT run_b, run_a, round(100.0 * n_diff / n_b, 4) FROM diffs""")
 def disagreement_matrix(d) -> DataFrame:
     """Above the diagonal numbers of claims that two runs link differently, below it the percentage of the row's links."""
-    diffs = linking.disagreements(two_runs(d))
+    diffs = linking.disagreements(d.runs)
     upper = diffs.select(F.col("run_a").alias("run_row"), F.col("run_b").alias("run_col"), F.col("n_diff").cast("double").alias("value"))
     return upper.unionByName(diffs.select(F.col("run_b").alias("run_row"), F.col("run_a").alias("run_col"), F.round(100.0 * F.col("n_diff") / F.col("n_b"), 4).alias("value")))
 
@@ -193,9 +212,9 @@ def scores_by_model(d) -> DataFrame:
     return f1.groupBy("model").agg(F.count("f1").alias("n"), r(F.avg("f1"), "mean"), r(F.stddev_samp("f1"), "sd"), r(F.min("f1"), "min"), r(F.median("f1"), "q50"), r(F.max("f1"), "max"))
 
 
-@query("distinct_cells", TWO_RUNS + " SELECT DISTINCT cid FROM runs")
+@query("distinct_cells", RUNS + " SELECT DISTINCT cid FROM runs")
 def distinct_cells(d) -> DataFrame:
-    return two_runs(d).select("cid").distinct()
+    return d.runs.select("cid").distinct()
 
 
 @query("impact_subsets", """

@@ -156,7 +156,7 @@ def drop_null_features(d) -> DataFrame:
 
 @query("cell_lookup", "SELECT date_claim, cid, x, y FROM claims JOIN cells USING (cid)")
 def cell_lookup(d) -> DataFrame:
-    return d.claims.select("date_claim", "cid").join(F.broadcast(d.cells), "cid")
+    return d.claims.select("date_claim", "cid").join(d.cells, "cid")
 
 
 @query("round_to_step", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..adapters import CATEGORIES
+from ..adapters import CATEGORIES, RUNS, SMOOTHED_EVENTS
 from ..operators import claims, events, grid, linking
 from .base import query
 from .filters import PIXEL_LAYERS, pixel_layers
@@ -21,8 +21,8 @@ def claims_wide(d) -> DataFrame:
 @query("attach_cells", "SELECT year, e.cid, x, y, CAST(sum(n) AS BIGINT) AS n FROM exposure_long e JOIN cells USING (cid) WHERE cid <> 0 GROUP BY ALL")
 def attach_cells(d) -> DataFrame:
     """Exposure with the place of its cell, found by grid position; rows without a cell go."""
-    placed = d.exposure_long.join(F.broadcast(d.cells), "cid").drop("cid")  # exposure as it comes: by position
-    on = placed.join(F.broadcast(d.cells.filter("cid <> 0")), ["x", "y"])
+    placed = d.exposure_long.join(d.cells, "cid").drop("cid")  # exposure as it comes: by position
+    on = placed.join(d.cells.filter("cid <> 0"), ["x", "y"])
     return on.groupBy("year", "cid", "x", "y").agg(F.sum("n").alias("n"))
 
 
@@ -87,57 +87,36 @@ def events_of_removed_claims(d) -> DataFrame:
     return linking.events_of_removed_claims(d.rain_events, d.removed_claims, d.linked)
 
 
-TWO_RUNS = """
-, narrow AS (SELECT date_claim, cid, eid FROM (SELECT date_claim, c.cid, eid, row_number() OVER (PARTITION BY date_claim, c.cid ORDER BY e_start < date_claim + INTERVAL 1 DAY DESC, eid) AS rn
-  FROM claims c JOIN rain_events e ON e.cid = c.cid AND e_start < date_claim + INTERVAL 1 DAY AND e_end > date_claim) WHERE rn = 1),
-runs AS (SELECT 'all_531' AS run, date_claim, cid, eid FROM linked UNION ALL SELECT 'first_1', date_claim, cid, eid FROM narrow),
-sizes AS (SELECT run, count(*) AS n FROM runs GROUP BY run)"""
-
-DIFF = TWO_RUNS + """
-, pairs AS (SELECT a.run AS run_a, b.run AS run_b, a.n AS n_a, b.n AS n_b, CASE WHEN a.n >= b.n THEN a.run ELSE b.run END AS larger, CASE WHEN a.n >= b.n THEN b.run ELSE a.run END AS smaller
+DIFF = RUNS + """
+, sizes AS (SELECT run, count(*) AS n FROM runs GROUP BY run),
+pairs AS (SELECT a.run AS run_a, b.run AS run_b, a.n AS n_a, b.n AS n_b, CASE WHEN a.n >= b.n THEN a.run ELSE b.run END AS larger, CASE WHEN a.n >= b.n THEN b.run ELSE a.run END AS smaller
   FROM sizes a JOIN sizes b ON a.run < b.run),
 diffs AS (SELECT p.run_a, p.run_b, p.n_a, p.n_b, count(*) FILTER (l.eid IS DISTINCT FROM s.eid) AS n_diff
   FROM pairs p JOIN runs l ON l.run = p.larger LEFT JOIN runs s ON s.run = p.smaller AND s.date_claim = l.date_claim AND s.cid = l.cid GROUP BY ALL)"""
 
 
-def two_runs(d) -> DataFrame:
-    """The links by all criteria, and those to the first event that overlaps the claim's day and began before its end."""
-    narrow = linking.linked_claims(linking.ranked_candidates(linking.candidates(d.claims, d.rain_events, (1,)), (1,), ("prior",)))
-    part = lambda rows, name: rows.select(F.lit(name).alias("run"), "date_claim", "cid", "eid")
-    return part(d.linked, "all_531").unionByName(part(narrow, "first_1"))
-
-
 @query("link_disagreement", DIFF + " SELECT run_a, run_b, n_a, n_b, n_diff FROM diffs")
 def link_disagreement(d) -> DataFrame:
-    return linking.disagreements(two_runs(d))
+    return linking.disagreements(d.runs)
 
 
-OTHER = """
-, o_wet AS (SELECT cid, time, sum(CASE WHEN before IS NULL OR time - before > INTERVAL 8 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY cid ORDER BY time) AS gid
-  FROM (SELECT *, lag(time) OVER (PARTITION BY cid ORDER BY time) AS before FROM precip WHERE precip >= 3)),
-o_spans AS (SELECT cid, gid, min(time) AS e_start, max(time) AS e_end FROM o_wet GROUP BY cid, gid),
-other AS (SELECT row_number() OVER (ORDER BY cid, e_start) AS eid, cid, e_start, e_end FROM (
-  SELECT s.cid, s.e_start, s.e_end FROM o_spans s JOIN precip p ON p.cid = s.cid AND p.time BETWEEN s.e_start AND s.e_end GROUP BY ALL HAVING round(sum(p.precip), 6) >= 10)),
-m1 AS (SELECT 'same' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN other r ON l.cid = r.cid AND l.e_start = r.e_start AND l.e_end = r.e_end),
-m2 AS (SELECT 'start' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN other r ON l.cid = r.cid AND l.e_start = r.e_start
+MATCHES = SMOOTHED_EVENTS + """
+, m1 AS (SELECT 'same' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN s_rain_events r ON l.cid = r.cid AND l.e_start = r.e_start AND l.e_end = r.e_end),
+m2 AS (SELECT 'start' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN s_rain_events r ON l.cid = r.cid AND l.e_start = r.e_start
   WHERE l.eid NOT IN (SELECT left_eid FROM m1) AND r.eid NOT IN (SELECT right_eid FROM m1)),
 u2 AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
-m3 AS (SELECT 'end' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN other r ON l.cid = r.cid AND l.e_end = r.e_end
+m3 AS (SELECT 'end' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN s_rain_events r ON l.cid = r.cid AND l.e_end = r.e_end
   WHERE l.eid NOT IN (SELECT left_eid FROM u2) AND r.eid NOT IN (SELECT right_eid FROM u2)),
 u3 AS (SELECT * FROM u2 UNION ALL SELECT * FROM m3),
-m4 AS (SELECT 'overlap' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN other r ON l.cid = r.cid AND l.e_start <= r.e_end AND l.e_end >= r.e_start
+m4 AS (SELECT 'overlap' AS step, l.eid AS left_eid, r.eid AS right_eid FROM rain_events l JOIN s_rain_events r ON l.cid = r.cid AND l.e_start < r.e_end AND l.e_end > r.e_start
   WHERE l.eid NOT IN (SELECT left_eid FROM u3) AND r.eid NOT IN (SELECT right_eid FROM u3)),
 matches AS (SELECT * FROM u3 UNION ALL SELECT * FROM m4)"""
 
 
-def other_events(d) -> DataFrame:
-    """A second event set: wet hours from 3 mm on."""
-    return events.with_event_ids(events.event_sums(events.sessionise(d.precip, wet=3.0)))
-
-
-@query("event_set_compare", OTHER + " SELECT step, left_eid, right_eid FROM matches")
+@query("event_set_compare", MATCHES + " SELECT step, left_eid, right_eid FROM matches")
 def event_set_compare(d) -> DataFrame:
-    return events.compare_event_sets(d.rain_events, other_events(d))
+    """Events of the series as it is against those of the smoothed series."""
+    return events.compare_event_sets(d.rain_events, d.smoothed_events)
 
 
 @query("contracts_vs_claims", """

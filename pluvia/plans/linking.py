@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..adapters import RUNS
 from ..operators import linking
 from .base import query
 
@@ -63,16 +64,15 @@ def link_stats(d) -> DataFrame:
     return linking.link_stats(d.claims, d.ranked)
 
 
-@query("link_sweep", "SELECT 'all_531' AS run, count(*) AS n, CAST(sum(eid) AS BIGINT) AS eids FROM linked")
+@query("link_sweep", RUNS + " SELECT run, count(*) AS n, CAST(sum(eid) AS BIGINT) AS eids FROM runs GROUP BY run")
 def link_sweep(d) -> DataFrame:
-    """Number of links and sum of event ids of the run with all criteria; ``link_sweep_runs`` has every run."""
-    runs = linking.sweep(d.claims, d.rain_events, {"all_531": linking.SWEEP["all_531"]})
-    return runs.groupBy("run").agg(F.count("*").alias("n"), F.sum("eid").alias("eids"))
+    """Number of links and sum of event ids of each run."""
+    return d.runs.groupBy("run").agg(F.count("*").alias("n"), F.sum("eid").alias("eids"))
 
 
-@query("link_sweep_runs")
+@query("link_sweep_runs", RUNS + " SELECT run, date_claim, cid, eid FROM runs")
 def link_sweep_runs(d) -> DataFrame:
-    return linking.sweep(d.claims, d.rain_events)
+    return d.runs
 
 
 @query("events_with_target", "SELECT eid, cid, e_start, target, nb_claims, date_claim, nb_contracts FROM targets")

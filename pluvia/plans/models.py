@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -15,10 +16,13 @@ from ..operators import samples
 from ..sources.files import stored
 from .base import query
 from .features import FEATURES, sampled, split_rows, vectors
-from .verification import confusion_counts, roc_area
+from .verification import confusion_counts, predicted, roc_area
 
 TREES, DEPTH, LEAF, SHARE = 800, 30, 90, "0.3"
 
+#: The seeds of a sweep's eleven splits, and its weight denominator.
+SEEDS, DENOMINATORS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 42), (30.0,)
+
 
 @query("thresholds", """
 SELECT eid, target, CASE WHEN i_max_q >= 0.9 OR p_sum_q >= 0.98 THEN 1 ELSE 0 END AS union_pred, CASE WHEN i_max_q >= 0.9 AND p_sum_q >= 0.98 THEN 1 ELSE 0 END AS intersection_pred FROM targets""")
@@ -28,7 +32,10 @@ def thresholds(d) -> DataFrame:
 
 def weighted(d, denominator: float = 2.0) -> DataFrame:
     """Samples as vectors, scaled by the training part, with the weight of their class."""
-    rows = stored(samples.scaled(stored(split_rows(d), "samples"), FEATURES), "scaled")
+    return with_weights(stored(samples.scaled(stored(split_rows(d), "samples"), FEATURES), "scaled"), denominator)
+
+
+def with_weights(rows: DataFrame, denominator: float) -> DataFrame:
     weights = samples.class_weights(rows.filter("split = 'train'"), denominator).withColumnRenamed("label", "target")
     return vectors(rows.join(F.broadcast(weights), "target")).withColumn("label", F.col("target").cast("double"))  # one row per class
 
@@ -94,12 +101,17 @@ def benchmarks(d) -> DataFrame:
     return d.targets.select("eid", "target", F.lit(1).alias("always_true"), F.lit(0).alias("always_false"))
 
 
-@query("benchmark_random")
+@query("benchmark_random", """
+, drawn AS (SELECT CASE day(e_start) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, target, CAST('0x' || substr(md5(CAST(eid AS VARCHAR)), 1, 7) AS BIGINT) / 268435456.0 AS prob FROM targets),
+r AS (SELECT split, target, prob, rank() OVER (PARTITION BY split ORDER BY prob) + (count(*) OVER (PARTITION BY split, prob) - 1) / 2.0 AS rk FROM drawn),
+g AS (SELECT split, count(*) FILTER (target = 1 AND prob > 0.5) AS tp, count(*) FILTER (target = 0 AND prob <= 0.5) AS tn, count(*) FILTER (target = 0 AND prob > 0.5) AS fp, count(*) FILTER (target = 1 AND prob <= 0.5) AS fn,
+  sum(rk) FILTER (target = 1) AS s, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS n FROM r GROUP BY split)
+SELECT split, tp, tn, fp, fn, round((s - p * (p + 1) / 2.0) / (p * n), 6) AS roc_auc FROM g""")
 def benchmark_random(d) -> DataFrame:
-    """Random probabilities from a hash of the event, so that they stay the same when a task runs again."""
-    prob = F.pmod(F.xxhash64("eid", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
-    rows = split_rows(d).select("eid", "split", "target", prob.alias("prob"))
-    return summary(rows.withColumn("pred", (F.col("prob") > 0.5).cast("int")))
+    """Random probabilities from a digest of the event, so that they stay the same when a task runs again."""
+    prob = F.conv(F.substring(F.md5(F.col("eid").cast("string")), 1, 7), 16, 10).cast("long") / float(1 << 28)
+    rows = predicted(d).select("split", "target", prob.alias("prob"))
+    return summary(rows.withColumn("pred", (F.col("prob") > 0.5).cast("int"))).withColumn("roc_auc", F.round("roc_auc", 6))
 
 
 @query("score_batch")
@@ -114,28 +126,42 @@ def score_batch(d) -> DataFrame:
     return scored(LogisticRegressionModel.load(path), rows)
 
 
-@query("seed_weight_sweep")
-def seed_weight_sweep(d) -> DataFrame:
-    """Scores for several splits (seeds) and weight denominators; all fits read one written table."""
+def weight_sweep(d, seeds: Sequence[int] = SEEDS, denominators: Sequence[float] = DENOMINATORS, max_iter: int = 1000) -> DataFrame:
+    """Scores of logistic regressions for several splits (seeds) and weight denominators; all fits read one written table."""
     base, parts = stored(sampled(d), "samples"), []
-    for seed in (1, 2, 3):
+    for seed in seeds:
         rows = stored(samples.scaled(samples.split_by_date(base, seed), FEATURES), "scaled")
-        for denominator in (1.0, 5.0):
+        for denominator in denominators:
             weights = samples.class_weights(rows.filter("split = 'train'"), denominator).withColumnRenamed("label", "target")
             full = vectors(rows.join(F.broadcast(weights), "target")).withColumn("label", F.col("target").cast("double"))  # one row per class
-            parts.append(summary(scored(fit_logistic(full, 50), full)).select(F.lit(seed).alias("seed"), F.lit(denominator).alias("denominator"), "*"))
+            parts.append(summary(scored(fit_logistic(full, max_iter), full)).select(F.lit(seed).alias("seed"), F.lit(denominator).alias("denominator"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("tune_forest")
-def tune_forest(d) -> DataFrame:
-    """Random trials over a forest's parameters, scored by F1 on the validation part; the best comes first."""
-    rows, draw, parts = weighted(d), random.Random(42), []
-    for trial in range(4):
-        setting = {"trees": draw.randint(5, 30), "depth": draw.randint(3, 10), "leaf": draw.randint(1, 100), "features": str(round(draw.uniform(0.2, 1.0), 2))}
+def forest_trials(d, trials: int = 100, trees: tuple[int, int] = (50, 1000), depth: tuple[int, int] = (5, 100), leaf: tuple[int, int] = (1, 100), features: tuple[float, float] = (0.1, 1.0), denominator: tuple[int, int] = (1, 100), seed: int = 42) -> DataFrame:
+    """Random trials over a forest's parameters and the weight denominator, scored by F1 on the validation part; the best comes first.
+
+    Spark's trees end at depth 30, which is what deeper settings get. A node's least size for a split follows from the leaf's.
+    """
+    draw, parts = random.Random(seed), []
+    base = stored(samples.scaled(stored(split_rows(d), "samples"), FEATURES), "scaled")
+    for trial in range(trials):
+        setting = {"trees": draw.randint(*trees), "depth": draw.randint(*depth), "leaf": draw.randint(*leaf), "features": str(round(draw.uniform(*features), 2))}
+        weight = draw.randint(*denominator)
+        rows = with_weights(base, float(weight))
         counts = confusion_counts(scored(fit_forest(rows, **setting), rows.filter("split = 'valid'")), ["split"])
         f1 = 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn") + 1e-7)
-        parts.append(counts.select(F.lit(trial).alias("trial"), *[F.lit(v).alias(k) for k, v in setting.items()], f1.alias("f1")))
+        parts.append(counts.select(F.lit(trial).alias("trial"), *[F.lit(v).alias(k) for k, v in setting.items()], F.lit(weight).alias("denominator"), f1.alias("f1")))
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("f1"), "trial")
 
 
+@query("seed_weight_sweep")
+def seed_weight_sweep(d) -> DataFrame:
+    """All seeds with one denominator and full iterations, as in the studied sweep."""
+    return weight_sweep(d)
+
+
+@query("tune_forest")
+def tune_forest(d) -> DataFrame:
+    """Four trials with at most 30 trees; ``forest_trials`` without arguments makes the full search."""
+    return forest_trials(d, trials=4, trees=(5, 30), depth=(3, 10))

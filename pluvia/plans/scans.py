@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import linking
 from ..operators.events import EVENT_COLUMNS
 from ..sources import files
 from .base import query
@@ -40,7 +41,10 @@ def with_source(d) -> DataFrame:
 SELECT regexp_extract(source, '([A-Za-z]+)_\\d{8}', 1) AS tag, CAST(strptime(regexp_extract(source, '_(\\d{8})', 1), '%Y%m%d') AS DATE) AS date,
   count(*) AS n, count(DISTINCT source) AS n_files FROM sources GROUP BY 1, 2""")
 def rows_with_source(d) -> DataFrame:
-    rows = with_source(d).withColumns(files.file_facts(F.col("source")))
+    """Tag and date of every row, read from the name of the weekly folder that its file lies in."""
+    path = scratch(d, "weeks")
+    with_source(d).write.partitionBy("source").parquet(path)
+    rows = files.read_with_source(d.spark, path)
     return rows.groupBy("tag", "date").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_files"))
 
 
@@ -90,6 +94,22 @@ def write_results(d) -> DataFrame:
     return d.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
+_STATISTICS = {"n_events": "rain_events", "n_claims": "claims", "n_links": "linked", "n_losers": "losers"}
+
+
+@query("write_statistics", "SELECT 'option' AS kind, 'windows' AS key, '5,3,1' AS value UNION ALL SELECT 'option', 'criteria', 'prior,i_mean,i_max,p_sum,r_ts_win,r_ts_evt'" + "".join(f" UNION ALL SELECT 'statistic', '{k}', CAST((SELECT count(*) FROM {t}) AS VARCHAR)" for k, t in _STATISTICS.items()))
+def write_statistics(d) -> DataFrame:
+    """Options and statistics of a linking run as rows of keys and values, written as CSV and read again."""
+    options = {"windows": ",".join(map(str, linking.WINDOWS)), "criteria": ",".join(linking.CRITERIA)}
+    rows = d.spark.createDataFrame([("option", k, v) for k, v in options.items()], "kind string, key string, value string")
+    tables = {"rain_events": d.rain_events, "claims": d.claims, "linked": d.linked, "losers": linking.losers(d.ranked)}
+    for key, name in _STATISTICS.items():
+        rows = rows.unionByName(tables[name].agg(F.lit("statistic").alias("kind"), F.lit(key).alias("key"), F.count("*").cast("string").alias("value")))
+    path = scratch(d, "statistics")
+    files.write_csv(rows, path)
+    return d.spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
 @query("series_per_cell", "SELECT cid, time, precip FROM precip WHERE cid BETWEEN 5 AND 9")
 def series_per_cell(d) -> DataFrame:
     path = scratch(d, "series")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..adapters import SMOOTHED, SMOOTHED_EVENTS
 from ..functions.expressions import midpoint, seconds
 from ..operators import events, grid
 from .base import query
@@ -42,16 +43,9 @@ def coarsen_mean(d) -> DataFrame:
     return grid.block_mean(d.precip, 2).withColumn("precip", F.round(F.col("precip") + 1e-9, 5))
 
 
-SMOOTH = """
-, box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells),
-around AS (SELECT c.cid, n.cid AS nbr, count(*) AS weight FROM cells c, box, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), cells n
-  WHERE n.x = least(greatest(c.x + 1000 * i, x0), x1) AND n.y = least(greatest(c.y + 1000 * j, y0), y1) GROUP BY c.cid, n.cid),
-smoothed AS (SELECT a.cid, time, sum(precip * weight) / sum(weight) AS precip FROM precip p JOIN around a ON a.nbr = p.cid GROUP BY a.cid, time)"""
-
-
-@query("smooth_3x3", SMOOTH + " SELECT cid, time, round(precip + 1e-9, 5) AS precip FROM smoothed")
+@query("smooth_3x3", SMOOTHED + " SELECT cid, time, round(precip + 1e-9, 5) AS precip FROM smoothed")
 def smooth_3x3(d) -> DataFrame:
-    return grid.smooth(d.precip, d.cells).withColumn("precip", F.round(F.col("precip") + 1e-9, 5))
+    return d.smoothed.withColumn("precip", F.round(F.col("precip") + 1e-9, 5))
 
 
 @query("api", "SELECT cid, e_start, api FROM rain_events")
@@ -74,6 +68,12 @@ def all_events(d) -> DataFrame:
     return d.rain_events.select("cid", "e_start", "e_end", "duration", "p_sum", "i_max", "i_mean", "i_sd", "api", "i_max_date")
 
 
+@query("smoothed_events", SMOOTHED_EVENTS + " SELECT eid, cid, e_start, e_end, duration, p_sum, i_max, i_mean, i_sd, api, i_max_date FROM s_rain_events")
+def smoothed_events(d) -> DataFrame:
+    """Events of the series smoothed over 3 x 3 cells, which is what studies link claims to."""
+    return d.smoothed_events.select("eid", "cid", "e_start", "e_end", "duration", "p_sum", "i_max", "i_mean", "i_sd", "api", "i_max_date")
+
+
 @query("event_quantiles", "SELECT cid, e_start, duration_q, p_sum_q, i_max_q, i_mean_q, i_sd_q, api_q FROM rain_events")
 def event_quantiles(d) -> DataFrame:
     return d.rain_events.select("cid", "e_start", *[f"{c}_q" for c in events.RANKED])
@@ -84,13 +84,13 @@ def event_ids(d) -> DataFrame:
     return d.rain_events.select("eid", "cid", "e_start")
 
 
-@query("series_of_cell", SMOOTH + " SELECT cid, time, round(precip + 1e-9, 5) AS precip FROM smoothed WHERE cid IN (3, 7) AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09'")
+@query("series_of_cell", SMOOTHED + " SELECT cid, time, round(precip + 1e-9, 5) AS precip FROM smoothed WHERE cid IN (3, 7) AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09'")
 def series_of_cell(d) -> DataFrame:
     """Mean series of 3 x 3 cells around two cells in a period; only their neighbours' hours are read on."""
     around = grid.neighbours(d.cells).filter("cid IN (3, 7)")
     hours = d.precip.filter("time BETWEEN TIMESTAMP_NTZ'2024-01-05' AND TIMESTAMP_NTZ'2024-01-09'")
     rows = hours.select(F.col("cid").alias("nbr_cid"), "time", "precip").join(F.broadcast(around), "nbr_cid")  # 18 rows
-    mean = F.sum(F.col("precip") * F.col("weight")) / F.sum("weight")
+    mean = F.round(F.sum(F.col("precip") * F.col("weight")) / 9.0 + 1e-9, 6)
     return rows.groupBy("cid", "time").agg(F.round(mean + 1e-9, 5).alias("precip"))
 
 
@@ -121,38 +121,51 @@ def precip_at_claims(d) -> DataFrame:
     )
 
 
-def cubes(d, half: int = 1, days_before: int = 2, days_after: int = 1, step: int = 6) -> DataFrame:
-    """Per event with a claim: values of a square of cells over time, flattened by row, column and time.
+def cubes(d, half: int = 1, days_before: int = 2, days_after: int = 1, step: int = 6, dem: DataFrame | None = None) -> DataFrame:
+    """(eid, cube) per event with a claim: values of a square of cells over time, flattened by row, column and time.
 
-    Places outside the grid and missing steps are 0; a sample that misses more than a tenth of its steps is all 0.
+    Places outside the grid are 0. Steps that the series doesn't have are zeros put before the others; a sample that misses more
+    than a tenth of its steps is all 0. With ``dem`` (x, y, value) each place has the height, or 0, as one more value at its end.
+    There can't be more steps than asked for, since steps are joined to a calendar.
     """
     samples = d.targets.filter("target = 1").select("eid", "x", "y", F.col("i_max_date").alias("ref")).distinct()
     on_step = F.timestamp_seconds(F.bround(seconds(F.col("ref")) / (3600.0 * step), 0).cast("long") * 3600 * step).cast("timestamp_ntz")
     samples = samples.withColumn("ref", on_step)
-    hours = F.sequence(F.expr(f"ref - INTERVAL {days_before} DAYS"), F.expr(f"ref + INTERVAL {days_after} DAYS"), F.expr(f"INTERVAL {step} HOURS"))
-    square = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    places = samples.select("eid", "x", "y", F.posexplode(hours).alias("t", "time")).select("*", square.alias("row")).select("*", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("col"))
-    places = places.select("eid", "t", "row", "col", "time", (F.col("x") + 1000 * F.col("col")).alias("x"), (F.col("y") + 1000 * F.col("row")).alias("y"))
-    sums = d.precip.groupBy("x", "y", F.window("time", f"{step} hours").alias("w")).agg(F.sum("precip").alias("p")).select("x", "y", F.col("w.start").alias("time"), "p")
     steps = (days_before + days_after) * 24 // step + 1
+    hours = F.explode(F.sequence(F.expr(f"ref - INTERVAL {days_before} DAYS"), F.expr(f"ref + INTERVAL {days_after} DAYS"), F.expr(f"INTERVAL {step} HOURS")))
     seen = d.precip.select(F.window("time", f"{step} hours").start.alias("time")).distinct()
-    full = places.join(sums, ["x", "y", "time"], "left").join(F.broadcast(seen.withColumn("there", F.lit(1))), "time", "left")
-    value = F.struct("row", "col", "t", F.coalesce("p", F.lit(0.0)).alias("p"))
-    out = full.groupBy("eid").agg(F.array_sort(F.collect_list(value)).alias("v"), (F.countDistinct("t") - F.countDistinct(F.when(F.col("there") == 1, F.col("t")))).alias("missing"))
-    flat = F.transform("v", lambda s: s["p"])
-    return out.select("eid", F.when(F.col("missing") > 0.1 * steps, F.transform(flat, lambda _: F.lit(0.0))).otherwise(flat).alias("cube"))
+    there = samples.select("eid", hours.alias("time")).join(seen, "time")
+    times = samples.select("eid", "x", "y").join(there.groupBy("eid").agg(F.array_sort(F.collect_list("time")).alias("times")), "eid", "left")
+    missing = F.lit(steps) - F.coalesce(F.size("times"), F.lit(0))
+    times = times.withColumn("missing", F.when(F.col("times").isNull(), F.lit(steps)).otherwise(missing))
+    square = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    places = times.withColumn("row", square).withColumn("col", square)
+    places = places.select("eid", "missing", "row", "col", (F.col("x") + 1000 * F.col("col")).alias("x"), (F.col("y") + 1000 * F.col("row")).alias("y"), F.explode_outer("times").alias("time"))
+    sums = d.precip.groupBy("x", "y", F.window("time", f"{step} hours").alias("w")).agg(F.sum("precip").alias("p")).select("x", "y", F.col("w.start").alias("time"), "p")
+    full = places.join(sums, ["x", "y", "time"], "left")
+    value = F.transform(F.array_sort(F.collect_list(F.struct("time", F.coalesce("p", F.lit(0.0)).alias("p")))), lambda s: s["p"])
+    line = full.groupBy("eid", "missing", "row", "col", "x", "y").agg(value.alias("v"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    line = line.withColumn("v", F.when(F.col("missing") > 0.1 * steps, zeros(F.lit(steps))).otherwise(F.concat(zeros(F.col("missing").cast("int")), "v")))
+    if dem is not None:
+        line = line.join(dem.select("x", "y", "value"), ["x", "y"], "left").withColumn("v", F.concat("v", F.array(F.coalesce("value", F.lit(0.0)))))
+    out = line.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("row", "col", "v"))).alias("v"))
+    return out.select("eid", F.flatten(F.transform("v", lambda s: s["v"])).alias("cube"))
 
 
 @query("sample_cubes", """
 , samples AS (SELECT DISTINCT eid, x, y, to_timestamp(CAST(round_even(epoch(i_max_date) / 21600.0, 0) * 21600 AS BIGINT)) AT TIME ZONE 'UTC' AS ref FROM targets WHERE target = 1),
-steps AS (SELECT eid, x, y, unnest(generate_series(ref - INTERVAL 2 DAY, ref + INTERVAL 1 DAY, INTERVAL 6 HOUR)) AS time FROM samples),
+steps AS (SELECT eid, x, y, t, ref - INTERVAL 2 DAY + t * INTERVAL 6 HOUR AS time FROM (SELECT *, unnest(range(13)) AS t FROM samples)),
 sums6 AS (SELECT x, y, time_bucket(INTERVAL 6 HOUR, time, TIMESTAMP '2000-01-01') AS time, sum(precip) AS p FROM precip GROUP BY 1, 2, 3),
-cubed AS (SELECT s.eid, count(*) FILTER (NOT EXISTS (SELECT 1 FROM sums6 q WHERE q.time = s.time)) AS missing FROM steps s GROUP BY s.eid),
-totals AS (SELECT s.eid, sum(p) AS total FROM steps s JOIN sums6 q ON q.time = s.time AND abs(q.x - s.x) <= 1000 AND abs(q.y - s.y) <= 1000 GROUP BY s.eid)
-SELECT eid, 117 AS n, CASE WHEN missing > 1.3 THEN 0.0 ELSE round(coalesce(total, 0), 3) END AS total FROM cubed LEFT JOIN totals USING (eid)""")
+there AS (SELECT s.eid, s.x, s.y, s.time, row_number() OVER (PARTITION BY s.eid ORDER BY s.time) AS nth, count(*) OVER (PARTITION BY s.eid) AS n
+  FROM steps s WHERE EXISTS (SELECT 1 FROM sums6 q WHERE q.time = s.time)),
+placed AS (SELECT eid, x, y, time, 13 - n + nth - 1 AS t, n FROM there),
+shape AS (SELECT DISTINCT eid, x, y, r, c, k FROM samples, (SELECT unnest([-1, 0, 1]) AS r), (SELECT unnest([-1, 0, 1]) AS c), (SELECT unnest(range(13)) AS k))
+SELECT h.eid, CAST((h.r + 1) * 39 + (h.c + 1) * 13 + h.k AS INTEGER) AS i, CASE WHEN 13 - p.n > 1.3 THEN 0.0 ELSE round(coalesce(q.p, 0.0), 3) END AS p
+FROM shape h LEFT JOIN placed p ON p.eid = h.eid AND p.t = h.k LEFT JOIN sums6 q ON q.time = p.time AND q.x = h.x + 1000 * h.c AND q.y = h.y + 1000 * h.r""")
 def sample_cubes(d) -> DataFrame:
-    total = F.aggregate("cube", F.lit(0.0), lambda a, x: a + x)
-    return cubes(d).select("eid", F.size("cube").alias("n"), F.round(total, 3).alias("total"))
+    """Every value of every cube with its place: by row, column and time."""
+    return cubes(d).select("eid", F.posexplode("cube").alias("i", "p")).withColumn("p", F.round("p", 3))
 
 
 def sample_series(d, days_before: int = 3, days_after: int = 1, daily: int = 10) -> DataFrame:

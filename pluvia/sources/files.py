@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one only where no shared one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pluvia-")
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="pluvia-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -28,13 +33,13 @@ def read_static_attributes(spark: SparkSession, path: str, schema: str, wanted:
 
 
 def file_facts(name: Column) -> dict[str, Column]:
-    """``tag`` and ``date`` of a source file called ``<tag>_<yyyymmdd>.<ending>``."""
+    """``tag`` and ``date`` of a source file called ``<tag>_<yyyymmdd>.<ending>``, or in a folder of that name."""
     return {"tag": F.regexp_extract(name, r"([A-Za-z]+)_\d{8}", 1), "date": F.to_date(F.regexp_extract(name, r"_(\d{8})", 1), "yyyyMMdd")}
 
 
 def read_with_source(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files with the tag and date of each row's file."""
-    return spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("source")).withColumns(file_facts(F.col("source")))
+    """Parquet files with the path of each row's file, and the tag and date in it."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file")).withColumns(file_facts(F.col("file")))
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -1,11 +1,83 @@
-"""Settings of the registered models."""
+"""Settings of the registered models, and models against what they should find."""
 
 import inspect
 
-from pluvia.plans import models
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from pluvia.operators import grid
+from pluvia.plans import models, verification
 
 
 def test_forests_have_the_reference_size():
     found = {k: p.default for k, p in inspect.signature(models.fit_forest).parameters.items()}
     assert (found["trees"], found["depth"], found["leaf"], found["features"]) == (800, 30, 90, "0.3")
     assert models.TREES == 800 and models.DEPTH == 30 and models.LEAF == 90
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    """Samples of two features, of which the first decides; the other is noise."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 2))
+    y = (x[:, 0] + 0.5 * rng.normal(size=600) > 0.4).astype(int)
+    w = np.where(y == 1, 2.0, 0.7)
+    rows = [(i, "train" if i < 400 else "valid", int(y[i]), float(y[i]), float(w[i]), Vectors.dense(x[i])) for i in range(600)]
+    table = spark.createDataFrame(rows, ["eid", "split", "target", "label", "weight", "features"]).cache()
+    return table, x[:400], y[:400], w[:400]
+
+
+def test_logistic_regression_equals_newton_steps(made):
+    table, x, y, w = made
+    model = models.fit_logistic(table)
+    a, beta = np.c_[x, np.ones(len(x))], np.zeros(3)
+    penalty = np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ beta))
+        beta -= np.linalg.solve((a.T * (w * p * (1 - p))) @ a + penalty, a.T @ (w * (p - y)) + penalty @ beta)
+    assert [*model.coefficients, model.intercept] == pytest.approx(beta, rel=1e-3)
+
+
+def test_scores_are_the_same_after_loading(made, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    table = made[0]
+    model = models.fit_logistic(table)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    pick = lambda m: {r["eid"]: r["prob"] for r in models.scored(m, table).collect()}
+    assert pick(model) == pick(LogisticRegressionModel.load(str(tmp_path / "model")))
+
+
+def test_forest_is_reproducible_and_finds_the_feature(made):
+    table = made[0]
+    one, two = (models.fit_forest(table, trees=12, depth=5, leaf=5, features="1.0") for _ in range(2))
+    assert list(one.featureImportances.toArray()) == list(two.featureImportances.toArray())
+    assert sum(one.featureImportances.toArray()) == pytest.approx(1) and one.featureImportances[0] > 0.7
+    area = {r["split"]: r["roc_auc"] for r in models.summary(models.scored(one, table)).collect()}
+    assert area["valid"] > 0.8
+
+
+def test_roc_area_against_ranks(spark):
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e-6):  # spread over the buckets, and all in one
+        prob, y = np.round(rng.random(500), 2) * scale, rng.integers(0, 2, 500)
+        rows = spark.createDataFrame([("a", int(t), float(p)) for t, p in zip(y, prob, strict=True)], "split string, target int, prob double")
+        higher = [(p > q) + 0.5 * (p == q) for p in prob[y == 1] for q in prob[y == 0]]
+        assert verification.roc_area(rows, ["split"]).first()["roc_auc"] == pytest.approx(np.mean(higher))
+    one = spark.createDataFrame([("a", 1, 1.0)], "split string, target int, prob double")
+    assert verification.roc_area(one, ["split"]).first()["roc_auc"] is None
+
+
+def test_search_settings_are_the_reference_ones():
+    found = {k: p.default for k, p in inspect.signature(models.forest_trials).parameters.items()}
+    assert (found["trials"], found["trees"], found["depth"], found["leaf"], found["denominator"]) == (100, (50, 1000), (5, 100), (1, 100), (1, 100))
+    assert len(models.SEEDS) == 11 and inspect.signature(models.weight_sweep).parameters["max_iter"].default == 1000
+
+
+def test_smoothing_counts_missing_places_as_dry(spark):
+    cells = spark.createDataFrame([(i + 1, 1000.0 * (i % 10) + 500, 1000.0 * (i // 10) + 500) for i in range(15)], "cid int, x double, y double")
+    rain = cells.select("cid", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("time"), F.lit(9.0).alias("precip"))
+    got = {r["cid"]: r["precip"] for r in grid.smooth(rain, cells).collect()}
+    assert got == pytest.approx({**{i: 9.0 for i in range(1, 15)}, 5: 8.0, 6: 7.0, 7: 6.0, 8: 6.0, 9: 6.0, 10: 6.0, 15: 7.0})

@@ -13,6 +13,7 @@ DATA = "/root/testdata/sf0.001"
 FEW = [
     "cells", "events", "event_ids", "events_with_target", "link_result", "link_stats", "claims_wide", "feature_table", "split_by_date", "scores", "roc_auc", "zonal_stats",
     "exposure_table", "fill_gaps", "smooth_3x3", "stream_events", "downsample_negatives", "event_set_compare",
+    "smoothed_events", "series_of_cell", "sample_cubes", "link_sweep_runs", "link_disagreement", "smoothing_stats", "rows_with_source", "write_statistics", "benchmark_random",
 ]
 
 
