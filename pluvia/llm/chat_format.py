@@ -5,8 +5,9 @@ token budget gives turn-aligned spans: the turns that lie within a block are one
 crosses a block's end is one of its own. Every window starts with the conversation's system turn (its first
 turn, if the role is ``system``), repeats the last turns before it that fit ``history`` tokens, and adds its own
 turns. Loss spans cover the texts of assistant turns in the window where they are new; repeated turns are
-masked. No window exceeds ``capacity`` tokens, unless a single turn (with the system turn) does; turns are never
-cut.
+masked. Blocks and history share what the system turn leaves of ``capacity``: history has at most a quarter of it, and
+blocks the rest. A long turn that crosses a block's end takes room from the history. So a window exceeds ``capacity`` only if
+one turn and the system turn don't fit together, which ``over`` says; turns are never cut.
 
 Template: ``### {role}: {text}</turn>`` and a line feed per turn. Inside roles and texts a backslash goes before
 every backslash, ``###`` and ``</turn>`` (and ``:`` in roles), which ``parse`` undoes.
@@ -15,7 +16,8 @@ A conversation of any length is spread over tasks: prefix sums are local sums ov
 offset for each conversation that crosses parts, and a window's group holds at most two blocks of turns.
 
 Defined cases: null text and null role are empty; null conv_id is a conversation; turns are ordered by turn
-(nulls first), role, text; repeated rows are turns; other columns are ignored.
+(nulls first), role, text, whatever the partitions are; repeated rows are turns; other columns are ignored; an empty
+table gives no windows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ from .common import stored
 CAPACITY = 2048
 HISTORY = 256
 
+#: Characters of a text that ranges are cut by.
+PREFIX = 200
+
 CONTROL = re.compile(r"\\|###|</turn>")
 CONTROL_OR_COLON = re.compile(r"\\|###|</turn>|:")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -78,37 +83,41 @@ def _tokens_udf(tokenizer: str):
 
 
 def placed_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, role, text, tokens, nth (from 0) and start (tokens before it) of every turn."""
+    """conv_id, role, text, tokens, nth (from 0), start (tokens before it) and system (tokens of its conversation's system turn, if any) of every turn."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(rows.withColumn("tokens", _tokens_udf(tokenizer)("role", "text")))
-    key = ["conv_id", "turn", "role", F.xxhash64("text")]
+    key = ["conv_id", "turn", "role", F.substring("text", 1, PREFIX)]  # ranges cut nowhere between equal keys, so all follows the sort
     dealt = rows.repartitionByRange(*key).sortWithinPartitions("conv_id", "turn", "role", "text")
     kind, turn_kind = rows.schema["conv_id"].dataType.simpleString(), rows.schema["turn"].dataType.simpleString()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, nth, start = TaskContext.get().partitionId(), object(), 0, 0
+        part, last, nth, start, lead = TaskContext.get().partitionId(), object(), 0, 0, None
         for b in batches:
-            places, starts = [], []
-            for conv, n in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+            places, starts, leads = [], [], []
+            for conv, role, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if conv != last:
-                    last, nth, start = conv, 0, 0
+                    last, nth, start, lead = conv, 0, 0, n if role == "system" else None
                 places.append(nth)
                 starts.append(start)
+                leads.append(lead)
                 nth, start = nth + 1, start + n
-            more = [pa.array([part] * b.num_rows, pa.int32()), pa.array(places, pa.int64()), pa.array(starts, pa.int64())]
-            yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "part", "nth", "start"])
+            more = [pa.array([part] * b.num_rows, pa.int32()), *(pa.array(x, pa.int64()) for x in (places, starts, leads))]
+            yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "part", "nth", "start", "system"])
 
-    local = stored(dealt.mapInArrow(add, f"conv_id {kind}, turn {turn_kind}, role string, text string, tokens bigint, part int, nth bigint, start bigint"))
-    sums = local.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("s"))
+    local = stored(dealt.mapInArrow(add, f"conv_id {kind}, turn {turn_kind}, role string, text string, tokens bigint, part int, nth bigint, start bigint, system bigint"))
+    sums = local.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("s"), F.max("system").alias("lead"))
     spread = sums.groupBy("conv_id").agg(F.count("*").alias("parts")).filter("parts > 1").select(F.col("conv_id").alias("c"))  # no more than parts
     crossing = sums.join(spread, sums["conv_id"].eqNullSafe(F.col("c"))).drop("c")
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = Window.partitionBy("conv_id").orderBy("part")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
     offset = crossing.select(
-        F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0")
+        F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"),
+        F.first("lead").over(by_part).alias("lead"),  # what the conversation's first part begins with
     )
     out = local.join(offset, local["conv_id"].eqNullSafe(F.col("c")) & (local["part"] == F.col("p")), "left")
     return out.select(
-        "conv_id", "role", "text", "tokens", (F.col("nth") + F.coalesce("n0", F.lit(0))).alias("nth"), (F.col("start") + F.coalesce("s0", F.lit(0))).alias("start")
+        "conv_id", "role", "text", "tokens", (F.col("nth") + F.coalesce("n0", F.lit(0))).alias("nth"), (F.col("start") + F.coalesce("s0", F.lit(0))).alias("start"),
+        F.when(F.col("c").isNotNull() | F.col("p").isNotNull(), F.col("lead")).otherwise(F.col("system")).alias("system"),
     )
 
 
@@ -119,12 +128,13 @@ WINDOW = pa.struct(
         ("n_repeated", pa.int32()),
         ("n_new", pa.int32()),
         ("n_tokens", pa.int64()),
+        ("over", pa.bool_()),
     ]
 )
 
 
-def _format_udf(history: int):
-    @F.arrow_udf("struct<formatted:string,loss:array<struct<begin:int,end:int>>,n_repeated:int,n_new:int,n_tokens:bigint>")
+def _format_udf(capacity: int, history: int):
+    @F.arrow_udf("struct<formatted:string,loss:array<struct<begin:int,end:int>>,n_repeated:int,n_new:int,n_tokens:bigint,over:boolean>")
     def build(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for turns, system, system_tokens in batches:
             out = []
@@ -132,7 +142,9 @@ def _format_udf(history: int):
                 rows.sort(key=lambda r: r["nth"])
                 own = [r for r in rows if r["own"]]
                 start = own[0]["start"]
-                past = [r for r in rows if not r["own"] and start - r["start"] <= history and not (r["nth"] == 0 and lead is not None)]
+                left = capacity - (lead_tokens or 0)
+                allowed = min(history, left // 4, left - sum(r["tokens"] for r in own))
+                past = [r for r in rows if not r["own"] and start - r["start"] <= allowed and not (r["nth"] == 0 and lead is not None)]
                 repeated = [{"role": "system", "text": lead, "tokens": lead_tokens}] if lead is not None and own[0]["nth"] else []
                 repeated += past
                 parts, loss, size = [], [], 0
@@ -142,7 +154,8 @@ def _format_udf(history: int):
                         loss.append({"begin": size + begin, "end": size + end})
                     parts.append(whole)
                     size += len(whole)
-                out.append({"formatted": "".join(parts), "loss": loss, "n_repeated": len(repeated), "n_new": len(own), "n_tokens": sum(r["tokens"] for r in [*repeated, *own])})
+                size = sum(r["tokens"] for r in [*repeated, *own])
+                out.append({"formatted": "".join(parts), "loss": loss, "n_repeated": len(repeated), "n_new": len(own), "n_tokens": size, "over": size > capacity})
             yield pa.array(out, WINDOW)
 
     return build
@@ -150,25 +163,25 @@ def _format_udf(history: int):
 
 def format_windows(turns: DataFrame, tokenizer: str, capacity: int = CAPACITY, history: int = HISTORY) -> DataFrame:
     """conv_id, block, crossing (their order is the order of windows), formatted, loss (spans in characters of
-    ``formatted``), n_repeated (leading turns that are repeats), n_new, n_tokens: one row per window."""
+    ``formatted``), n_repeated (leading turns that are repeats), n_new, n_tokens, over: one row per window."""
     rows = stored(placed_turns(turns, tokenizer))
     lead = rows.filter("nth = 0 AND role = 'system'").select(F.col("conv_id").alias("c"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
     same = lambda df: df["conv_id"].eqNullSafe(F.col("c"))
-    sized = rows.join(lead.drop("system"), same(rows), "left").drop("c")
-    room = F.greatest(F.lit(capacity - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(max(capacity // 4, history + 1))).cast("long")
-    sized = sized.withColumn("room", room).withColumn("block", F.floor(F.col("start") / F.col("room")))
+    left = F.greatest(F.lit(capacity) - F.coalesce("system", F.lit(0)), F.lit(0))
+    sized = rows.withColumn("past", F.least(F.lit(history), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("past"), F.lit(1)).cast("long"))
+    sized = sized.withColumn("block", F.floor(F.col("start") / F.col("room")))
     sized = sized.withColumn("crossing", (F.col("start") + F.col("tokens") > (F.col("block") + 1) * F.col("room")).cast("int"))
     place = lambda block, crossing, own: F.struct(block.alias("block"), crossing.alias("crossing"), F.lit(own).alias("own"))
     block = F.col("block")
     next_start = (block + 1) * F.col("room")
-    later: Column = F.when(next_start - F.col("start") <= history, F.array(place(block + 1, F.lit(0), False), place(block + 1, F.lit(1), False))).otherwise(F.array().cast("array<struct<block:bigint,crossing:int,own:boolean>>"))
+    later: Column = F.when(next_start - F.col("start") <= F.col("past"), F.array(place(block + 1, F.lit(0), False), place(block + 1, F.lit(1), False))).otherwise(F.array().cast("array<struct<block:bigint,crossing:int,own:boolean>>"))
     within: Column = F.when(F.col("crossing") == 0, F.array(place(block, F.lit(1), False))).otherwise(F.array().cast("array<struct<block:bigint,crossing:int,own:boolean>>"))
     spread = sized.withColumn("at", F.explode(F.concat(F.array(place(block, F.col("crossing"), True)), within, later)))
     # a copy for a window that doesn't exist (no own turn there) is dropped after grouping
     turn = F.struct("nth", "start", "role", "text", "tokens", F.col("at.own").alias("own"))
     groups = spread.groupBy("conv_id", F.col("at.block").alias("block"), F.col("at.crossing").alias("crossing")).agg(F.collect_list(turn).alias("turns"), F.bool_or("at.own").alias("some")).filter("some").drop("some")
     full = groups.join(lead, same(groups), "left").drop("c")
-    return full.select("conv_id", "block", "crossing", _format_udf(history)("turns", "system", "system_tokens").alias("w")).select("conv_id", "block", "crossing", "w.*")
+    return full.select("conv_id", "block", "crossing", _format_udf(capacity, history)("turns", "system", "system_tokens").alias("w")).select("conv_id", "block", "crossing", "w.*")
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -259,6 +259,7 @@ def test_chat_windows_keep_their_budget(spark):
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     windows = chat_format.format_windows(turns, queries.tokenizer_path("byte_bpe_50k.json"), capacity=256, history=48).cache()
     assert windows.filter("n_tokens > 256 AND n_new > 1").count() == 0
+    assert {r["conv_id"] for r in windows.filter("over").collect()} == {5} and windows.filter("over <> (n_tokens > 256)").count() == 0
     long = windows.filter("conv_id = 1").orderBy("block", "crossing").collect()
     assert len(long) > 10 and all(chat_format.parse(w["formatted"])[0] == ("system", "be brief") for w in long)
     assert any(w["n_repeated"] > 1 for w in long)
@@ -267,6 +268,47 @@ def test_chat_windows_keep_their_budget(spark):
     assert chat_format.format_windows(turns.limit(0), queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8, 1.2])
+def test_chat_windows_keep_their_budget_beside_any_system_turn(spark, share):
+    rng = random.Random(7)
+    lead = " ".join(["rule"] * int(256 * share))
+    rows = [(1, 0, "system", lead)] + [(1, k, "assistant" if k % 2 else "user", " ".join(["word"] * rng.randrange(1, 12))) for k in range(1, 80)]
+    rows += [(1, 80, "user", " ".join(["long"] * 70)), (1, 81, "assistant", "end")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    windows = chat_format.format_windows(turns, queries.tokenizer_path("byte_bpe_50k.json"), capacity=256, history=48).collect()
+    size = {r["n_tokens"] for r in windows if r["n_new"] == 1 and r["n_repeated"] == 0}
+    for w in windows:
+        own = chat_format.parse(w["formatted"])
+        assert own[0] == ("system", lead)
+        if w["over"]:  # the system turn and one more don't fit, so nothing else is in it
+            assert len(own) == 2 - (w["n_repeated"] == 0)
+        else:
+            assert w["n_tokens"] <= 256
+    if share < 1:
+        assert sum(w["over"] for w in windows) == (1 if share == 0.8 else 0) and any(w["n_repeated"] > 1 for w in windows)
+    else:
+        assert size and all(w["over"] for w in windows)
+    got = chat_format.read_back(spark.createDataFrame(windows)).first()
+    assert (got["n_turns"], got["turns_sha256"]) == conversation_digests([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in rows])[1][:2]
+
+
+def test_chat_windows_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    base = "same beginning " * 20  # longer than what ranges are cut by
+    rows = [(k % 3, rng.randrange(6), rng.choice(["user", "assistant", None]), rng.choice(["tie", "", base, base + "a", base + "b", f"t{rng.randrange(9)}"])) for k in range(240)]
+    rows += [(9, k, "system" if k % 4 == 2 else "user", "later system turns are turns") for k in range(1, 60)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("nth", F.lit("clash"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            windows = chat_format.format_windows(turns, queries.tokenizer_path("byte_bpe_50k.json"), capacity=128, history=32)
+            found.append(sorted((r["conv_id"], r["block"], r["crossing"], r["formatted"], r["n_repeated"]) for r in windows.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
 # -- winnowing ----------------------------------------------------------------------------------------------
 
 
