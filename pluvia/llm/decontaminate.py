@@ -1,13 +1,16 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 Each slice of training documents that a task holds is one shard. Its suffix array (word positions sorted by
-the ``window`` words that follow them) is searched with every suffix of every benchmark item by binary
+the ``window`` words that follow them) is searched with every distinct suffix of the benchmark's items by binary
 search; equal ranges give all verbatim occurrences with their places, and runs of neighbouring hits on one
-diagonal give the longest verbatim matches. The array is sparse: positions whose first few words start no
-benchmark suffix cannot match and are left out before sorting, which changes no result.
+diagonal give the longest verbatim matches. Where a suffix repeats inside an item, a match goes on along its diagonal as long as
+that can, and else begins at the item's first such place: a place in a document has one match per item, never one per pair of
+places. The array is sparse: positions whose first few words start no benchmark suffix cannot match and are left out before
+sorting, which changes no result.
 
-Documents are never shuffled. The benchmark is broadcast in blocks of at most ``block_words`` words, each
-block one more pass over the same task's documents, so a benchmark of any size runs in bounded memory.
+Documents are never shuffled. The benchmark is broadcast in blocks of at most ``block_words`` words. With more than one block
+each is a job of its own, whose matches are written before the next one is built, so that the driver and the workers hold one block
+at a time, whatever the benchmark's size.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``window`` consecutive words of
 an item; an item with fewer words, but not none, is one window.
@@ -20,7 +23,8 @@ tables work; other columns pass through unchanged, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 from typing import Any
 
 import numpy as np
@@ -28,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, texts
+from .common import fresh, slices, stored, texts
+from .merges import spread
 
 WINDOW = 10
 
@@ -56,8 +61,21 @@ class Suffixes:
                 pos.append(p)
                 need.append(min(window, len(own)))
         self.names = [name for name, _ in items]
-        self.item, self.pos, self.need = (np.array(x, np.int64) for x in (item, pos, need))
-        self.words = np.array(rows, np.int64).reshape(-1, window)
+        item, pos, need = (np.array(x, np.int64) for x in (item, pos, need))
+        words = np.array(rows, np.int64).reshape(-1, window)
+        _, first, kind = np.unique(np.c_[words, need], axis=0, return_index=True, return_inverse=True)
+        kind = kind.ravel()
+        # distinct suffixes, and for each the (item, first place) pairs that have it
+        self.words, self.need = words[first], need[first]
+        order = np.lexsort((pos, item, kind))
+        kind, item, pos = kind[order], item[order], pos[order]
+        lead = np.r_[True, (kind[1:] != kind[:-1]) | (item[1:] != item[:-1])] if len(kind) else np.zeros(0, bool)
+        self.item, self.pos = item[lead], pos[lead]
+        self.of_kind = np.searchsorted(kind[lead], np.arange(len(self.words) + 1))
+        again = ~lead
+        self.loops = np.isin(np.arange(len(items)), item[again])
+        inside = self.loops[item]
+        self.places = set(zip(kind[inside].tolist(), item[inside].tolist(), pos[inside].tolist(), strict=True))
         self.first = int(min(self.need.min(initial=3), 3))
         self.starts = np.zeros(1 << _FILTER_BITS, bool)
         self.starts[self.mixed([self.words[:, j] for j in range(self.first)])] = True
@@ -101,7 +119,11 @@ class Suffixes:
         if not len(test):
             return found
         where = at[order[np.arange(len(test)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(left, hits)]]
-        item, pos, need = self.item[test], self.pos[test], self.need[test]
+        pairs, _ = spread(np.arange(len(self.item)), self.of_kind[:-1], np.diff(self.of_kind), test)
+        n_items = np.diff(self.of_kind)[test]
+        kind, where = np.repeat(test, n_items), np.repeat(where, n_items)
+        item, need = self.item[pairs], self.need[kind]
+        pos = self._diagonals(item, self.pos[pairs], kind, where)
         by = np.lexsort((where, where - pos, item))
         item, pos, need, where = item[by], pos[by], need[by], where[by]
         new = np.r_[True, (item[1:] != item[:-1]) | (where[1:] - pos[1:] != where[:-1] - pos[:-1]) | (where[1:] > where[:-1] + need[:-1])]
@@ -114,6 +136,19 @@ class Suffixes:
         return found
 
 
+    def _diagonals(self, item: np.ndarray, pos: np.ndarray, kind: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Places in items: the first one of the suffix, or, in items that repeat it, the next on the diagonal before."""
+        pos = pos.copy()
+        some = np.flatnonzero(self.loops[item])
+        some = some[np.lexsort((where[some], item[some]))]
+        last = (-1, -1, -1)
+        for i, k, w, c in zip(some.tolist(), item[some].tolist(), where[some].tolist(), kind[some].tolist(), strict=True):
+            if last[:2] == (k, w - 1) and (c, k, last[2] + 1) in self.places:
+                pos[i] = last[2] + 1
+            last = (k, w, int(pos[i]))
+        return pos
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
@@ -166,30 +201,42 @@ def covered(matches: Column) -> Column:
     return F.when(F.size(matches) == 0, F.lit(0)).otherwise(folded["n"]).cast("long")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> tuple[DataFrame, str]:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 500_000) -> tuple[DataFrame, str]:
     """``docs`` with one more column (its name is returned too): struct n_words, n_hit, item_ids, matches.
 
     ``matches`` are the longest verbatim matches (item_id, item_pos, doc_pos, length in words; positions from
     0); ``item_ids`` the distinct matched items sorted as strings; ``n_hit`` the words inside any match.
     """
     name = fresh(docs, "match")
-    spark = docs.sparkSession
-    out, found = docs, []
-    for k, block in enumerate(benchmark_blocks(benchmark, block_words)):
-        shared = spark.sparkContext.broadcast(Suffixes(block, window))
-        out = out.withColumn(f"{name}{k}", _search(shared)("text"))
-        found.append(f"{name}{k}")
-    matches = F.concat(*[F.col(c)["matches"] for c in found])
-    out = out.withColumn(
+    context = docs.sparkSession.sparkContext
+    blocks = benchmark_blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = docs.withColumn(name, _search(context.broadcast(Suffixes(first, window)))("text"))
+    else:
+        row, parts = f"{name}row", []
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that numbers are fixed
+        for block in chain([first, second], blocks):
+            shared = context.broadcast(Suffixes(block, window))
+            hits = docs.select(row, _search(shared)("text").alias("m")).select(row, F.explode("m.matches").alias("match"))
+            parts.append(stored(hits))
+            shared.unpersist()
+        hits = reduce(DataFrame.unionByName, parts).groupBy(row).agg(F.collect_list("match").alias(f"{name}all"))  # of one text
+        counted = docs.withColumn(name, _search(context.broadcast(Suffixes([], window)))("text"))
+        found = counted.join(hits.withColumnRenamed(row, f"{row}hit"), F.col(row) == F.col(f"{row}hit"), "left")
+        matches = F.coalesce(F.col(f"{name}all"), F.array().cast(f"array<{MATCH}>"))
+        found = found.withColumn(name, F.struct(F.col(name)["n_words"].alias("n_words"), matches.alias("matches"))).drop(row, f"{row}hit", f"{name}all")
+    matches = F.col(name)["matches"]
+    out = found.withColumn(
         name,
         F.struct(
-            F.col(found[0])["n_words"].alias("n_words"),
+            F.col(name)["n_words"].alias("n_words"),
             covered(matches).alias("n_hit"),
             F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item_id"]))).alias("item_ids"),
-            matches.alias("matches"),
+            F.array_sort(matches).alias("matches"),
         ),
     )
-    return out.drop(*found), name
+    return out, name
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -599,6 +599,23 @@ def test_decontamination_against_brute_force(spark, given, block_words):
             assert w[m["doc_pos"] : m["doc_pos"] + m["length"]] == v[m["item_pos"] : m["item_pos"] + m["length"]]
 
 
+def test_decontamination_of_repeating_words_is_linear(spark):
+    """An item and a text of equal words: one match, not one per pair of places; and places stay verbatim."""
+    items = [(1, "same " * 1000), (2, "a b " * 20), (3, " ".join(f"w{i}" for i in range(30))), (4, "same " * 1000)]
+    docs = [(1, "same " * 20_000), (2, "x " + "a b " * 500 + "a c"), (3, " ".join(f"w{i}" for i in [*range(5, 25), *range(8, 30)])), (4, "same " * 9)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("matches", F.lit(0))
+    for block_words in (10_000, 30):
+        out, name = decontaminate.find_contamination(rows, spark.createDataFrame(items, "item_id bigint, text string"), block_words=block_words)
+        found = {r["doc_id"]: r[name] for r in out.collect()}
+        assert [found[d]["n_hit"] for d in (1, 2, 3, 4)] == [20_000, 1001, 42, 0]
+        assert [found[d]["item_ids"] for d in (1, 2, 3, 4)] == [["1", "4"], ["2"], ["3"], []]
+        assert sum(len(x["matches"]) for x in found.values()) < 200
+        for d, x in docs:
+            for m in found[d]["matches"]:
+                own = dict(items)[int(m["item_id"])].split()
+                assert x.split()[m["doc_pos"] : m["doc_pos"] + m["length"]] == own[m["item_pos"] : m["item_pos"] + m["length"]]
+
+
 def test_decontamination_hard_cases(spark, hard, empty):
     bench = spark.createDataFrame([(1, "A B"), (2, None)], "item_id bigint, text string")
     kept = decontaminate.remove_contaminated(hard, bench)
