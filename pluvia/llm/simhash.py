@@ -82,7 +82,7 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _forest_udf(distance: int):
-    """Links that connect all of a block that are linked, as few as do: a spanning forest of members and probes."""
+    """Links within ``distance`` between two blocks that join different labels, as few as do so."""
     kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
@@ -90,26 +90,43 @@ def _forest_udf(distance: int):
         for left, right in members:
             out = []
             for xs, ys in zip(left, right, strict=True):
-                x, y = (np.array(v.values.to_numpy(), np.int64) for v in (xs, ys))
-                root, links = {}, []
-
-                def find(v: int, root: dict = root) -> int:
-                    while root.get(v, v) != v:
-                        root[v] = v = root.get(root[v], root[v])
-                    return v
-
-                for v in x.tolist():
-                    near = y[np.bitwise_count((y ^ np.int64(v)).view(np.uint64)) <= distance]
-                    for w in near.tolist():
-                        if (p := find(v)) != (q := find(w)):
-                            root[p] = q
-                            links.append({"a": v, "b": w})
+                (x, p), (y, q) = ([np.asarray(v.values.field(k)) for k in ("fp", "label")] for v in (xs, ys))
+                _, group = np.unique(np.concatenate([p, q]), return_inverse=True)
+                mine, theirs, links = group[: len(p)], group[len(p) :], []  # views: a label is the same on both sides
+                for i in range(len(x)):
+                    rest = np.flatnonzero(theirs != mine[i])
+                    rest = rest[np.bitwise_count((y[rest] ^ x[i]).view(np.uint64)) <= distance]
+                    for g in np.unique(theirs[rest]).tolist():
+                        links.append({"a": int(x[i]), "b": int(y[rest[theirs[rest] == g][0]])})
+                        group[group == g] = mine[i]
                 out.append(links)
             yield pa.array(out, pa.list_(kind))
 
     return forest
 
 
+def _crowd_links(rows: DataFrame, distance: int, block: int) -> DataFrame:
+    """Links that connect all near values of each (seg, key) of ``rows`` (fp, seg, key), fewer than there are rows, or little more.
+
+    Values are first compared in random blocks. What that links has one label, and only for keys with several labels
+    all blocks meet, to return links between labels.
+    """
+    udf = _forest_udf(distance)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        size = rows.groupBy("seg", "key").agg(F.count("*").alias("n"))
+        salt = F.pmod(F.xxhash64("fp", "seg", "key"), F.ceil(F.col("n") / block)).alias(f"{name}_salt")
+        return rows.join(size, ["seg", "key"]).groupBy("seg", "key", salt).agg(F.collect_list(F.struct("fp", "label")).alias(name))
+
+    links_of = lambda both: stored(both.select(F.explode(udf("x", "y")).alias("l")).select("l.a", "l.b"))
+    within = links_of(blocks(rows.withColumn("label", F.col("fp")), "x").withColumn("y", F.col("x")))
+    roots = components(within)
+    labelled = stored(rows.join(roots, rows["fp"] == F.col("node"), "left").select("fp", "seg", "key", F.coalesce("root", "fp").alias("label")))
+    several = labelled.groupBy("seg", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("seg", "key")
+    left = labelled.join(several, ["seg", "key"], "left_semi")
+    return within.unionByName(links_of(blocks(left, "x").join(blocks(left, "y"), ["seg", "key"]).filter("x_salt < y_salt")))
+
+
 def fingerprint_links(prints: DataFrame, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the distinct ``fp`` values of ``prints`` that connect all values within ``distance`` bits.
 
@@ -118,8 +135,8 @@ def fingerprint_links(prints: DataFrame, distance: int = 3, segments: int = 2, b
     value's part, and matches are verified over all 64 bits. With one bit to flip, only bits that are 0 are
     flipped: of two parts that differ in one bit, the one with the 0 reaches the other.
 
-    Buckets of up to ``block`` members are joined and every link is returned; larger ones are cut into blocks
-    on both sides, and each pair of blocks returns a spanning forest of its links.
+    Buckets of up to ``block`` members are joined and every link is returned; larger ones are compared in blocks, see
+    ``_crowd_links``.
     """
     width = 64 // segments
     radius = distance // segments
@@ -135,10 +152,8 @@ def fingerprint_links(prints: DataFrame, distance: int = 3, segments: int = 2, b
     if crowded.isEmpty():
         return entries.join(probes, ["seg", "key"]).filter(near).select(F.col("fp").alias("a"), F.col("probe").alias("b"))
     few = entries.join(crowded, ["seg", "key"], "left_anti").join(probes, ["seg", "key"]).filter(near)
-    salt = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / block)).alias("salt")
-    gather = lambda rows, c: rows.join(crowded, ["seg", "key"]).groupBy("seg", "key", salt(c)).agg(F.collect_list(c).alias(c)).drop("salt")
-    pairs = gather(entries, "fp").join(gather(probes, "probe"), ["seg", "key"])
-    many = pairs.select(F.explode(_forest_udf(distance)("fp", "probe")).alias("l")).select("l.a", "l.b")
+    rows = entries.select("fp", "seg", "key").unionByName(probes.select(F.col("probe").alias("fp"), "seg", "key")).distinct()
+    many = _crowd_links(stored(rows.join(crowded.select("seg", "key"), ["seg", "key"])), distance, block)
     return few.select(F.col("fp").alias("a"), F.col("probe").alias("b")).unionByName(many)
 
 

@@ -530,6 +530,13 @@ def test_table_shape_keeps_recall():
         assert 20 <= width <= 28 and width * segments <= 64 * (similar.LANES - 1)
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr("pluvia.llm.components.LEAST_HUB", 5)
+    links = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 80)] + [(79, 39), (90, 91), (91, 92)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(40)}, **{i: 0 for i in range(50, 80)}, 90: 90, 91: 90, 92: 90}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(-5, 200), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
