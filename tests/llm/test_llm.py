@@ -555,6 +555,47 @@ def test_language_id_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.97 * len(held)
 
 
+def brute_grams(text):
+    """Each letter with the one before it in its word and the two after it, words being runs of letters in lower case."""
+    out = []
+    for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower())):
+        padded = f" {word}  "
+        out += [padded[i : i + 4].rstrip() if padded[i + 2] == " " else padded[i : i + 4] for i in range(len(word))]
+    return out
+
+
+def test_language_id_against_exact_sets(spark, given):
+    """Exact sets in place of the filter: the same language wherever the two best are not within the filter's error."""
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    learn = [d for d in given if zlib.crc32(str(d).encode()) % 3 != 1 and langs[d] is not None]
+    counts = defaultdict(Counter)
+    for d in learn:
+        counts[langs[d]].update(brute_grams(given[d]))
+    total = {g: sum(c.values()) for g, c in counts.items()}
+    most = Counter()
+    for g, c in counts.items():
+        for x, n in c.items():
+            most[x] = max(most[x], n / total[g])
+    sets = {g: {x for x, n in c.items() if n / total[g] >= max(1e-6, 0.3 * most[x])} for g, c in counts.items()}
+    clear = 0
+    for r in queries.op6_language_id(spark, DATA).collect():
+        own = brute_grams(given[r["doc_id"]])
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        shares = sorted(((sum(x in sets[g] for x in own) / len(own), g) for g in sets), reverse=True)
+        assert r["score"] == pytest.approx(shares[0][0], abs=0.01)
+        if shares[0][0] - shares[1][0] > 0.02:
+            clear += 1
+            assert r["lang_pred"] == shares[0][1]
+    assert clear > 0.9 * len(given)
+
+
+def test_language_ties_go_to_the_first(spark):
+    docs = spark.createDataFrame([("bb", "hello there"), ("aa", "hello there"), ("cc", "bonjour monde")], "lang string, text string")
+    assert language_id.learn_languages(docs).predict([b"hello there"])[0] == ["aa"]
+
+
 def test_language_filter_contains_what_it_learned(spark):
     docs = spark.createDataFrame([("aa", "hello there world"), ("bb", "bonjour le monde"), (None, "zzz")], "lang string, text string")
     model = language_id.learn_languages(docs)
@@ -640,11 +681,19 @@ def test_resampling_against_brute_force(spark, given):
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
     rows = queries.op8_importance_resampling(spark, DATA).collect()
     b = importance.BUCKETS
-    bags = {d: np.bincount(importance.features((x or "").encode(), b), minlength=b) for d, x in given.items()}
+    bags = {d: np.zeros(b) for d in given}
+    for d, x in given.items():
+        own = [zlib.crc32(w.encode()) for w in words(x)]
+        pairs = [(p * 0x9E3779B97F4A7C15 + q * 0xC2B2AE3D27D4EB4F) % (1 << 64) >> 32 for p, q in itertools.pairwise(own)]
+        for k in [*own, *pairs]:
+            bags[d][k % b] += 1
     raw, target = sum(bags.values()), sum(bags[d] for d in good if d in bags)
     ratio = np.log((target + 1) / (target.sum() + b)) - np.log((raw + 1) / (raw.sum() + b))
     for r in rows:
         assert r["log_weight"] == pytest.approx(float(bags[r["doc_id"]] @ ratio), abs=1e-6)
+        draw = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little"), 42))  # as Spark chains hashes of a bigint and an int
+        u = ((draw - (1 << 64) if draw >> 63 else draw) % (1 << 53) + 0.5) / (1 << 53)
+        assert r["gumbel_key"] == pytest.approx(r["log_weight"] - math.log(-math.log(u)), abs=1e-6)
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (-r["gumbel_key"], r["doc_id"]))]
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"])] == order
     assert sum(r["selected"] for r in rows) == len(given) // 2
