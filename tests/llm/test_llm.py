@@ -87,6 +87,37 @@ def test_lm_probabilities_sum_to_one(spark, given):
         assert total + unknown == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_scores_against_the_formula(spark, given):
+    """Scores from classes alone: counts of class pairs, transitions and mixtures are worked out anew."""
+    docs = spark.createDataFrame([*list(given.items())[:80], (None, None), (-1, ""), (-1, "")], "doc_id bigint, text string")
+    learned = [(d, x) for d, x in [*list(given.items())[:80], (None, None), (-1, ""), (-1, "")] if d is None or d % 2]
+    model, vocabulary = lm_score.learn(docs.filter("doc_id IS NULL OR doc_id % 2 <> 0"), n_classes=12, min_share=1e-3, rounds=4)
+    out, name = lm_score.score(docs, model, vocabulary)
+    of = lambda t: int(model.classes[0 if t == "\n" else model.core.number.get(t.encode(), model.core.size)])
+    tokens = {i: [*words(x), "\n"] for i, (_, x) in enumerate(learned)}
+    count, pairs = Counter(t for ts in tokens.values() for t in ts), Counter()
+    for ts in tokens.values():
+        pairs.update((of(p), of(t)) for p, t in itertools.pairwise(["\n", *ts]))
+    n, v, k, weight = sum(count.values()), len(count), 12, 0.9
+    into, out_of = Counter(), Counter()
+    for (a, b), m in pairs.items():
+        out_of[a] += m
+        into[b] += m
+    unknown = 0.1 / (n + 0.1 * (v + 1))
+
+    def log_p(history, t):
+        unigram = (count[t] + 0.1) / (n + 0.1 * (v + 1))
+        if not count[t]:
+            return math.log10(unigram)
+        a, b = of(history), of(t)
+        move = (pairs[a, b] + k * into[b] / n) / (out_of[a] + k)
+        return math.log10((1 - weight) * unigram + weight * (1 - unknown) * move * count[t] / into[b])
+
+    for r in out.collect():
+        ts = ["\n", *words(r["text"]), "\n"]
+        assert r[name]["score"] == pytest.approx(sum(log_p(h, t) for h, t in itertools.pairwise(ts)), rel=1e-9)
+
+
 def test_lm_join_path_equals_broadcast_path(spark, hard):
     docs = hard.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", *[F.lit("x").alias(c) for c in ("match", "fp", "__shard")]).limit(50))
     model, vocabulary = lm_score.learn(docs.filter("doc_id % 2 = 0"), n_classes=8, min_share=1e-3, rounds=2)
@@ -104,6 +135,9 @@ def test_exchange_raises_the_likelihood(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     model, _ = lm_score.learn(docs, n_classes=5, min_share=1e-6, rounds=5)
     of = {w.decode(): model.classes[i] for w, i in model.core.number.items()}
+    start, _ = lm_score.learn(docs, n_classes=5, min_share=1e-6, rounds=0)
+    pairs = lambda m: lm_score.likelihood(np.array([[sum(m.classes[m.core.number[a.encode()]] == i and m.classes[m.core.number[b.encode()]] == j for x in texts for a, b in itertools.pairwise(x.split())) for j in range(5)] for i in range(5)], float))
+    assert pairs(model) > pairs(start)
     assert len({of[g[0]] for g in groups}) == 3
     assert all(len({of[w] for w in g}) == 1 for g in groups)
 
