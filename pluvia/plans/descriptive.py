@@ -90,14 +90,39 @@ SELECT '{a}' AS attribute, count({a}) AS n, round(avg({a}), 4) AS mean, round(st
   round(quantile_cont(CAST({a} AS DOUBLE), 0.5) + 1e-9, 4) AS q50, round(quantile_cont(CAST({a} AS DOUBLE), 0.75) + 1e-9, 4) AS q75, round(quantile_cont(CAST({a} AS DOUBLE), 0.9) + 1e-9, 4) AS q90,
   round(quantile_cont(CAST({a} AS DOUBLE), 0.95) + 1e-9, 4) AS q95, round(quantile_cont(CAST({a} AS DOUBLE), 0.99) + 1e-9, 4) AS q99, CAST(max({a}) AS DOUBLE) AS max FROM rain_events""" for a in ATTRIBUTES))
 def describe_events(d) -> DataFrame:
-    """Numbers, moments and quantiles of five attributes, from one pass over the events."""
+    """Numbers, moments and quantiles of five attributes."""
     levels = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
     long = d.rain_events.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in ATTRIBUTES])).alias("s")).select("s.*")
     out = long.groupBy("attribute").agg(
         F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.percentile("v", F.array(*[F.lit(q) for q in levels])).alias("q"),
     )
-    return out.select("attribute", "n", "mean", "sd", "min", "max", *[F.round(F.col("q")[i] + 1e-9, 4).alias(f"q{int(q * 100)}") for i, q in enumerate(levels)])
+    found = exact_quantiles(long, "attribute", levels).groupBy("attribute").pivot("level", levels).agg(F.first("value"))
+    named = found.select("attribute", *[F.round(F.col(f"`{q}`") + 1e-9, 4).alias(f"q{int(q * 100)}") for q in levels])
+    return out.join(named, "attribute", "left")
+
+
+def exact_quantiles(long: DataFrame, by: str, levels: list[float], ranges: int = 200) -> DataFrame:
+    """(by, level, value): quantiles of column v in each group, on the line between the two values at a level's place.
+
+    Estimated quantiles cut a group's distinct values into ranges; counts are summed over the ranges, and within each range on
+    its own, so that no task holds all values of a group. Nulls don't count; a group without values has no rows.
+    """
+    counts = long.filter("v IS NOT NULL").groupBy(by, "v").agg(F.count("*").alias("n"))
+    cuts = counts.groupBy(by).agg(F.percentile_approx("v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10 * ranges)).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts), by)  # one row per group
+    placed = placed.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = placed.groupBy(by, "range").agg(F.sum("n").alias("own"))
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select(by, "range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"), F.sum("own").over(Window.partitionBy(by)).alias("all"))
+    inner = Window.partitionBy(by, "range").orderBy("v")
+    ends = placed.join(offset, [by, "range"]).withColumn("end", F.col("offset") + F.sum("n").over(inner))
+    level = F.explode(F.array(*[F.lit(q) for q in levels])).alias("level")
+    asked = ends.select(by, "v", "n", "end", "all", level).withColumn("at", F.col("level") * (F.col("all") - 1))
+    holds = lambda place: (place >= F.col("end") - F.col("n")) & (place < F.col("end"))
+    low, high = F.max(F.when(holds(F.floor("at")), F.col("v"))), F.max(F.when(holds(F.ceil("at")), F.col("v")))
+    share = F.first(F.col("at") - F.floor("at"))
+    met = asked.filter(holds(F.floor("at")) | holds(F.ceil("at"))).groupBy(by, "level")
+    return met.agg((low + (high - low) * share).alias("value"))
 
 
 def histogram(values: DataFrame, column: str, bins: int, low: Column, high: Column) -> DataFrame:

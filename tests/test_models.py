@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from pluvia.operators import grid
-from pluvia.plans import models, verification
+from pluvia.plans import descriptive, models, verification
 
 
 def test_forests_have_the_reference_size():
@@ -81,3 +81,11 @@ def test_smoothing_counts_missing_places_as_dry(spark):
     rain = cells.select("cid", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("time"), F.lit(9.0).alias("precip"))
     got = {r["cid"]: r["precip"] for r in grid.smooth(rain, cells).collect()}
     assert got == pytest.approx({**{i: 9.0 for i in range(1, 15)}, 5: 8.0, 6: 7.0, 7: 6.0, 8: 6.0, 9: 6.0, 10: 6.0, 15: 7.0})
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    rng, levels = np.random.default_rng(7), [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    groups = {"few": [3.0], "ties": [1.0] * 50 + [2.0] * 3, "wide": list(rng.normal(size=999)), "skewed": list(np.round(rng.exponential(size=400), 1))}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("none", None)], "g string, v double")
+    got = {(r["g"], r["level"]): r["value"] for r in descriptive.exact_quantiles(rows, "g", levels, ranges=7).collect()}
+    assert got == pytest.approx({(g, q): np.quantile(vs, q) for g, vs in groups.items() for q in levels})
