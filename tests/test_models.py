@@ -1,6 +1,7 @@
 """Settings of the registered models, and models against what they should find."""
 
 import inspect
+import os
 
 import numpy as np
 import pytest
@@ -89,3 +90,30 @@ def test_exact_quantiles_equal_numpy(spark):
     rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("none", None)], "g string, v double")
     got = {(r["g"], r["level"]): r["value"] for r in descriptive.exact_quantiles(rows, "g", levels, ranges=7).collect()}
     assert got == pytest.approx({(g, q): np.quantile(vs, q) for g, vs in groups.items() for q in levels})
+
+
+def test_stream_drops_late_rows(spark, tmp_path):
+    """A wet day, days long after it that close it, and a late hour of the first day, which no longer counts."""
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType, TimestampNTZType
+
+    from pluvia.streaming.events import run_to_table, stream_events
+
+    schema = StructType([StructField("cid", IntegerType()), StructField("time", TimestampNTZType()), StructField("precip", DoubleType())])
+    hours = lambda rows: spark.createDataFrame(rows, "cid int, t string, precip double").select("cid", F.col("t").cast("timestamp_ntz").alias("time"), "precip")
+    batches = [
+        [(1, "2024-01-01 05:00:00", 6.0), (1, "2024-01-01 13:00:00", 7.0)],
+        [(1, "2024-01-10 00:00:00", 20.0)],
+        [(1, "2024-01-20 00:00:00", 1.0)],
+        [(1, "2024-01-01 14:00:00", 50.0), (1, "2024-01-30 00:00:00", 1.0)],
+        [(1, "2024-02-28 00:00:00", 1.0)],
+    ]
+    for k, rows in enumerate(batches):
+        known = set((tmp_path / "feed").glob("*.parquet"))
+        hours(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        for new in set((tmp_path / "feed").glob("*.parquet")) - known:
+            os.utime(new, (1_700_000_000 + 60 * k,) * 2)  # files arrive in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    found = stream_events(stream)
+    run_to_table(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.schema(found.schema).parquet(str(tmp_path / "out")).orderBy("e_start").collect()
+    assert [(r["duration"], r["p_wet"], r["i_max"]) for r in got] == [(9, 13.0, 7.0), (1, 20.0, 20.0)]
