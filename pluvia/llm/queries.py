@@ -116,11 +116,19 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), good)
 
 
-def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, name = extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op9_extendible_shards(spark: SparkSession, sf_dir: str, limit: int = 16 << 20) -> DataFrame:
+    out, name = extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit)
     return out.select("doc_id", f"{name}.*")
 
 
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit that even small tables exceed, so that buckets split."""
+    return op9_extendible_shards(spark, sf_dir, SMALL_SHARD)
+
+
+#: Bytes of a shard in ``small_shards``, over the longest document that the given tables hold.
+SMALL_SHARD = 200_000
+
 OP9_SQL = """
 WITH d AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
@@ -129,7 +137,7 @@ WITH d AS (
 levels AS (SELECT doc_id, n_bytes, h, depth, h >> (60 - depth) AS p FROM d, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS depth)),
 buckets AS (
   SELECT depth, p, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs
-  FROM levels GROUP BY depth, p HAVING sum(n_bytes) <= 16777216 OR min(h) = max(h)),
+  FROM levels GROUP BY depth, p HAVING sum(n_bytes) <= LIMIT OR min(h) = max(h)),
 first AS (SELECT doc_id, h, min(depth) AS depth FROM levels JOIN buckets USING (depth, p) GROUP BY doc_id, h)
 SELECT d.doc_id, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(b.p), f.depth, '0') END AS shard, f.depth, d.n_bytes, b.shard_bytes, b.shard_docs
 FROM d JOIN first f ON d.doc_id = f.doc_id AND d.h = f.h JOIN buckets b ON b.depth = f.depth AND b.p = d.h >> (60 - f.depth)
@@ -151,6 +159,7 @@ QUERIES = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_extendible_shards": op9_extendible_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "small_shards": small_shards,
 }
 
-ORACLES = {"op7_decontaminate": OP7_SQL, "op9_extendible_shards": OP9_SQL}
+ORACLES = {"op7_decontaminate": OP7_SQL, "op9_extendible_shards": OP9_SQL.replace("LIMIT", str(16 << 20)), "small_shards": OP9_SQL.replace("LIMIT", str(SMALL_SHARD))}

@@ -761,6 +761,26 @@ def test_shards_against_brute_force(spark, given, limit):
     assert all(r["n_bytes"] == size[r["doc_id"]] for r in rows)
 
 
+def test_small_shards_equal_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    rows = queries.small_shards(spark, DATA).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs").collect()
+    assert sorted(map(tuple, rows)) == sorted(db.sql(queries.ORACLES["small_shards"]).fetchall())
+    assert len({r["shard"] for r in rows}) > 2
+
+
+def test_written_shards_keep_the_limit(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sharding.write_shards(docs, str(tmp_path / "shards"), 200_000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    folder = [c for c in back.columns if c not in docs.columns]
+    assert len(folder) == 1 and back.count() == docs.count()
+    assert max(r["n"] for r in back.groupBy(folder).agg(F.sum(F.octet_length("text")).alias("n")).collect()) <= 200_000
+    assert sorted(map(tuple, back.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
 def test_shards_hard_cases(spark, hard, empty):
     copies = hard.unionByName(spark.createDataFrame([(77, "copy " * 40, "en", "", "", "")] * 50, SCHEMA))
     out, name = sharding.extendible_shards(copies, 1000)
