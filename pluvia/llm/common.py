@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,21 +48,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder (a temporary one only where none is set, as in tests)."""
+    """A new folder below the shared checkpoint folder (a temporary one only in local mode, where none is set)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="pluvia-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="pluvia-"))
     return f"{root.rstrip('/')}/pluvia-{uuid.uuid4().hex}"
 
 
+_LOCAL: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: cuts lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes what is stored inside when it ends, but for tables stored by the function that it gives.
+
+    Only what is kept may be read later.
+    """
+    outer, own = _SCOPES[-1] if _SCOPES else None, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        path = own.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    _SCOPES.append(own)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for x in own:
+            path(x).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(x), True)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have (column names of inputs may clash with ours in any letter case)."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

@@ -17,10 +17,11 @@ Texts of at most ``SHORT`` shingles are estimated too coarsely. They stand under
 hashes in order the first n - ceil(s n) + 1, of which two sets of similarity s share one, so that these pairs all meet, and
 their distance is held against what their two sizes make likely.
 
-All keys but crowded ones are joined, one further lane and the complete distance thin the pairs, and the exact similarity
-decides. Keys with more than ``crowd`` members are compared in blocks of about ``block``. What is linked already has a label,
-and only pairs of different labels are looked for, so that the links of a group grow with its members and not with their
-square; see ``crowd_links``. Beyond 2^27 fingerprints tables fill up and more keys take that way, with the same result.
+Keys with more than ``crowd`` members come first: they are compared in random blocks of about ``block``, which links nearly
+all of a large group by a few links for each member (``crowd_links``). What is linked has a label, and from then on only pairs of
+different labels are looked for, so that pairs of a group grow with its members and not with their square: in crowded keys all pairs
+of two labels (``crowd_pairs``), in all others a join, thinned by one further lane (3.5 standard errors above the least similarity) and the complete distance. The exact similarity
+decides. Beyond 2^27 fingerprints tables fill up and more keys are crowded, with the same result.
 """
 
 from __future__ import annotations
@@ -34,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, repeats, slices, small_batches, stored, texts
+from .common import fresh, release, repeats, scratch_scope, slices, small_batches, stored, texts
 from .components import components
 from .simhash import majority, shingle_hashes
 
 LANES = 16
-RECALL = 0.999
+RECALL = 0.99
 SHORT = 64
 LEAST_WIDTH, MOST_WIDTH = 20, 28
-BLOCK, CROWD = 256, 16
+BLOCK, CROWD, PICKS = 256, 16, 4
 
-#: Text hashes that may be broadcast, 8 bytes each; beyond it they are joined.
+#: Rows of text hashes and doc_ids that may be broadcast, some ten bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -151,7 +152,8 @@ def _segments_udf(width: int, segments: int):
             rows = _matrix(batch)
             keys = segment_parts(rows, width, segments) + (np.arange(segments) << width)
             ends = pa.array(np.arange(len(rows) + 1) * segments, pa.int32())
-            yield pa.StructArray.from_arrays([pa.array(rows[:, -1].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "parts"])
+            lane = pa.array(np.ascontiguousarray(rows[:, -1]).view(np.int64))
+            yield pa.StructArray.from_arrays([lane, pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "parts"])
 
     return cut
 
@@ -297,42 +299,55 @@ def _blocks(members: DataFrame, block: int, name: str, seed: int, *keys: str) ->
     return members.groupBy(*keys, salt).agg(F.collect_list(F.struct("id", "n", "label", "bits")).alias(name)).drop("salt")
 
 
-def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], links: DataFrame, similarity: float, margin: float, shape: tuple[int, int], block: int) -> DataFrame:
-    """Links that connect all similar members of crowded keys, beside ``links``: (id, key) -> (a, b).
+def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that connect nearly all similar members of crowded keys, at most a few for each member.
 
-    Labels of what is linked so far keep the number of links below that of members. First every member is compared in random
-    blocks of its most crowded key, and only within them: in a group of near copies that links nearly all. Then, for
-    keys that still hold several labels, each member with another label than the most frequent one meets all members of
-    other labels, so that no similar pair of two labels is left out.
+    Of its keys that still hold several labels each member takes the one with the smallest hash, ``PICKS`` times with another
+    hash, so that members with many common keys often take the same one. Members of a key are compared in random blocks, and only
+    what joins two labels of a block is linked. Two rounds: the first asks for a closer estimate than ``similarity``.
     """
-    spark, full = members.sparkSession, prints.select("id", "n", "bits")
-    for estimate, times in ((similarity + 0.06, 3), (similarity, 3)):
+    full, links = prints.select("id", "n", "bits"), None
+    for k, estimate in enumerate((similarity + 0.06, similarity)):
         labelled = _labelled(members, links)
-        of_key = stored(labelled.groupBy("key").agg(F.count("*").alias("rows_n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "rows_n"))
-        pick = labelled.join(of_key, "key").groupBy("id").agg(F.max(F.struct("rows_n", "key")).alias("most"), F.first("label").alias("label")).select("id", "label", "most.*")
-        size = pick.groupBy("key").agg(F.count("*").alias("rows_n"))
-        own = pick.drop("rows_n").join(size, "key").join(full, "id").withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times))))
-        some = _blocks(own, block, "rows", 1, "key", "time")
+        several = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
+        picks = [F.min(F.struct(F.xxhash64("key", F.lit(PICKS * k + t)).alias("hash"), F.col("key"))).alias(f"p{t}") for t in range(PICKS)]
+        pick = labelled.join(several, "key").groupBy("id").agg(F.first("label").alias("label"), *picks)
+        pick = stored(pick.select("id", "label", F.posexplode(F.array(*[F.col(f"p{t}.key") for t in range(PICKS)])).alias("time", "key")))
+        size = pick.groupBy("key", "time").agg(F.count("*").alias("rows_n")).filter("rows_n > 1")
+        own = pick.join(size, ["key", "time"]).join(full, "id")
         udf = _forest_udf(Nearness(similarity, estimate))
-        found = _few_rows(some.select(F.explode(udf("rows")).alias("l")).select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b")), 16)
-        links = stored(links.unionByName(verified(found.distinct())))
-    labelled = stored(_labelled(members, links))
+        found = _few_rows(_ordered(_blocks(own, block, "rows", 1, "key", "time").select(F.explode(udf("rows")).alias("l"))), 16)
+        new = verified(found.distinct())
+        links = new if links is None else stored(links.unionByName(new))
+    return links
+
+
+def crowd_pairs(labelled: DataFrame, prints: DataFrame, near: Nearness, shape: tuple[int, int], block: int) -> DataFrame:
+    """All near pairs (a, b) of two labels that meet in a crowded key.
+
+    For keys that still hold several labels, each member with another label than the most frequent one meets all members of other
+    labels.
+    """
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.sum("n").alias("rows_n"), F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
     mains = stored(mains.filter("labels > 1").select("key", "rows_n", (F.col("rows_n") - F.col("m.n")).alias("probes_n"), F.col("m.label").alias("main")))
-    all_ = labelled.join(mains, "key").join(full, "id")
+    all_ = labelled.join(mains, "key").join(prints.select("id", "n", "bits"), "id")
     rows = _blocks(all_, block, "rows", 2, "key")
     probes = _blocks(all_.filter("label <> main"), block, "probes", 3, "key")
     both = rows.join(probes, "key").join(mains.select("key", "main"), "key")
-    udf = _across_udf(Nearness(similarity, similarity - margin), *shape)
-    found = _few_rows(both.select(F.explode(udf("key", "rows", "probes", "main")).alias("l")).select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b")), 16)
-    return links.unionByName(verified(found.distinct()))
+    return _few_rows(_ordered(both.select(F.explode(_across_udf(near, *shape)("key", "rows", "probes", "main")).alias("l"))), 16)
+
 
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b"))
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, key, label): what a member is linked with so far, itself if nothing."""
-    roots = components(links)
-    return members.join(roots, members["id"] == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label"))
+
+def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``rows`` with a label: the root of what the id is linked with so far, itself if with nothing."""
+    if links is None:
+        return rows.withColumn("label", F.col("id"))
+    roots = stored(components(links))
+    return rows.join(roots, rows["id"] == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "id").alias("label"))
 
 
 def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, sets: Callable[[DataFrame], DataFrame], block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
@@ -342,36 +357,48 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, s
     (id, hashes) of a table of ids, for exact checks.
     """
     width, segments = table_shape(n, similarity, RECALL)
-    share = bit_share(similarity - margin)
-    lane_most = int(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
+    share = bit_share(similarity)
+    lane_most = int(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))
     near = Nearness(similarity, similarity - margin)
     wide = prints.filter(F.col("n") >= similarity * SHORT)  # shorter pairs meet in ``few``
-    cut = stored(wide.select("id", "n", _segments_udf(width, segments)("bits").alias("s")).select("id", "n", "s.*"))
-    own = cut.select("id", "n", "lane", F.explode("parts").alias("own"))
-    entries = own.select("id", "n", "lane", F.explode(_ball(F.col("own"), width)).alias("key"))
-    entries = entries.unionByName(prints.select("id", "n", F.lit(0).cast("long").alias("lane"), F.explode("few").alias("key")))
-    crowded = stored(entries.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > crowd).select("key"))
-    some = not crowded.isEmpty()
-    few = entries.join(crowded, "key", "left_anti") if some else entries
-    a, b = few.alias("a"), few.alias("b")
-    short = F.greatest("a.n", "b.n") <= SHORT
-    alike = (F.col("a.id") < F.col("b.id")) & (short | (F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) <= lane_most))
-    alike &= F.least("a.n", "b.n") >= near.ratio * F.greatest("a.n", "b.n")
-    pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda name: prints.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").alias(f"{name}_n"))
-    checked = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_udf(near)("a_bits", "a_n", "b_bits", "b_n")).select("a", "b"))
-    ids = checked.select(F.col("a").alias("id")).union(checked.select("b"))
-    if some:
-        members = stored(entries.join(crowded, "key").select("id", "key"))
-        ids = ids.union(members.select("id"))
-    known = stored(sets(ids.distinct()))
+    cut = stored(wide.select("id", _segments_udf(width, segments)("bits").alias("s")).select("id", "s.*"))
+
+    def entries(rows: DataFrame, short: DataFrame) -> DataFrame:
+        own = [c for c in rows.columns if c != "parts"]
+        balls = rows.select(*own, F.explode("parts").alias("own")).select(*own, F.explode(_ball(F.col("own"), width)).alias("key"))
+        return balls.unionByName(short.select("*", F.explode("few").alias("key")).drop("few"), allowMissingColumns=True)
 
     def verified(found: DataFrame) -> DataFrame:
+        """Pairs that are similar; their sets are made for them alone."""
+        found = stored(found)
+        known = stored(sets(found.select(F.col("a").alias("id")).union(found.select("b")).distinct()))
         side = lambda name: known.select(F.col("id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
         return _few_rows(found.join(side("a"), "a").join(side("b"), "b").filter(_exact_udf(similarity)("a_hashes", "b_hashes")).select("a", "b"), 64)
 
-    links = verified(checked)
-    return crowd_links(members, prints, verified, links, similarity, margin, (width, segments), block) if some else links
+    short = prints.filter(F.size("few") > 0).select("id", "few")
+    places = entries(cut.select("id", "parts"), short)
+    crowded = stored(places.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > crowd).select("key"))
+    links, cross = None, None
+    if not crowded.isEmpty():
+        members = stored(places.join(crowded, "key").select("id", "key"))
+        links = crowd_links(members, prints, verified, similarity, block)
+        roots = stored(components(links))
+        labelled = stored(members.join(roots, members["id"] == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label")))
+        cross = crowd_pairs(labelled, prints, near, (width, segments), block)
+        group = roots.select(F.col("node").alias("id"), F.col("root").alias("label"))
+        cut, short = cut.join(group, "id", "left"), short.join(group, "id", "left")
+        rest = entries(cut, short).join(crowded, "key", "left_anti")
+    else:
+        rest = entries(cut.withColumn("label", F.lit(None).cast("long")), short.withColumn("label", F.lit(None).cast("long")))
+    a, b = rest.alias("a"), rest.alias("b")
+    differ = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane")))
+    alike = (F.col("a.id") < F.col("b.id")) & (F.col("a.lane").isNull() | (differ <= lane_most))  # keys of short texts have no lanes
+    alike &= F.coalesce(F.col("a.label") != F.col("b.label"), F.lit(True))
+    pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    side = lambda name: prints.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").alias(f"{name}_n"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_udf(near)("a_bits", "a_n", "b_bits", "b_n")).select("a", "b")
+    last = verified(pairs if cross is None else pairs.unionByName(cross).distinct())
+    return last if links is None else links.unionByName(last)
 
 
 def _few_rows(df: DataFrame, rows: int) -> DataFrame:
@@ -426,10 +453,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     Rows are told apart by doc_id and text, so different texts under one doc_id are kept or dropped on their own; of rows equal in both
     one stays. Rows without a doc_id count like others, but come last.
     """
-    found = _grouped(docs, shingle, similarity, margin, BLOCK, CROWD)
     name, marked = fresh(docs, "gone"), repeats(docs, fresh(docs, "again"))
-    gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))))
-    gone = stored(gone.select(F.col("doc_id").alias(f"{name}id"), F.col("text_hash").alias(f"{name}hash")).distinct())
+    with scratch_scope(docs.sparkSession) as keep:
+        found = _grouped(docs, shingle, similarity, margin, BLOCK, CROWD)
+        gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))))
+        gone = keep(gone.select(F.col("doc_id").alias(f"{name}id"), F.col("text_hash").alias(f"{name}hash")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # then texts stay where they are
     same = marked["doc_id"].eqNullSafe(F.col(f"{name}id")) & (F.xxhash64(marked["text"]) == F.col(f"{name}hash"))
     left = marked.join(gone, same, "left_anti")
     return left.filter(~F.col(marked.columns[-1])).select(*[f"`{c}`" for c in docs.columns])

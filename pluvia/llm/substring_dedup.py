@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, release, repeats, slices, stored, texts
+from .common import LOWER, fresh, release, repeats, scratch_scope, slices, stored, texts
 
 RUN = 3
 MIN_WORDS = 15
@@ -195,7 +195,12 @@ def _bitmap(repeated: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, places): for each text with repeats, the places of its non-first runs."""
+    """(doc_id, text_hash, places): for each text with repeats, the places of its non-first runs, as a written table."""
+    with scratch_scope(docs.sparkSession) as keep:
+        return keep(_repeated_places(docs, run, min_words))
+
+
+def _repeated_places(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     repeated = stored(_scan_runs(docs, run, min_words).groupBy("high").agg(F.count("*").alias("n")).filter("n > 1").select("high"))
     bits, bitmap = _bitmap(repeated)
     rows = stored(_scan_places(docs, run, min_words, bits, docs.sparkSession.sparkContext.broadcast(bitmap)))  # it is read twice

@@ -896,9 +896,23 @@ def test_pipeline_stages(spark, given):
     assert all(len(x) == r["n_chars"] for r in docs.collect() for x in [r["text"]])
 
 
-@pytest.mark.parametrize("stage", range(4))
+@pytest.mark.parametrize("stage", range(5))
 def test_stages_on_hard_cases(spark, hard, empty, stage):
     run = corpus_pipeline.STAGES[stage][1]
     out = run(spark, hard, DATA)
-    assert out.columns == hard.columns and out.count() <= hard.count()
+    if stage < 4:
+        assert out.columns == hard.columns and out.count() <= hard.count()
+    else:
+        rows = out.collect()
+        check_packing(rows, 2048)
+        assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in hard.collect())
     assert run(spark, empty, DATA).count() == 0
+
+
+def test_language_stage_rejects_what_is_no_language(spark, given):
+    rng = random.Random(13)
+    noise = {-k: " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=rng.randrange(3, 9))) for _ in range(40)) for k in range(1, 20)}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([*noise.items(), (-100, None), (-101, ""), (-102, "123 !!")], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), DATA).collect()}
+    assert kept == {d for d, x in given.items() if any(c.isalpha() for c in x or "")}
