@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from .bpe_rounds import encode_decode
 from .chat_format import format_windows, read_back
 from .common import remainder, table
 from .decontaminate import find_contamination
+from .filter_audit import audit_filters, text_filters
 from .importance import resample
 from .language_id import learn_languages, predict_languages
 from .lm_score import learn, score
 from .packing import best_fit_pack
+from .periodic_runs import digest_runs, find_runs
 from .sharding import extendible_shards
 from .simhash import near_duplicates
 from .substring_dedup import dedup_spans
@@ -148,6 +153,71 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), text_filters(), "E", F.col("source"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bits AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(s) - length(regexp_replace(s, '[A-Z]', '', 'g'))) > 2 * length(s) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(s, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY s) THEN 16 ELSE 0 END AS mask FROM t),
+known AS (
+  SELECT part, mask, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic
+  FROM bits LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM known GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS o FROM letters v, letters w, letters x, letters y, letters z
+  WHERE v.b + w.b + x.b + y.b + z.b = 31 AND len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5),
+steps AS (SELECT filter_order, step, o[step] AS own, coalesce(list_sum(o[1 : step - 1]), 0) AS before FROM (SELECT filter_order, o, unnest(range(1, 6)) AS step FROM orders)),
+audit AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (before + own)::INT = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before::INT = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before::INT <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails, coalesce(sum(n_good) FILTER (mask & own <> 0 AND mask & before::INT = 0), 0) AS good_lost,
+    coalesce(sum(n_toxic) FILTER (mask & own <> 0 AND mask & before::INT = 0), 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM audit
+"""
+
+
+@F.arrow_udf(StringType())
+def _periodic(texts: pa.Array, g: pa.Array) -> pa.Array:
+    """Texts of which each word from some word on is that of one of the first words from there on; null stays."""
+    out = []
+    for x, k in zip(texts.cast(pa.binary()).to_pylist(), g.to_pylist(), strict=True):
+        w = x.split() if x else []
+        if w:
+            a = k % len(w)
+            p = 1 + (len(w) - a) // (3 + k % 8)
+            x = b" ".join(w[:a] + [w[a + i % p] for i in range(len(w) - a)])
+        out.append(x)
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents, of which those whose hash is divisible by 10 repeat words with a period from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    own = _periodic(F.when(h % 10 == 0, F.col("text")), F.floor(h / 10))
+    return docs.withColumn("text", F.coalesce(own, F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = find_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    m = F.col(name)
+    longest = [m[c].alias(c) for c in ("n_runs", "start", "length", "period", "exponent_milli")]
+    return out.select("doc_id", *longest, digest_runs(m["runs"]).alias("runs_sha256"), F.sha2(m["collapsed"], 256).alias("collapsed_sha256"))
+
+
+def op13_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    m = F.col(name)
+    return out.select("doc_id", m["n_tokens"].alias("n_tokens"), F.sha2(m["ids"], 256).alias("ids_sha256"), F.sha2(m["decoded"], 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_substring_dedup": op2_substring_dedup,
@@ -159,7 +229,10 @@ QUERIES = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_extendible_shards": op9_extendible_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_bpe_rounds": op13_bpe_rounds,
     "small_shards": small_shards,
 }
 
-ORACLES = {"op7_decontaminate": OP7_SQL, "op9_extendible_shards": OP9_SQL.replace("LIMIT", str(16 << 20)), "small_shards": OP9_SQL.replace("LIMIT", str(SMALL_SHARD))}
+ORACLES = {"op7_decontaminate": OP7_SQL, "op9_extendible_shards": OP9_SQL.replace("LIMIT", str(16 << 20)), "op11_filter_audit": OP11_SQL, "small_shards": OP9_SQL.replace("LIMIT", str(SMALL_SHARD))}
