@@ -125,7 +125,7 @@ class Domain:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return linking.candidates(self.claims, self.rain_events, linking.WINDOWS)
+        return linking.candidates_by_day(self.claims, self.rain_events, linking.WINDOWS)
 
     @cached_property
     def ranked(self) -> DataFrame:

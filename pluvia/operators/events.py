@@ -53,16 +53,25 @@ def event_sums(hours: DataFrame, least_sum: float = LEAST_SUM) -> DataFrame:
 def antecedent_index(starts: DataFrame, precip: DataFrame, hours: int = API_HOURS, decay: float = API_DECAY) -> DataFrame:
     """(cid, e_start, api): decayed precipitation of the hours before each start; missing history counts as 0.
 
-    Rainy hours and starts meet by cell and by a time bucket of the history's length (a start looks into its own
-    bucket and the one before), so that a long series never meets itself as a whole.
+    Time is cut into blocks of the history's length, so that a start's history is its own block up to it and the rest of the block
+    before. Running sums of a cell's rainy hours, decayed to the block's begin or end, give both: the sum in its own block, the whole block before
+    decayed to the start, less that block's part up to ``hours`` before the start. Rainy hours and two marks for each start pass
+    through one sort by cell and time; no start meets the hours of its history one by one.
     """
-    bucket = lambda c: F.floor(seconds(F.col(c)) / (3600 * hours))
-    rain = precip.filter("precip > 0").select("cid", F.col("time"), F.col("precip"), bucket("time").alias("bucket"))
+    per_hour = decay ** (1 / 24)
+    hour = lambda c: F.floor(seconds(F.col(c)) / 3600)
     asked = starts.select("cid", "e_start").distinct()
-    asked = asked.withColumn("bucket", F.explode(F.array(bucket("e_start"), bucket("e_start") - 1)))
-    back = (seconds(F.col("e_start")) - seconds(F.col("time"))) / 3600
-    met = asked.join(rain, ["cid", "bucket"]).filter((back >= 1) & (back <= hours))
-    return met.groupBy("cid", "e_start").agg(F.sum(F.col("precip") * F.pow(F.lit(decay), (back - 1) / 24)).alias("api"))
+    none = F.lit(None).cast("timestamp_ntz")
+    rain = precip.filter("precip > 0").select("cid", hour("time").alias("h"), F.col("precip").alias("p"), none.alias("e_start"), F.lit(0).alias("back"))
+    marks = asked.select("cid", F.explode(F.array(F.lit(0), F.lit(1))).alias("back"), hour("e_start").alias("begin"), "e_start")
+    marks = marks.select("cid", (F.col("begin") - hours * F.col("back")).alias("h"), F.lit(0.0).alias("p"), "e_start", "back")
+    rows = rain.unionByName(marks).withColumn("block", F.floor(F.col("h") / hours)).withColumn("o", F.col("h") - F.col("block") * hours)
+    power = lambda n: F.pow(F.lit(per_hour), n)
+    inner = F.sum(F.col("p") * power(-F.col("o"))).over(Window.partitionBy("cid", "block").orderBy("h").rangeBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("p") * power(hours - 1 - F.col("o"))).over(Window.partitionBy("cid").orderBy("block").rangeBetween(-1, -1))
+    rows = rows.withColumns({"inner": F.coalesce(inner, F.lit(0.0)) * power(F.col("o") - 1), "before": F.coalesce(before, F.lit(0.0)) * power(F.col("o"))})
+    part = F.when(F.col("back") == 0, F.col("inner") + F.col("before")).otherwise(-F.col("inner") * per_hour**hours)
+    return rows.filter("e_start IS NOT NULL").groupBy("cid", "e_start").agg(F.greatest(F.lit(0.0), F.sum(part)).alias("api"))
 
 
 def with_ranks(events: DataFrame) -> DataFrame:
@@ -96,6 +105,21 @@ def with_event_ids(events: DataFrame) -> DataFrame:
 EVENT_COLUMNS = ["eid", "cid", "x", "y", "e_start", "e_end", "duration", "p_sum", "i_max", "i_mean", "i_sd", "api", "i_max_date", *[f"{c}_q" for c in RANKED]]
 
 
+def overlapping_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_eid, right_eid) of events of one cell whose spans overlap, where no two events of one set overlap.
+
+    A sweep over each cell's starts: an event overlaps the other set's last event begun before it, or none begun before it. So every pair
+    is found at its later start, in one pass over the sorted events of both sets.
+    """
+    keys = ["eid", "cid", "e_start", "e_end"]
+    both = left.select(*keys, F.lit(0).alias("side")).unionByName(right.select(*keys, F.lit(1).alias("side")))
+    so_far = Window.partitionBy("cid").orderBy("e_start", "side", "eid").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda side: F.last(F.when(F.col("side") == side, F.struct("eid", "e_start", "e_end")), ignorenulls=True).over(so_far)
+    met = both.withColumn("other", F.when(F.col("side") == 1, last(0)).otherwise(last(1))).filter("other.e_end > e_start AND other.e_start < e_end")
+    pick = lambda side: F.when(F.col("side") == side, F.col("eid")).otherwise(F.col("other.eid"))
+    return met.select(pick(0).alias("left_eid"), pick(1).alias("right_eid"))
+
+
 def compare_event_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of events of two sets, with the step that matched them: the same span, start, end, or overlapping spans.
 
@@ -103,17 +127,20 @@ def compare_event_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     written tables; each step's matches are written, since later steps read them twice.
     """
     steps = [
-        ("same", ["cid", "e_start", "e_end"], None),
-        ("start", ["cid", "e_start"], None),
-        ("end", ["cid", "e_end"], None),
-        ("overlap", ["cid"], (F.col("l.e_start") < F.col("r.e_end")) & (F.col("l.e_end") > F.col("r.e_start"))),
+        ("same", ["cid", "e_start", "e_end"]),
+        ("start", ["cid", "e_start"]),
+        ("end", ["cid", "e_end"]),
+        ("overlap", None),
     ]
     keys = ["eid", "cid", "e_start", "e_end"]
     a, b, found = left.select(*keys), right.select(*keys), []
-    for name, equal, more in steps:
-        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in equal] + ([more] if more is not None else [])
-        met = a.alias("l").join(b.alias("r"), reduce(lambda p, q: p & q, on)).select(F.lit(name).alias("step"), F.col("l.eid").alias("left_eid"), F.col("r.eid").alias("right_eid"))
-        met = stored(met, "matches")
+    for name, equal in steps:
+        if equal is None:
+            met = overlapping_pairs(a, b)
+        else:
+            on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in equal]
+            met = a.alias("l").join(b.alias("r"), reduce(lambda p, q: p & q, on)).select(F.col("l.eid").alias("left_eid"), F.col("r.eid").alias("right_eid"))
+        met = stored(met.select(F.lit(name).alias("step"), "left_eid", "right_eid"), "matches")
         found.append(met)
         a = a.join(met.select(F.col("left_eid").alias("eid")), "eid", "left_anti")
         b = b.join(met.select(F.col("right_eid").alias("eid")), "eid", "left_anti")

@@ -26,12 +26,42 @@ def neighbours(cells: DataFrame, size: int = 3, step: float = 1000.0) -> DataFra
     return met.groupBy("cid", "nbr_cid").agg(F.count("*").alias("weight"))
 
 
-def smooth(precip: DataFrame, cells: DataFrame, size: int = 3) -> DataFrame:
-    """Mean over the square around each cell per hour; nulls, and places that the grid has no cell for, count as 0."""
-    around = neighbours(cells, size).withColumnRenamed("cid", "target")
-    rows = precip.select(F.col("cid").alias("nbr_cid"), "time", F.coalesce("precip", F.lit(0.0)).alias("precip"))
-    sums = rows.join(around, "nbr_cid").groupBy(F.col("target").alias("cid"), "time")
-    return sums.agg((F.sum(F.col("precip") * F.col("weight")) / float(size * size)).alias("precip"))
+#: Cells along a tile's side, and days of a tile's part, in ``smooth``.
+TILE, TILE_DAYS = 16, 8
+
+
+def smooth(precip: DataFrame, cells: DataFrame, size: int = 3, step: float = 1000.0, tile: int = TILE) -> DataFrame:
+    """Mean over the square around each cell per hour; nulls, and places that the grid has no cell for, count as 0.
+
+    The grid is cut into tiles of ``tile`` x ``tile`` cells. Cells near a border are copied to the tiles that they are seen from, so that
+    about ``1 + 4 * (size // 2) / tile`` rows are shuffled for each one, and each tile finds its own sums: an hour's value is
+    added to all cells around it, the edge cells' as often as the square repeats them, and where an edge is. A cell has a
+    mean for each hour that any cell around it has a row for.
+    """
+    half = size // 2
+    place = {"col": F.floor(F.col("x") / step), "row": F.floor(F.col("y") / step)}
+    box = cells.agg(*[f(c).alias(f"{n}_{k}") for k, c in place.items() for n, f in (("low", F.min), ("high", F.max))])  # one row
+    ends = [f"{n}_{k}" for k in place for n in ("low", "high")]
+    rows = precip.select("cid", "time", F.coalesce("precip", F.lit(0.0)).alias("precip"), *[c for c in ("x", "y") if c in precip.columns])
+    rows = rows if "x" in rows.columns else rows.join(cells.select("cid", "x", "y"), "cid")
+    tiles = lambda k: F.array_distinct(F.array(*[F.floor((F.col(k) + i) / tile) for i in range(-half, half + 1)]))
+    part = F.floor(F.datediff("time", F.lit("1970-01-01")) / TILE_DAYS).alias("part")
+    seen = rows.select("time", "precip", part, *[c.alias(k) for k, c in place.items()])
+    seen = seen.withColumn("tx", F.explode(tiles("col"))).withColumn("ty", F.explode(tiles("row"))).repartition("tx", "ty", "part").join(F.broadcast(box))
+
+    def around(k: str, t: str) -> Column:
+        """Cells of the tile on this axis that see the place, each as often as its square holds it."""
+        own, low, high = F.col(k), F.col(f"low_{k}"), F.col(f"high_{k}")
+        inside = lambda v: F.least(F.greatest(v, low), high)
+        near = F.array(*[own + i for i in range(-half, half + 1)])
+        near = F.filter(near, lambda v: (v >= low) & (v <= high) & (F.floor(v / tile) == F.col(t)))
+        return F.transform(near, lambda v: F.struct(v.alias("at"), sum(((inside(v + i) == own).cast("int") for i in range(-half, half + 1)), F.lit(0)).alias("times")))
+
+    spread = seen.select("tx", "ty", "part", "time", "precip", F.explode(around("col", "tx")).alias("a"), "row", *ends[2:], )
+    spread = spread.select("tx", "ty", "part", "time", "a", "precip", F.explode(around("row", "ty")).alias("b"))
+    sums = spread.groupBy("tx", "ty", "part", "time", F.col("a.at").alias("col"), F.col("b.at").alias("row"))
+    means = sums.agg((F.sum(F.col("precip") * F.col("a.times") * F.col("b.times")) / float(size * size)).alias("precip"))
+    return means.join(cells.select("cid", *[c.alias(k) for k, c in place.items()]), ["col", "row"]).select("cid", "time", "precip")
 
 
 def hours_around(samples: DataFrame, precip: DataFrame, before_days: int, after_days: int) -> DataFrame:

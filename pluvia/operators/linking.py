@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import day_start, hours_between
+from ..functions.expressions import day_start, hours_between, seconds
 
 WINDOWS = (5, 3, 1)
 CRITERIA = ("prior", "i_mean", "i_max", "p_sum", "r_ts_win", "r_ts_evt")
@@ -193,13 +193,21 @@ def set_contracts(events: DataFrame, exposure: DataFrame) -> DataFrame:
 
 
 def events_of_removed_claims(events: DataFrame, removed: DataFrame, linked: DataFrame, hours: int = 48) -> DataFrame:
-    """Ids of events whose middle is within two days of a claim that the selection dropped, unless a kept claim has them."""
-    from ..functions.expressions import midpoint
+    """Ids of events whose middle is within two days of a claim that the selection dropped, unless a kept claim has them.
 
-    middle = events.select("eid", "cid", midpoint(F.col("e_start"), F.col("e_end")).alias("middle"))
-    near = F.abs(hours_between(F.col("middle"), F.col("date_claim").cast("timestamp_ntz"))) <= hours
-    dropped = removed.select(F.col("cid").alias("c"), "date_claim")
-    return middle.join(dropped, (F.col("cid") == F.col("c")) & near, "left_semi").select("eid").join(linked.select("eid"), "eid", "left_anti")
+    A sweep over each cell's middles and claims in order of time: the nearest claim is the last one before a middle or the first
+    one after it, so no event meets all claims of its cell.
+    """
+    none = F.lit(None).cast("long")
+    middles = events.select("cid", "eid", F.floor((seconds(F.col("e_start")) + seconds(F.col("e_end"))) / 2).alias("at"), none.alias("claim"))
+    day = seconds(F.col("date_claim").cast("timestamp_ntz"))
+    rows = middles.unionByName(removed.select("cid", none.alias("eid"), day.alias("at"), day.alias("claim")))
+    by_time = Window.partitionBy("cid").orderBy("at")
+    before = F.last("claim", ignorenulls=True).over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("claim", ignorenulls=True).over(by_time.rangeBetween(0, Window.unboundedFollowing))
+    distance = F.least(F.col("at") - before, after - F.col("at"))  # of those that there are
+    near = rows.withColumn("distance", distance).filter(F.col("eid").isNotNull() & (F.col("distance") <= hours * 3600))
+    return near.select("eid").join(linked.select("eid"), "eid", "left_anti")
 
 
 def events_with_target(events: DataFrame, ranked: DataFrame, exposure: DataFrame) -> DataFrame:

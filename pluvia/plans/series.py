@@ -53,6 +53,16 @@ def api(d) -> DataFrame:
     return d.rain_events.select("cid", "e_start", "api")
 
 
+@query("api_hourly", """
+, rain AS (SELECT cid, time, precip FROM precip WHERE precip > 0)
+SELECT p.cid, p.time, round(greatest(coalesce(sum(r.precip * pow(0.8, (date_diff('hour', r.time, p.time) - 1) / 24.0)), 0.0), 0.0) + 1e-9, 5) AS api
+FROM precip p LEFT JOIN rain r ON r.cid = p.cid AND r.time < p.time AND r.time >= p.time - INTERVAL 720 HOUR GROUP BY p.cid, p.time""")
+def api_hourly(d) -> DataFrame:
+    """The index at every hour of every cell."""
+    found = events.antecedent_index(d.precip.select("cid", F.col("time").alias("e_start")), d.precip)
+    return found.select("cid", F.col("e_start").alias("time"), F.round(F.col("api") + 1e-9, 5).alias("api"))
+
+
 @query("sessionise", "SELECT cid, gid, time, precip FROM grouped")
 def sessionise(d) -> DataFrame:
     return events.sessionise(d.precip).select("cid", "gid", "time", "precip")

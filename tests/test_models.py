@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from pluvia.operators import grid
+from pluvia.operators import grid, search
 from pluvia.plans import descriptive, models, verification
 
 
@@ -117,3 +117,63 @@ def test_stream_drops_late_rows(spark, tmp_path):
     run_to_table(found, str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.schema(found.schema).parquet(str(tmp_path / "out")).orderBy("e_start").collect()
     assert [(r["duration"], r["p_wet"], r["i_max"]) for r in got] == [(9, 13.0, 7.0), (1, 20.0, 20.0)]
+
+
+def test_halving_keeps_the_best_and_goes_on_after_a_loss(spark, tmp_path):
+    """Scores that grow with the budget by a known order; the driver is lost in the second rung, and no trial is fitted twice."""
+    settings, calls = search.forest_settings(20), []
+    good = {k: (k * 7) % 20 for k in range(20)}
+    number = {(s["depth"], s["leaf"], s["features"], s["denominator"]): k for k, s in enumerate(settings)}
+
+    def score(own, fail=None):
+        k = number[own["depth"], own["leaf"], own["features"], own["denominator"]]
+        if fail is not None and own["trees"] > settings[k]["trees"] / 10 and k == fail:
+            raise RuntimeError("lost")
+        calls.append((k, own["trees"]))
+        return good[k] / 20 + own["trees"] / 1e6
+
+    options = {"budgets": (1 / 16, 1 / 4, 1.0), "keep": 4, "parallel": 3}
+    second = sorted(good, key=lambda k: -good[k])[:5]
+    with pytest.raises(RuntimeError, match="lost"):
+        search.halving_search(spark, str(tmp_path / "t"), settings, lambda s: score(s, fail=second[0]), **options)
+    found = search.halving_search(spark, str(tmp_path / "t"), settings, score, **options).collect()
+    assert len(calls) == len(set(calls)) == len(found) == 20 + 5 + 2
+    last = [r for r in found if r["rung"] == 2]
+    assert sorted(r["trial"] for r in last) == sorted(second[:2]) and all(r["trees"] == settings[r["trial"]]["trees"] for r in last)
+
+
+def test_settings_fill_the_space():
+    own = search.forest_settings(2000)
+    assert own == search.forest_settings(2000) and own[:100] == search.forest_settings()
+    for name, (low, high) in {"trees": (50, 1000), "leaf": (1, 100), "denominator": (1, 100)}.items():
+        values = [s[name] for s in own]
+        assert min(values) < low + 0.02 * (high - low) + 1 and max(values) > high - 0.02 * (high - low) - 1 and min(values) >= low and max(values) <= high
+    assert {s["impurity"] for s in own} == {"gini", "entropy"} and max(s["depth"] for s in own) == 30 and min(s["depth"] for s in own) == 5
+
+
+def test_search_finds_the_best_of_all_full_runs(spark):
+    """Eight settings of small forests: those that go on score as they do in a full run, and the winner is the best of all."""
+    from pluvia.adapters import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    settings = [{**s, "trees": 24, "depth": 6} for s in search.forest_settings(8)]
+    full = {r["trial"]: r["score"] for r in models.forest_search(d, settings, budgets=(1.0,)).collect()}
+    found = models.forest_search(d, settings, budgets=(1 / 2, 1.0), keep=2).collect()
+    last = {r["trial"]: r["score"] for r in found if r["rung"] == 1}
+    assert len(last) == 4 and last == {t: full[t] for t in last}
+    assert found[0]["rung"] == 1 and found[0]["score"] == max(full.values()) > 0.1
+
+
+def test_ratio_forest_against_the_mean(spark, monkeypatch):
+    """The ratio's forest: as many rows per part as the split has, and on its training part no worse than the part's mean."""
+    from pluvia.adapters import Domain
+    from pluvia.plans import features
+
+    monkeypatch.setattr(models, "TREES", 30)
+    monkeypatch.setattr(models, "LEAF", 5)
+    d = Domain(spark, "/root/testdata/sf0.001")
+    got = {r["split"]: r for r in models.random_forest_ratio(d).collect()}
+    ratio = d.targets.groupBy("eid").agg(F.max(F.least(F.lit(1.0), F.col("nb_claims") / F.col("nb_contracts"))).alias("ratio"))
+    want = {r["split"]: r for r in features.split_rows(d).join(ratio, "eid").groupBy("split").agg(F.count("*").alias("n"), F.stddev_pop("ratio").alias("sd")).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {k: r["n"] for k, r in want.items()}
+    assert got["train"]["rmse"] <= want["train"]["sd"] and all(0 <= r["rmse"] <= 1 for r in got.values())
