@@ -41,7 +41,6 @@ def smooth(precip: DataFrame, cells: DataFrame, size: int = 3, step: float = 100
     half = size // 2
     place = {"col": F.floor(F.col("x") / step), "row": F.floor(F.col("y") / step)}
     box = cells.agg(*[f(c).alias(f"{n}_{k}") for k, c in place.items() for n, f in (("low", F.min), ("high", F.max))])  # one row
-    ends = [f"{n}_{k}" for k in place for n in ("low", "high")]
     rows = precip.select("cid", "time", F.coalesce("precip", F.lit(0.0)).alias("precip"), *[c for c in ("x", "y") if c in precip.columns])
     rows = rows if "x" in rows.columns else rows.join(cells.select("cid", "x", "y"), "cid")
     tiles = lambda k: F.array_distinct(F.array(*[F.floor((F.col(k) + i) / tile) for i in range(-half, half + 1)]))
@@ -49,18 +48,18 @@ def smooth(precip: DataFrame, cells: DataFrame, size: int = 3, step: float = 100
     seen = rows.select("time", "precip", part, *[c.alias(k) for k, c in place.items()])
     seen = seen.withColumn("tx", F.explode(tiles("col"))).withColumn("ty", F.explode(tiles("row"))).repartition("tx", "ty", "part").join(F.broadcast(box))
 
-    def around(k: str, t: str) -> Column:
-        """Cells of the tile on this axis that see the place, each as often as its square holds it."""
-        own, low, high = F.col(k), F.col(f"low_{k}"), F.col(f"high_{k}")
-        inside = lambda v: F.least(F.greatest(v, low), high)
-        near = F.array(*[own + i for i in range(-half, half + 1)])
-        near = F.filter(near, lambda v: (v >= low) & (v <= high) & (F.floor(v / tile) == F.col(t)))
-        return F.transform(near, lambda v: F.struct(v.alias("at"), sum(((inside(v + i) == own).cast("int") for i in range(-half, half + 1)), F.lit(0)).alias("times")))
-
-    spread = seen.select("tx", "ty", "part", "time", "precip", F.explode(around("col", "tx")).alias("a"), "row", *ends[2:], )
-    spread = spread.select("tx", "ty", "part", "time", "a", "precip", F.explode(around("row", "ty")).alias("b"))
-    sums = spread.groupBy("tx", "ty", "part", "time", F.col("a.at").alias("col"), F.col("b.at").alias("row"))
-    means = sums.agg((F.sum(F.col("precip") * F.col("a.times") * F.col("b.times")) / float(size * size)).alias("precip"))
+    def spread(rows: DataFrame, k: str, t: str, to: str) -> DataFrame:
+        """Each place's value to the cells of its tile on this axis that see it, times as often as their squares hold it."""
+        low, high, at = F.col(f"low_{k}"), F.col(f"high_{k}"), F.col(to)
+        near = rows.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(-half, half + 1)]))).withColumn(to, F.col(k) + F.col("i"))
+        near = near.filter((at >= low) & (at <= high) & (F.floor(at / tile) == F.col(t)))
+        times = reduce(lambda a, b: a + b, [(F.least(F.greatest(at + i, low), high) == F.col(k)).cast("int") for i in range(-half, half + 1)])
+        return near.withColumn("precip", F.col("precip") * times).drop("i", k)
+
+    own = ["tx", "ty", "part", "time"]  # the shuffle's keys lead every grouping, so that none shuffles again
+    lines = spread(seen, "col", "tx", "c").groupBy(*own, "c", "row", "low_row", "high_row").agg(F.sum("precip").alias("precip"))
+    sums = spread(lines, "row", "ty", "r").groupBy(*own, F.col("c").alias("col"), F.col("r").alias("row"))
+    means = sums.agg((F.sum("precip") / float(size * size)).alias("precip"))
     return means.join(cells.select("cid", *[c.alias(k) for k, c in place.items()]), ["col", "row"]).select("cid", "time", "precip")
 
 

@@ -61,8 +61,8 @@ def class_weights(samples: DataFrame, denominator: float = 1.0, reduction: float
     return counts.select("label", (weight / less).alias("weight"))
 
 
-def downsampled(samples: DataFrame, factor: float, key: str = "eid", seed: int = 42) -> DataFrame:
-    """All positives, and exactly a ``factor``-th of the training negatives, in hashed order.
+def downsampled(samples: DataFrame, factor: float | None = None, key: str = "eid", seed: int = 42, number: int | None = None) -> DataFrame:
+    """All positives, and exactly a ``factor``-th or a fixed ``number`` of the training negatives (all if they are fewer), in hashed order.
 
     The cut is found among digests by their leading digits first: counts per prefix say which prefix holds it, and
     only that prefix's rows are ranked.
@@ -72,7 +72,7 @@ def downsampled(samples: DataFrame, factor: float, key: str = "eid", seed: int =
     rows = samples.withColumns({"digest": order, "prefix": F.substring(order, 1, 3)})
     counts = rows.filter(negative).groupBy("prefix").agg(F.count("*").alias("n"))  # at most 4096 rows
     upto = F.sum("n").over(Window.orderBy("prefix"))
-    cuts = counts.withColumns({"upto": upto, "keep": F.floor(F.sum("n").over(Window.partitionBy()) / factor)})
+    cuts = counts.withColumns({"upto": upto, "keep": F.lit(number) if number is not None else F.floor(F.sum("n").over(Window.partitionBy()) / factor)})
     quota = cuts.select("prefix", F.greatest(F.lit(0), F.least("n", F.col("keep") - F.col("upto") + F.col("n"))).alias("quota"))
     place = F.row_number().over(Window.partitionBy("prefix").orderBy("digest", key))
     kept = rows.filter(negative).join(F.broadcast(quota), "prefix").filter("quota > 0").withColumn("place", place).filter("place <= quota")

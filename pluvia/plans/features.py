@@ -81,6 +81,13 @@ def downsample_negatives(d) -> DataFrame:
     return samples.downsampled(split_rows(d), 4).select("eid", "target", "split")
 
 
+@query("fixed_negatives", SPLIT + """
+, neg AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(eid AS VARCHAR) || '|42'), eid) AS rn FROM split_rows WHERE target = 0 AND split = 'train')
+SELECT eid, target, split FROM neg WHERE rn <= 40 UNION ALL SELECT eid, target, split FROM split_rows WHERE NOT (target = 0 AND split = 'train')""")
+def fixed_negatives(d) -> DataFrame:
+    return samples.downsampled(split_rows(d), number=40).select("eid", "target", "split")
+
+
 @query("shuffle", SPLIT + " SELECT eid, ref_date FROM split_rows ORDER BY md5(CAST(eid AS VARCHAR) || '|42')")
 def shuffle(d) -> DataFrame:
     return samples.shuffled(split_rows(d)).select("eid", "ref_date")

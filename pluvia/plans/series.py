@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import SMOOTHED, SMOOTHED_EVENTS
@@ -178,8 +178,12 @@ def sample_cubes(d) -> DataFrame:
     return cubes(d).select("eid", F.posexplode("cube").alias("i", "p")).withColumn("p", F.round("p", 3))
 
 
-def sample_series(d, days_before: int = 3, days_after: int = 1, daily: int = 10) -> DataFrame:
-    """Per event with a claim: hourly values around it, and sums of the days before those; missing ones are 0."""
+def sample_series(d, days_before: int = 3, days_after: int = 1, daily: int = 10, padded: bool = False) -> DataFrame:
+    """Per event with a claim: hourly values around it, and sums of the days before those; missing ones are 0.
+
+    ``padded``: days are those that begin between the same hour ``daily - 1`` days apart, one fewer unless that hour is midnight; zeros follow
+    the days that the series has, and a sample that misses more than a tenth of its days is all 0.
+    """
     samples = d.targets.filter("target = 1").select("eid", "cid", F.col("i_max_date").alias("ref")).distinct()
     hours = F.sequence(F.expr(f"ref - INTERVAL {days_before} DAYS"), F.expr(f"ref + INTERVAL {days_after} DAYS"), F.expr("INTERVAL 1 HOUR"))
     last = F.date_sub(F.to_date("ref"), days_before + 1)
@@ -187,6 +191,16 @@ def sample_series(d, days_before: int = 3, days_after: int = 1, daily: int = 10)
     pick = lambda rows, time, value: rows.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct(time, F.coalesce(value, F.lit(0.0)).alias("p")))), lambda s: s["p"]).alias("v"))
     fine = samples.select("eid", "cid", F.explode(hours).alias("time")).join(d.precip.select("cid", "time", "precip"), ["cid", "time"], "left")
     per_day = d.precip.groupBy("cid", F.to_date("time").alias("day")).agg(F.sum("precip").alias("precip"))
+    if padded:
+        last = F.expr(f"ref - INTERVAL {days_before + 1} DAYS")
+        first = F.expr(f"ref - INTERVAL {days_before + daily} DAYS")
+        begins = F.filter(F.sequence(F.to_date(first), F.to_date(last), F.expr("INTERVAL 1 DAY")), lambda x: x.cast("timestamp_ntz") >= first)
+        there = pick(samples.select("eid", "cid", first.alias("first"), F.explode(begins).alias("day")).join(per_day, ["cid", "day"]), "day", "precip")
+        missing = F.lit(daily) - F.coalesce(F.size("v"), F.lit(0))
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        full = F.when(missing > 0.1 * daily, zeros(F.lit(daily))).otherwise(F.concat("v", zeros(missing.cast("int"))))
+        coarse = samples.select("eid").join(there, "eid", "left").select("eid", full.alias("daily"))
+        return pick(fine, "time", "precip").withColumnRenamed("v", "hf").join(coarse, "eid")
     coarse = samples.select("eid", "cid", F.explode(days).alias("day")).join(per_day, ["cid", "day"], "left")
     return pick(fine, "time", "precip").withColumnRenamed("v", "hf").join(pick(coarse, "day", "precip").withColumnRenamed("v", "daily"), "eid")
 
@@ -204,6 +218,18 @@ def sample_series_rows(d) -> DataFrame:
     return part("hf").unionByName(part("daily")).withColumn("p", F.round("p", 3))
 
 
+@query("sample_series_padded", """
+, samples AS (SELECT DISTINCT eid, cid, i_max_date AS ref FROM targets WHERE target = 1),
+days AS (SELECT cid, CAST(time AS DATE) AS day, sum(precip) AS precip FROM precip GROUP BY 1, 2),
+there AS (SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY eid) AS n, precip
+  FROM samples s JOIN days d ON d.cid = s.cid AND CAST(d.day AS TIMESTAMP) BETWEEN ref - INTERVAL 13 DAY AND ref - INTERVAL 4 DAY)
+SELECT s.eid, CAST(k.i AS INTEGER) AS i, round(CASE WHEN 10 - t.n > 1 THEN 0.0 ELSE coalesce(t.precip, 0.0) END, 3) AS p
+FROM samples s CROSS JOIN (SELECT unnest(range(10)) AS i) k LEFT JOIN there t ON t.eid = s.eid AND t.i = k.i""")
+def sample_series_padded(d) -> DataFrame:
+    """The daily part in its padded form."""
+    return sample_series(d, padded=True).select("eid", F.posexplode("daily").alias("i", "p")).withColumn("p", F.round("p", 3))
+
+
 @query("pixel_mean_std", "SELECT cid, round(avg(precip) + 1e-9, 6) AS mean, round(stddev_pop(precip) + 1e-9, 6) AS sd FROM precip GROUP BY cid")
 def pixel_mean_std(d) -> DataFrame:
     return d.precip.groupBy("cid").agg(F.round(F.avg("precip") + 1e-9, 6).alias("mean"), F.round(F.stddev_pop("precip") + 1e-9, 6).alias("sd"))
@@ -228,10 +254,33 @@ def standardise_precip(d) -> DataFrame:
 SELECT cid, time, round((precip - low) / (q99 - low), 5) AS precip FROM precip JOIN q USING (cid) JOIN low ON month = date_trunc('month', time) WHERE q99 > low AND precip > 0""")
 def normalise_precip(d) -> DataFrame:
     """Between the month's smallest value in the whole grid and the cell's 99 % quantile."""
-    q99 = d.precip.groupBy("cid").agg(F.percentile("precip", F.lit(0.99)).alias("q99"))
-    low = d.precip.groupBy(F.trunc("time", "month").alias("month")).agg(F.min("precip").alias("low"))
-    rows = d.precip.filter("precip > 0").withColumn("month", F.trunc("time", "month")).join(F.broadcast(low), "month").join(q99, "cid").filter("q99 > low")
-    return rows.select("cid", "time", F.round((F.col("precip") - F.col("low")) / (F.col("q99") - F.col("low")), 5).alias("precip"))
+    return normalised(d).filter("rainy").select("cid", "time", F.round("value", 5).alias("precip"))
+
+
+@query("normalise_precip_global", """
+, q AS (SELECT cid, quantile_cont(log(1 + precip), 0.99) AS q99 FROM precip GROUP BY cid), low AS (SELECT min(log(1 + precip)) AS low FROM precip WHERE precip > 0)
+SELECT cid, time, round((log(1 + precip) - low) / (q99 - low), 5) AS precip FROM precip JOIN q USING (cid), low WHERE q99 > low AND precip > 0""")
+def normalise_precip_global(d) -> DataFrame:
+    """Rainy hours' logarithms between one minimum of the whole archive, of rainy hours, and the cell's 99 % quantile."""
+    rows = normalised(d, value=F.log10(1 + F.col("precip")), global_min=True, least=F.when(F.col("precip") > 0, F.log10(1 + F.col("precip"))))
+    return rows.filter("rainy").select("cid", "time", F.round("value", 5).alias("precip"))
+
+
+def normalised(d, value: Column | None = None, global_min: bool = False, least: Column | None = None) -> DataFrame:
+    """(cid, time, rainy, value) between the smallest value and the cell's 99 % quantile; the smallest one is of the month's whole grid.
+
+    ``global_min``: one smallest value for the whole archive, so that months are scaled alike; ``least`` says what it is taken of.
+    """
+    value = F.col("precip") if value is None else value
+    rows = d.precip.select("cid", "time", (F.col("precip") > 0).alias("rainy"), value.alias("value"), (value if least is None else least).alias("least"), F.trunc("time", "month").alias("month"))
+    q99 = rows.groupBy("cid").agg(F.percentile("value", F.lit(0.99)).alias("q99"))
+    if global_min:
+        low = rows.agg(F.min("least").alias("low"))
+        rows = rows.join(F.broadcast(low))  # one row
+    else:
+        rows = rows.join(F.broadcast(rows.groupBy("month").agg(F.min("least").alias("low"))), "month")  # one row per month
+    rows = rows.join(q99, "cid").filter("q99 > low")
+    return rows.select("cid", "time", "rainy", ((F.col("value") - F.col("low")) / (F.col("q99") - F.col("low"))).alias("value"))
 
 
 @query("days_to_event", """

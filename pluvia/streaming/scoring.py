@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import first_not_below
+
 
 def archived_ranks(events: DataFrame, attributes: list[str]) -> DataFrame:
     """(cid, <attribute>_archive): struct of the sorted distinct ``values``, the number of events ``below`` each, and ``n``, per cell.
@@ -50,18 +52,6 @@ def merged_ranks(archive: DataFrame, events: DataFrame, attributes: list[str]) -
     return out
 
 
-def first_not_below(values: Column, v: Column) -> Column:
-    """Place (from 0) of the first entry of a sorted array that isn't below ``v``, by halving; the array's size if all are."""
-    half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
-
-    def step(s: Column, _: Column) -> Column:
-        less = F.get(values, half(s)) < v
-        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(less, half(s) + 1).otherwise(s["low"]).alias("low"), F.when(less, s["high"]).otherwise(half(s)).alias("high")))
-
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(values).alias("high")), step)["low"]
-
-
 def archived_rank(archive: Column, v: Column) -> Column:
     """Percentile rank that ``v`` has among archived values, ties averaged: that of an archived event is what a batch gives it.
 

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType, TimestampNTZType
 
-from pluvia.functions.expressions import percentile_rank
+from pluvia.functions.expressions import first_not_below, percentile_rank
 from pluvia.operators import events
 from pluvia.streaming import scoring
 from pluvia.streaming.events import full_stream_events, run_to_table
@@ -61,7 +61,7 @@ def test_halving_finds_what_binary_search_finds(spark):
     for n in [0, 1, 2, 3, 7, 8, 9, 33]:
         values = np.unique(rng.integers(0, 40, n)).astype(float).tolist()
         rows += [(values, float(v), int(np.searchsorted(values, v))) for v in rng.integers(-2, 43, 12)]
-    got = spark.createDataFrame(rows, "values array<double>, v double, place int").withColumn("found", scoring.first_not_below(F.col("values"), F.col("v")))
+    got = spark.createDataFrame(rows, "values array<double>, v double, place int").withColumn("found", first_not_below(F.col("values"), F.col("v")))
     assert got.filter("found <> place").count() == 0
 
 
