@@ -299,19 +299,20 @@ def _blocks(members: DataFrame, block: int, name: str, seed: int, *keys: str) ->
     return members.groupBy(*keys, salt).agg(F.collect_list(F.struct("id", "n", "label", "bits")).alias(name)).drop("salt")
 
 
-def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
-    """Links (a, b) that connect nearly all similar members of crowded keys, at most a few for each member.
-
-    Of its keys that still hold several labels each member takes the one with the smallest hash, ``PICKS`` times with another
-    hash, so that members with many common keys often take the same one. Members of a key are compared in random blocks, and only
-    what joins two labels of a block is linked. Two rounds: the first asks for a closer estimate than ``similarity``.
+def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect nearly all similar members of crowded keys, at most a few for each member; and what is left to compare:
+    members (id, key, label) of the keys that still hold several labels.
+
+    Each member takes the one of its keys with the smallest hash, ``PICKS`` times with another hash, so that members with many common
+    keys often take the same one. Members of a key are compared in random blocks, and only what joins two labels of a block is linked.
+    Two rounds: the first asks for a closer estimate than ``similarity``. A key whose members have one label is done, since labels only
+    grow together; so only the first round's labels meet all members, and large groups of copies are gone after it.
     """
     full, links = prints.select("id", "n", "bits"), None
+    left = members.withColumn("label", F.col("id"))
     for k, estimate in enumerate((similarity + 0.06, similarity)):
-        labelled = _labelled(members, links)
-        several = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
         picks = [F.min(F.struct(F.xxhash64("key", F.lit(PICKS * k + t)).alias("hash"), F.col("key"))).alias(f"p{t}") for t in range(PICKS)]
-        pick = labelled.join(several, "key").groupBy("id").agg(F.first("label").alias("label"), *picks)
+        pick = left.groupBy("id").agg(F.first("label").alias("label"), *picks)
         pick = stored(pick.select("id", "label", F.posexplode(F.array(*[F.col(f"p{t}.key") for t in range(PICKS)])).alias("time", "key")))
         size = pick.groupBy("key", "time").agg(F.count("*").alias("rows_n")).filter("rows_n > 1")
         own = pick.join(size, ["key", "time"]).join(full, "id")
@@ -319,7 +320,10 @@ def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataF
         found = _few_rows(_ordered(_blocks(own, block, "rows", 1, "key", "time").select(F.explode(udf("rows")).alias("l"))), 16)
         new = verified(found.distinct())
         links = new if links is None else stored(links.unionByName(new))
-    return links
+        labelled = stored(_labelled(left.select("id", "key"), links))
+        several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        left = stored(labelled.join(several, "key", "left_semi"))
+    return links, left
 
 
 def crowd_pairs(labelled: DataFrame, prints: DataFrame, near: Nearness, shape: tuple[int, int], block: int) -> DataFrame:
@@ -342,10 +346,8 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b"))
 
 
-def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` with a label: the root of what the id is linked with so far, itself if with nothing."""
-    if links is None:
-        return rows.withColumn("label", F.col("id"))
     roots = stored(components(links))
     return rows.join(roots, rows["id"] == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "id").alias("label"))
 
@@ -381,10 +383,9 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, s
     links, cross = None, None
     if not crowded.isEmpty():
         members = stored(places.join(crowded, "key").select("id", "key"))
-        links = crowd_links(members, prints, verified, similarity, block)
+        links, left = crowd_links(members, prints, verified, similarity, block)
         roots = stored(components(links))
-        labelled = stored(members.join(roots, members["id"] == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label")))
-        cross = crowd_pairs(labelled, prints, near, (width, segments), block)
+        cross = crowd_pairs(left, prints, near, (width, segments), block)
         group = roots.select(F.col("node").alias("id"), F.col("root").alias("label"))
         cut, short = cut.join(group, "id", "left"), short.join(group, "id", "left")
         rest = entries(cut, short).join(crowded, "key", "left_anti")
