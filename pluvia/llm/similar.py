@@ -299,9 +299,9 @@ def _blocks(members: DataFrame, block: int, name: str, seed: int, *keys: str) ->
     return members.groupBy(*keys, salt).agg(F.collect_list(F.struct("id", "n", "label", "bits")).alias(name)).drop("salt")
 
 
-def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect nearly all similar members of crowded keys, at most a few for each member; and what is left to compare:
-    members (id, key, label) of the keys that still hold several labels.
+def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) that connect nearly all similar members of crowded keys, at most a few for each member; their components (node, root); and
+    what is left to compare: members (id, key, label) of the keys that still hold several labels.
 
     Each member takes the one of its keys with the smallest hash, ``PICKS`` times with another hash, so that members with many common
     keys often take the same one. Members of a key are compared in random blocks, and only what joins two labels of a block is linked.
@@ -313,17 +313,18 @@ def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataF
     for k, estimate in enumerate((similarity + 0.06, similarity)):
         picks = [F.min(F.struct(F.xxhash64("key", F.lit(PICKS * k + t)).alias("hash"), F.col("key"))).alias(f"p{t}") for t in range(PICKS)]
         pick = left.groupBy("id").agg(F.first("label").alias("label"), *picks)
-        pick = stored(pick.select("id", "label", F.posexplode(F.array(*[F.col(f"p{t}.key") for t in range(PICKS)])).alias("time", "key")))
-        size = pick.groupBy("key", "time").agg(F.count("*").alias("rows_n")).filter("rows_n > 1")
-        own = pick.join(size, ["key", "time"]).join(full, "id")
+        pick = stored(pick.select("id", "label", F.array(*[F.col(f"p{t}.key") for t in range(PICKS)]).alias("picks")))
+        size = pick.select(F.posexplode("picks").alias("time", "key")).groupBy("key", "time").agg(F.count("*").alias("rows_n")).filter("rows_n > 1")
+        own = pick.join(full, "id").select("id", "label", "n", "bits", F.posexplode("picks").alias("time", "key")).join(size, ["key", "time"])  # one row a text meets its bits
         udf = _forest_udf(Nearness(similarity, estimate))
         found = _few_rows(_ordered(_blocks(own, block, "rows", 1, "key", "time").select(F.explode(udf("rows")).alias("l"))), 16)
         new = verified(found.distinct())
         links = new if links is None else stored(links.unionByName(new))
-        labelled = stored(_labelled(left.select("id", "key"), links))
+        roots = stored(components(links))
+        labelled = stored(_labelled(left.select("id", "key"), roots))
         several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
         left = stored(labelled.join(several, "key", "left_semi"))
-    return links, left
+    return links, roots, left
 
 
 def crowd_pairs(labelled: DataFrame, prints: DataFrame, near: Nearness, shape: tuple[int, int], block: int) -> DataFrame:
@@ -335,7 +336,8 @@ def crowd_pairs(labelled: DataFrame, prints: DataFrame, near: Nearness, shape: t
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.sum("n").alias("rows_n"), F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
     mains = stored(mains.filter("labels > 1").select("key", "rows_n", (F.col("rows_n") - F.col("m.n")).alias("probes_n"), F.col("m.label").alias("main")))
-    all_ = labelled.join(mains, "key").join(prints.select("id", "n", "bits"), "id")
+    keys = labelled.join(mains, "key").groupBy("id", "label").agg(F.collect_list(F.struct("key", "rows_n", "probes_n", "main")).alias("keys"))  # a text has some 160 at most
+    all_ = keys.join(prints.select("id", "n", "bits"), "id").select("id", "label", "n", "bits", F.inline("keys"))
     rows = _blocks(all_, block, "rows", 2, "key")
     probes = _blocks(all_.filter("label <> main"), block, "probes", 3, "key")
     both = rows.join(probes, "key").join(mains.select("key", "main"), "key")
@@ -346,9 +348,8 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b"))
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with a label: the root of what the id is linked with so far, itself if with nothing."""
-    roots = stored(components(links))
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with a label: the root (of ``roots``: node, root) of what the id is linked with so far, itself if with nothing."""
     return rows.join(roots, rows["id"] == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "id").alias("label"))
 
 
@@ -383,8 +384,7 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, s
     links, cross = None, None
     if not crowded.isEmpty():
         members = stored(places.join(crowded, "key").select("id", "key"))
-        links, left = crowd_links(members, prints, verified, similarity, block)
-        roots = stored(components(links))
+        links, roots, left = crowd_links(members, prints, verified, similarity, block)
         cross = crowd_pairs(left, prints, near, (width, segments), block)
         group = roots.select(F.col("node").alias("id"), F.col("root").alias("label"))
         cut, short = cut.join(group, "id", "left"), short.join(group, "id", "left")
