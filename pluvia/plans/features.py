@@ -7,7 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import linking, samples
+from ..operators import epochs, linking, samples
+from ..sources.files import stored
 from .base import query
 from .filters import reference_date
 
@@ -93,6 +94,19 @@ def shuffle(d) -> DataFrame:
     return samples.shuffled(split_rows(d)).select("eid", "ref_date")
 
 
+@query("epoch_batches", """
+, sizes AS (SELECT count(DISTINCT eid) AS n FROM split_rows WHERE split = 'train')
+SELECT CAST(e AS INTEGER) AS epoch, k AS batch, least(64, n - 64 * k) AS n_rows, least(64, n - 64 * k) AS n_events, n AS n_all
+FROM sizes, (SELECT unnest(range(3)) AS e), (SELECT unnest(range(100000)) AS k) WHERE 64 * k < n""".join([SPLIT, ""]))
+def epoch_batches(d) -> DataFrame:
+    """Sizes of three epochs' batches of 64 training events; tests hold the orders themselves."""
+    train = stored(split_rows(d).filter("split = 'train'").select("eid").distinct(), "train")
+    rows = epochs.epoch_batches(train, "eid", 64, 3)
+    out = rows.groupBy("epoch", "batch").agg(F.count("*").alias("n_rows"), F.countDistinct("eid").alias("n_events"))
+    total = rows.groupBy("epoch").agg(F.countDistinct("eid").alias("n_all"))
+    return out.join(F.broadcast(total), "epoch")  # one row per epoch
+
+
 def vectors(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 

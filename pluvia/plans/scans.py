@@ -86,6 +86,20 @@ def write_events(d) -> DataFrame:
     return d.spark.read.parquet(path)
 
 
+@query("write_checked", """
+, bounds AS (SELECT date_trunc('day', min(time)) AS a, date_trunc('day', max(time)) + INTERVAL 1 DAY AS b FROM precip), grouped_starts AS (SELECT cid, e_start, count(*) AS k FROM targets GROUP BY cid, e_start)
+SELECT 'n_rows' AS name, count(*) AS n FROM targets UNION ALL SELECT 'duplicate_times', CAST(coalesce(sum(k - 1), 0) AS BIGINT) FROM grouped_starts
+UNION ALL SELECT 'outside', count(*) FILTER (e_start < a OR e_end >= b) FROM targets, bounds UNION ALL SELECT 'no_contracts', count(*) FILTER (coalesce(nb_contracts, 0) = 0) FROM targets
+UNION ALL SELECT 'long', count(*) FILTER (duration > 24) FROM targets""")
+def write_checked(d) -> DataFrame:
+    """Events with targets written and checked in one job (an event has a row per claim); events over a day long are counted too."""
+    bounds = d.precip.agg(F.date_trunc("day", F.min("time")).cast("timestamp_ntz").alias("a"), F.expr("CAST(date_trunc('day', max(time)) AS TIMESTAMP_NTZ) + INTERVAL 1 DAY").alias("b"))
+    rows = d.targets.join(F.broadcast(bounds))  # one row
+    checks = {"outside": (F.col("e_start") < F.col("a")) | (F.col("e_end") >= F.col("b")), "no_contracts": F.coalesce("nb_contracts", F.lit(0)) == 0, "long": F.col("duration") > 24}
+    found = files.write_checked(rows, scratch(d, "checked"), checks)
+    return d.spark.createDataFrame(list(found.items()), "name string, n bigint")
+
+
 @query("write_results", "SELECT date_claim, cid, eid, e_search_window, e_match_score FROM linked")
 def write_results(d) -> DataFrame:
     path = scratch(d, "links")

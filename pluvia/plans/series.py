@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..adapters import SMOOTHED, SMOOTHED_EVENTS
 from ..functions.expressions import midpoint, seconds
-from ..operators import events, grid
+from ..operators import archive, events, grid
+from ..sources import files
 from .base import query
 
 
@@ -240,6 +241,26 @@ def pixel_quantile(d) -> DataFrame:
     return d.precip.groupBy("cid").agg(F.round(F.percentile("precip", F.lit(0.99)), 6).alias("q99"))
 
 
+@query("archive_mean_std", "SELECT cid, count(*) AS n, round(avg(precip) + 1e-9, 6) AS mean, round(stddev_pop(precip) + 1e-9, 6) AS sd FROM precip GROUP BY cid")
+def archive_mean_std(d) -> DataFrame:
+    """Means and deviations from states of parts of the archive: its first twenty days, and the days since."""
+    return archive.merged_moments(states_in_two(d)).select("cid", "n", F.round(F.col("mean") + 1e-9, 6).alias("mean"), F.round(F.col("sd") + 1e-9, 6).alias("sd"))
+
+
+def states_in_two(d) -> DataFrame:
+    """States stored for the first twenty days, and added for the rest without the first ones."""
+    hours = files.stored(d.precip.select("cid", "time", "precip"), "hours")
+    new = F.col("time") >= F.lit("2024-01-21").cast("timestamp_ntz")
+    old, more = (files.stored(archive.month_states(part), "states") for part in (hours.filter(~new), hours.filter(new)))
+    return old.unionByName(more)
+
+
+@query("archive_quantile", "SELECT cid, round(quantile_cont(precip, 0.99), 6) AS q99 FROM precip GROUP BY cid")
+def archive_quantile(d) -> DataFrame:
+    """The 99 % quantile from the states, and of the hours only those in the ranges that hold it."""
+    return archive.archive_quantile(states_in_two(d), d.precip, 0.99).select("cid", F.round("value", 6).alias("q99"))
+
+
 @query("standardise_precip", """
 , stats AS (SELECT cid, avg(precip) AS mean, stddev_pop(precip) AS sd FROM precip GROUP BY cid)
 SELECT cid, time, round((precip - mean) / sd, 5) AS precip FROM precip JOIN stats USING (cid) WHERE sd > 0 AND precip > 0""")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,21 @@ def write_events(events: DataFrame, path: str) -> None:
     events.repartition("cid").sortWithinPartitions("cid", "e_start").write.mode("overwrite").parquet(path)
 
 
+def write_checked(events: DataFrame, path: str, checks: dict[str, Column]) -> dict[str, int]:
+    """Writes as ``write_events`` does, and counts in the same job: all rows, repeated starts of a cell, and rows that each check is true for.
+
+    Rows are sorted by cell and start for the table anyway, so a repeated start stands next to its like. A job that runs anew after a
+    failure doesn't count twice. Offending rows need a scan only if a count says so.
+    """
+    before = F.lag("e_start").over(Window.partitionBy("cid").orderBy("e_start"))
+    flags = {"__duplicate_times": before == F.col("e_start"), **{f"__{k}": c for k, c in checks.items()}}
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c.removeprefix("__")) for c in flags]]
+    rows = events.repartition("cid").withColumns(flags).observe(seen, *counts).drop(*flags)
+    rows.sortWithinPartitions("cid", "e_start").write.mode("overwrite").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 FEW = [
     "cells", "events", "event_ids", "events_with_target", "link_result", "link_stats", "claims_wide", "feature_table", "split_by_date", "scores", "roc_auc", "zonal_stats",
     "exposure_table", "fill_gaps", "smooth_3x3", "stream_events", "downsample_negatives", "event_set_compare",
-    "api_hourly", "stream_full_events", "score_stream", "fixed_negatives", "sample_series_padded", "normalise_precip", "normalise_precip_global", "benchmark_random",
+    "write_checked", "epoch_batches", "archive_mean_std", "archive_quantile", "api_hourly", "stream_full_events", "score_stream", "fixed_negatives", "sample_series_padded", "normalise_precip", "normalise_precip_global", "benchmark_random",
     "events_of_removed_claims", "claim_event_candidates", "claim_event_candidates_by_day",
     "smoothed_events", "series_of_cell", "sample_cubes", "link_sweep_runs", "link_disagreement", "smoothing_stats", "rows_with_source", "write_statistics",
 ]
