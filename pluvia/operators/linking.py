@@ -126,9 +126,9 @@ def linked_claims(ranked: DataFrame) -> DataFrame:
     return ranked.filter("rn = 1").select(*CLAIM, "selection", "eid", F.col("min_window").alias("e_search_window"), F.col("score").alias("e_match_score"))
 
 
-def losers(ranked: DataFrame) -> DataFrame:
-    """Events that were a candidate beside another one and that no claim chose."""
-    return ranked.filter("rn > 1").select("eid").distinct().join(ranked.filter("rn = 1").select("eid"), "eid", "left_anti")
+def losers(ranked: DataFrame, key: tuple[str, ...] = ("eid",)) -> DataFrame:
+    """Events that were a candidate beside another one and that no claim chose. The key may hold the cell too, for tables stored by cell."""
+    return ranked.filter("rn > 1").select(*key).distinct().join(ranked.filter("rn = 1").select(*key), list(key), "left_anti")
 
 
 def link_stats(claims: DataFrame, ranked: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -180,10 +180,10 @@ def disagreements(runs: DataFrame) -> DataFrame:
     return met.groupBy("run_a", "run_b", "n_a", "n_b").agg(F.count_if(~F.col("eid").eqNullSafe(F.col("other"))).alias("n_diff"))
 
 
-def set_targets(events: DataFrame, linked: DataFrame) -> DataFrame:
+def set_targets(events: DataFrame, linked: DataFrame, key: tuple[str, ...] = ("eid",)) -> DataFrame:
     """Events with ``target`` and ``nb_claims``, 0 without a claim; an event with several claims has a row for each."""
-    side = linked.select("eid", "selection", "date_claim")
-    full = events.join(side, "eid", "left")
+    side = linked.select(*key, "selection", "date_claim")
+    full = events.join(side, list(key), "left")
     return full.withColumns({"target": F.when(F.col("selection").isNull(), 0).otherwise(1), "nb_claims": F.coalesce("selection", F.lit(0))}).drop("selection")
 
 
@@ -210,7 +210,7 @@ def events_of_removed_claims(events: DataFrame, removed: DataFrame, linked: Data
     return near.select("eid").join(linked.select("eid"), "eid", "left_anti")
 
 
-def events_with_target(events: DataFrame, ranked: DataFrame, exposure: DataFrame) -> DataFrame:
+def events_with_target(events: DataFrame, ranked: DataFrame, exposure: DataFrame, key: tuple[str, ...] = ("eid",)) -> DataFrame:
     """Events with target and contracts; without events that lost to another, and without those of cells with no contract."""
-    full = set_contracts(set_targets(events, linked_claims(ranked)), exposure)
-    return full.join(losers(ranked), "eid", "left_anti").dropna(subset=["nb_contracts"])
+    full = set_contracts(set_targets(events, linked_claims(ranked), key), exposure)
+    return full.join(losers(ranked, key), list(key), "left_anti").dropna(subset=["nb_contracts"])

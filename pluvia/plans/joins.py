@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import CATEGORIES, RUNS, SMOOTHED_EVENTS
 from ..operators import claims, events, grid, linking
+from ..sources import by_cell
 from .base import query
 from .filters import PIXEL_LAYERS, pixel_layers
 
@@ -73,11 +74,44 @@ def claims_with_events(d) -> DataFrame:
     return d.linked.join(side, ["cid", "eid"], "left").select("date_claim", "cid", "eid", "e_start", "e_end", "p_sum")
 
 
-@query("feature_table", """
+FEATURES_SQL = """
 SELECT t.eid, t.cid, t.date_claim, t.target, t.i_max_q, t.p_sum_q, t.duration, a.c_acctbal, a.seg_building, b.p_size, b.p_retailprice
-FROM targets t LEFT JOIN static_a a USING (cid) LEFT JOIN static_b b USING (cid)""")
+FROM targets t LEFT JOIN static_a a USING (cid) LEFT JOIN static_b b USING (cid)"""
+EVENT_FEATURES = ["eid", "cid", "date_claim", "target", "i_max_q", "p_sum_q", "duration"]
+STATIC_FEATURES = ["customer", "part:p_size", "part:p_retailprice"]
+
+
+@query("feature_table", FEATURES_SQL)
 def feature_table(d) -> DataFrame:
-    return grid.feature_table(d.targets.select("eid", "cid", "date_claim", "target", "i_max_q", "p_sum_q", "duration"), {"customer": d.static_a, "part": d.static_b}, ["customer", "part:p_size", "part:p_retailprice"])
+    return grid.feature_table(d.targets.select(*EVENT_FEATURES), {"customer": d.static_a, "part": d.static_b}, STATIC_FEATURES)
+
+
+def ranked_by_cell(d) -> tuple[dict[str, by_cell.CellTable], by_cell.CellTable]:
+    """Events, claims, exposure and attributes as tables by cell, and ranked candidates made of them without a shuffle."""
+    buckets = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = by_cell.hot_cells(d.rain_events)
+    given = {"events": d.rain_events, "claims": d.claims, "exposure": d.exposure, "customer": d.static_a, "part": d.static_b}
+    tables = {name: by_cell.store(rows, name, hot, buckets, ["e_start"] if name == "events" else None) for name, rows in given.items()}
+    rank = lambda claims_, events_: linking.ranked_candidates(linking.candidates_by_day(claims_, events_))
+    return tables, by_cell.apply_and_keep(rank, "ranked", buckets, tables["claims"], tables["events"])
+
+
+@query("link_result_by_cell", "SELECT date_claim, cid, selection, eid, e_search_window, e_match_score FROM linked")
+def link_result_by_cell(d) -> DataFrame:
+    """Links from tables in buckets of cells."""
+    return linking.linked_claims(ranked_by_cell(d)[1].rows())
+
+
+@query("feature_table_by_cell", FEATURES_SQL)
+def feature_table_by_cell(d) -> DataFrame:
+    """The feature table from tables in buckets of cells: links, targets, contracts and attributes meet bucket by bucket."""
+    tables, ranked = ranked_by_cell(d)
+    return by_cell.apply(features_of_cells, tables["events"], ranked, *[tables[k] for k in ("exposure", "customer", "part")])
+
+
+def features_of_cells(events_: DataFrame, ranked: DataFrame, exposure: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
+    targets = linking.events_with_target(events_, ranked, exposure, ("cid", "eid"))
+    return grid.feature_table(targets.select(*EVENT_FEATURES), {"customer": customer, "part": part}, STATIC_FEATURES)
 
 
 @query("events_of_removed_claims", """

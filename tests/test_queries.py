@@ -15,7 +15,7 @@ FEW = [
     "exposure_table", "fill_gaps", "smooth_3x3", "stream_events", "downsample_negatives", "event_set_compare",
     "write_checked", "epoch_batches", "archive_mean_std", "archive_quantile", "api_hourly", "stream_full_events", "score_stream", "fixed_negatives", "sample_series_padded", "normalise_precip", "normalise_precip_global", "benchmark_random",
     "events_of_removed_claims", "claim_event_candidates", "claim_event_candidates_by_day",
-    "smoothed_events", "series_of_cell", "sample_cubes", "link_sweep_runs", "link_disagreement", "smoothing_stats", "rows_with_source", "write_statistics",
+    "link_result_by_cell", "feature_table_by_cell", "smoothed_events", "series_of_cell", "sample_cubes", "link_sweep_runs", "link_disagreement", "smoothing_stats", "rows_with_source", "write_statistics",
 ]
 
 
