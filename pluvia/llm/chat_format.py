@@ -36,6 +36,9 @@ from .common import stored
 CAPACITY = 2048
 HISTORY = 256
 
+#: Blocks of a conversation that share one copy of its system turn while windows meet it.
+LEAD_BLOCKS = 16
+
 #: Characters of a text that ranges are cut by.
 PREFIX = 200
 
@@ -165,8 +168,6 @@ def format_windows(turns: DataFrame, tokenizer: str, capacity: int = CAPACITY, h
     """conv_id, block, crossing (their order is the order of windows), formatted, loss (spans in characters of
     ``formatted``), n_repeated (leading turns that are repeats), n_new, n_tokens, over: one row per window."""
     rows = stored(placed_turns(turns, tokenizer))
-    lead = rows.filter("nth = 0 AND role = 'system'").select(F.col("conv_id").alias("c"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
-    same = lambda df: df["conv_id"].eqNullSafe(F.col("c"))
     left = F.greatest(F.lit(capacity) - F.coalesce("system", F.lit(0)), F.lit(0))
     sized = rows.withColumn("past", F.least(F.lit(history), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("past"), F.lit(1)).cast("long"))
     sized = sized.withColumn("block", F.floor(F.col("start") / F.col("room")))
@@ -180,7 +181,12 @@ def format_windows(turns: DataFrame, tokenizer: str, capacity: int = CAPACITY, h
     # a copy for a window that doesn't exist (no own turn there) is dropped after grouping
     turn = F.struct("nth", "start", "role", "text", "tokens", F.col("at.own").alias("own"))
     groups = spread.groupBy("conv_id", F.col("at.block").alias("block"), F.col("at.crossing").alias("crossing")).agg(F.collect_list(turn).alias("turns"), F.bool_or("at.own").alias("some")).filter("some").drop("some")
-    full = groups.join(lead, same(groups), "left").drop("c")
+    # a copy of the system turn for each LEAD_BLOCKS blocks, so that no task gets all windows of a long conversation
+    first = F.when((F.col("nth") == 0) & (F.col("role") == "system"), F.struct(F.col("text").alias("system"), F.col("tokens").alias("system_tokens")))
+    lead = sized.groupBy("conv_id").agg(F.max(first).alias("s"), F.max("block").alias("last")).filter("s IS NOT NULL")
+    lead = lead.select(F.col("conv_id").alias("c"), "s.*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / LEAD_BLOCKS))).alias("stretch"))
+    met = groups["conv_id"].eqNullSafe(lead["c"]) & (F.floor(groups["block"] / LEAD_BLOCKS) == lead["stretch"])
+    full = groups.join(lead, met, "left").drop("c", "stretch")
     return full.select("conv_id", "block", "crossing", _format_udf(capacity, history)("turns", "system", "system_tokens").alias("w")).select("conv_id", "block", "crossing", "w.*")
 
 

@@ -1,14 +1,18 @@
 """Winnowing fingerprints of documents, with DataFrame functions only.
 
-Words are hashed, k-gram hashes are Karp-Rabin polynomials of word hashes (mod 2^31 - 1), and of every window
+Units are words; a word of more than ``LONG`` code points, and every word of a text with fewer than ``w + k - 1``
+words, counts as its code points instead, so that texts without blanks have positions and k-grams too. Whether a
+word is long depends on the word alone, so both texts that share it cut it alike.
+
+Units are hashed, k-gram hashes are Karp-Rabin polynomials of unit hashes (mod 2^31 - 1), and of every window
 of ``w`` consecutive k-grams the smallest hash is chosen, the rightmost on ties. Any two texts that share
-``w + k - 1`` consecutive words share a chosen hash. k and w are powers of two, so that both the polynomials
+``w + k - 1`` consecutive units share a chosen hash. k and w are powers of two, so that both the polynomials
 and the window minima come from doubling: a k-gram from two halves, a window's minimum from two halves.
 A chosen k-gram is one number: hash * 2^31 + (2^31 - 1 - position); the smallest number is the smallest hash at
 the rightmost position, and both can be read from it.
 
 Defined cases: null text is empty; a text without words has no fingerprint, and two such texts have likeness
-1; fewer than k words are one k-gram, fewer than w k-grams one window; equal texts have equal fingerprints.
+1; fewer than k units are one k-gram, fewer than w k-grams one window; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from .common import stored
 K = 4
 W = 4
 
+#: Longer words are URLs, tables in one string, or texts of a script without blanks.
+LONG = 32
+
 _MOD = 2147483647
 _BASE = 1000003
 
@@ -36,14 +43,24 @@ def _polynomial(power: int):
     return lambda x, y: (x * F.lit(power).cast("long") + y) % F.lit(_MOD).cast("long")
 
 
+def _with_units(rows: DataFrame, text: str, out: str, least: int) -> DataFrame:
+    """``rows`` with the hashes of a text's units as ``out``; code points stand for words where there are fewer than ``least``."""
+    words = f"{out}_words"
+    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(_MOD).cast("long"))
+    few = F.size(words) < least
+    letters = lambda x: F.transform(F.array_remove(F.split(x, ""), ""), hashed)
+    cut = F.flatten(F.transform(F.col(words), lambda x: F.when(few | (F.length(x) > LONG), letters(x)).otherwise(F.array(hashed(x)))))
+    rows = rows.withColumn(words, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))
+    return rows.withColumn(out, F.when(few | F.exists(words, lambda x: F.length(x) > LONG), cut).otherwise(F.transform(words, hashed))).drop(words)
+
+
 def with_fingerprint(rows: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """``rows`` with the array column ``out``: the chosen k-grams of the column ``text``, in order of position.
 
     Every step is a column of its own, so that each is computed once per row.
     """
     step = f"{out}_0"
-    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
-    rows = rows.withColumn(step, F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(_MOD).cast("long"))))
+    rows = _with_units(rows, text, step, w + k - 1)
     missing = F.when(F.size(step) == 0, F.lit(0)).otherwise(F.greatest(F.lit(k) - F.size(step), F.lit(0)))
     names = [step]
 
@@ -73,7 +90,7 @@ def hashes(chosen: Column) -> Column:
 
 
 def positions(chosen: Column) -> Column:
-    """(position in words, hash) of chosen k-grams."""
+    """(position in units, hash) of chosen k-grams."""
     return F.transform(chosen, lambda x: F.struct((F.lit(_MOD).cast("long") - x.bitwiseAND(_MOD)).cast("int").alias("position"), F.shiftright(x, 31).alias("hash")))
 
 

@@ -343,11 +343,34 @@ def test_chat_windows_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] and len(found[0]) > 20
 
 
+def test_chat_system_turn_meets_long_conversations_in_stretches(spark, monkeypatch):
+    """A conversation that holds a third of all turns: windows are the same however its blocks are cut into stretches."""
+    rng = random.Random(5)
+    rows = [(1, k, "system" if k == 0 else "assistant" if k % 2 else "user", " ".join(["word"] * rng.randrange(1, 30))) for k in range(400)]
+    rows += [(None, k, "system" if k == 0 else "user", f"turn {k}") for k in range(40)] + [(2 + k // 4, k % 4, "user", "no system turn") for k in range(760)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = []
+    for n in (1, 3, 100_000):
+        monkeypatch.setattr(chat_format, "LEAD_BLOCKS", n)
+        windows = chat_format.format_windows(turns, queries.tokenizer_path("byte_bpe_50k.json"), capacity=256, history=32)
+        found.append(sorted((str(r["conv_id"]), r["block"], r["crossing"], r["formatted"], str(r["loss"])) for r in windows.collect()))
+    assert found[0] == found[1] == found[2]
+    long = [w for w in found[0] if w[0] == "1"]
+    assert len(long) > 20 and max(w[1] for w in long) > 16 and all(chat_format.parse(w[3])[0][0] == "system" for w in long)
+    assert sum(chat_format.parse(w[3])[0][0] == "system" for w in found[0] if w[0] == "None") == sum(w[0] == "None" for w in found[0])
+
+
 # -- winnowing ----------------------------------------------------------------------------------------------
 
 
+def winnowing_units(text, least=7):
+    """Words; code points where a word is long or words are few."""
+    found = [x for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
+    return [u for x in found for u in (x if len(x) > 32 or len(found) < least else [x])]
+
+
 def brute_winnow(text, word_hash, k=4, w=4):
-    own = [word_hash[x] for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
+    own = [word_hash[x] for x in winnowing_units(text, w + k - 1)]
     own += [0] * (k - len(own)) if own else []
     grams = []
     for i in range(len(own) - k + 1):
@@ -370,7 +393,7 @@ def test_winnowing_against_brute_force(spark, request, name):
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     order = sorted(text)
     edited = {d: text[d][: len(text[d]) - len(text[d]) // 4] + text[order[(i + 1) % len(order)]][: len(text[d]) // 4] for i, d in enumerate(order)}
-    all_words = sorted({x for t in [*text.values(), *edited.values()] for x in re.split("[\x20\x09-\x0d]+", t) if x})
+    all_words = sorted({x for t in [*text.values(), *edited.values()] for x in winnowing_units(t)})
     hashed = spark.createDataFrame([(x,) for x in all_words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(winnowing._MOD))).collect()
     word_hash = {r[0]: r[1] for r in hashed}
     own = {d: brute_winnow(t, word_hash) for d, t in text.items()}
@@ -392,6 +415,27 @@ def test_winnowing_hard_cases(spark, hard, empty):
     assert len({r["fingerprint"] for r in rows if r["doc_id"] in (10, 11)}) == 1
 
 
+def test_winnowing_without_blanks(spark):
+    """Texts of a script without blanks, long words among short ones, letters outside the basic plane, and texts of few words."""
+    rng = random.Random(11)
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    rows = [(1, cjk(4000)), (2, cjk(4000)), (3, "".join(chr(rng.randrange(0x20000, 0x2A6D6)) for _ in range(400))), (4, "one two " + cjk(33) + " three " * 20)]
+    rows += [(5, "https://example.org/" + "path/to/" * 60), (6, "a few short words"), (7, "x"), (8, "y" * 32 + " " + "z" * 33), (9, " ".join(cjk(32) for _ in range(7)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = dict(rows)
+    edited = {d: text[d][: len(text[d]) - len(text[d]) // 4] + text[d % 9 + 1][: len(text[d]) // 4] for d in text}
+    units = sorted({x for t in [*text.values(), *edited.values()] for x in winnowing_units(t)})
+    hashed = spark.createDataFrame([(x,) for x in units], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(winnowing._MOD))).collect()
+    unit_hash = {r[0]: r[1] for r in hashed}
+    own = {d: brute_winnow(t, unit_hash) for d, t in text.items()}
+    for r in winnowing.fingerprints(docs).collect():
+        assert sorted((x["position"], x["hash"]) for x in r["fingerprint"]) == own[r["doc_id"]]
+    found = {r["doc_id"]: r for r in winnowing.compare_edited(docs).collect()}
+    for d, r in found.items():
+        assert r["near_edited"] == pytest.approx(likeness(own[d], brute_winnow(edited[d], unit_hash)))
+    assert all(found[d]["near_edited"] > 0.5 for d in (1, 2, 3)) and found[1]["near_next"] == 0
+
+
 # -- SimHash ------------------------------------------------------------------------------------------------
 
 
@@ -790,6 +834,8 @@ def test_shards_hard_cases(spark, hard, empty):
     for r in rows:
         pages[r["shard"]] += r["n_bytes"]
     assert all(n <= 1000 or n > 4000 for n in pages.values())
+    sizes = Counter(r["shard"] for r in rows)
+    assert all(n <= 1000 or sizes[shard] == 1 for shard, n in pages.items())  # only a row that is too long by itself passes the limit
     assert sharding.extendible_shards(empty, 10)[0].count() == 0
 
 
