@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,14 +59,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+#: Tables stored in the innermost scope of this thread, so that threads don't remove each other's.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: cuts lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,9 +76,9 @@ def stored(df: DataFrame) -> DataFrame:
 def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Removes what is stored inside when it ends, but for tables stored by the function that it gives.
 
-    Only what is kept may be read later.
+    Only what is kept may be read later. A scope holds for the thread that opened it; what other threads store stays.
     """
-    outer, own = _SCOPES[-1] if _SCOPES else None, []
+    outer, own = _SCOPE.get(), []
 
     def keep(df: DataFrame) -> DataFrame:
         out = stored(df)
@@ -85,11 +87,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
             outer.append(path)
         return out
 
-    _SCOPES.append(own)
+    token = _SCOPE.set(own)
     try:
         yield keep
     finally:
-        _SCOPES.pop()
+        _SCOPE.reset(token)
         path = spark._jvm.org.apache.hadoop.fs.Path
         for x in own:
             path(x).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(x), True)
