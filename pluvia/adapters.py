@@ -21,6 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.expressions import hour_start
 from .operators import claims, events, grid, linking
 from .sources import files
 
@@ -35,7 +36,6 @@ class Domain:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -48,8 +48,7 @@ class Domain:
 
     @cached_property
     def observed(self) -> DataFrame:
-        hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-        rows = self.table("events").select((F.col("user_id") + 1).cast("int").alias("cid"), hour.alias("time"), "value")
+        rows = self.table("events").select((F.col("user_id") + 1).cast("int").alias("cid"), hour_start(F.col("ts")).alias("time"), "value")
         return rows.groupBy("cid", "time").agg(F.round(F.sum("value") / 10, 3).alias("precip"))
 
     @cached_property

@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 
 def seconds(time: Column) -> Column:
-    """Seconds since 1970 of a time without zone (read as UTC)."""
-    return F.unix_seconds(time.cast("timestamp"))
+    """Seconds since 1970 of a time without zone (read as UTC), whatever the session's zone is."""
+    return F.unix_date(time.cast("date")).cast("long") * 86400 + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+
+
+def moment(count: Column) -> Column:
+    """The time without zone that is so many seconds after 1970: ``seconds`` turned round."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01'") + F.make_dt_interval(secs=count)
+
+
+def hour_start(time: Column) -> Column:
+    """The full hour of a time without zone."""
+    return time.cast("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(time))
+
+
+def instant(time: Column) -> Column:
+    """A time without zone, read as UTC, as an instant (event times of streams)."""
+    return F.timestamp_seconds(seconds(time))
 
 
 def hours_between(later: Column, earlier: Column) -> Column:
@@ -17,7 +32,7 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 def midpoint(start: Column, end: Column) -> Column:
     """The time half-way, to the second."""
-    return F.timestamp_seconds(F.floor((seconds(start) + seconds(end)) / 2)).cast("timestamp_ntz")
+    return moment(F.floor((seconds(start) + seconds(end)) / 2))
 
 
 def percentile_rank(value: str, *groups: str) -> Column:

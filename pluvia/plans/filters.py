@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import SELECTED
-from ..functions.expressions import midpoint, seconds
+from ..functions.expressions import midpoint, moment, seconds
 from ..operators import claims
 from .base import query
 
@@ -165,7 +165,7 @@ def round_to_step(d) -> DataFrame:
     """The middle of each event rounded to 6 hours, halves to the even step."""
     middle = seconds(midpoint(F.col("e_start"), F.col("e_end")))
     step = F.bround(middle / 21600.0, 0).cast("long") * 21600
-    return d.rain_events.select("eid", F.timestamp_seconds(step).cast("timestamp_ntz").alias("step_time"))
+    return d.rain_events.select("eid", moment(step).alias("step_time"))
 
 
 @query("log1p_precip", "SELECT cid, time, round(ln(1 + precip), 6) AS precip FROM precip WHERE precip > 0")

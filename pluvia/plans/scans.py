@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import linking
+from ..functions.expressions import day_start
 from ..operators.events import EVENT_COLUMNS
 from ..sources import files
 from .base import query
@@ -34,7 +35,7 @@ SOURCE_SQL = ", sources AS (SELECT *, 'CPC_' || strftime(date_trunc('week', ts),
 
 def with_source(d) -> DataFrame:
     """Raw rows with the name of the weekly file that they stand for."""
-    return d.table("events").withColumn("source", F.concat(F.lit("CPC_"), F.date_format(F.date_trunc("week", "ts"), "yyyyMMdd"), F.lit(".nc")))
+    return d.table("events").withColumn("source", F.concat(F.lit("CPC_"), F.date_format(F.trunc("ts", "week"), "yyyyMMdd"), F.lit(".nc")))
 
 
 @query("rows_with_source", SOURCE_SQL + """
@@ -93,7 +94,7 @@ UNION ALL SELECT 'outside', count(*) FILTER (e_start < a OR e_end >= b) FROM tar
 UNION ALL SELECT 'long', count(*) FILTER (duration > 24) FROM targets""")
 def write_checked(d) -> DataFrame:
     """Events with targets written and checked in one job (an event has a row per claim); events over a day long are counted too."""
-    bounds = d.precip.agg(F.date_trunc("day", F.min("time")).cast("timestamp_ntz").alias("a"), F.expr("CAST(date_trunc('day', max(time)) AS TIMESTAMP_NTZ) + INTERVAL 1 DAY").alias("b"))
+    bounds = d.precip.agg(day_start(F.to_date(F.min("time"))).alias("a"), day_start(F.to_date(F.max("time")), 1).alias("b"))
     rows = d.targets.join(F.broadcast(bounds))  # one row
     checks = {"outside": (F.col("e_start") < F.col("a")) | (F.col("e_end") >= F.col("b")), "no_contracts": F.coalesce("nb_contracts", F.lit(0)) == 0, "long": F.col("duration") > 24}
     found = files.write_checked(rows, scratch(d, "checked"), checks)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..adapters import SMOOTHED, SMOOTHED_EVENTS
-from ..functions.expressions import midpoint, seconds
+from ..functions.expressions import hour_start, midpoint, moment, seconds
 from ..operators import archive, events, grid
 from ..sources import files
 from .base import query
@@ -25,7 +25,7 @@ def fill_gaps(d) -> DataFrame:
 @query("dedup_times", """
 SELECT cid, time, value FROM (SELECT CAST(user_id + 1 AS INTEGER) AS cid, date_trunc('hour', ts) AS time, value, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
 def dedup_times(d) -> DataFrame:
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time")
+    hour = hour_start(F.col("ts")).alias("time")
     rows = d.table("events").select((F.col("user_id") + 1).cast("int").alias("cid"), hour, "value", "ts", "event_id")
     return grid.first_per_time(rows, F.col("ts"), F.col("event_id")).select("cid", "time", "value")
 
@@ -140,7 +140,7 @@ def cubes(d, half: int = 1, days_before: int = 2, days_after: int = 1, step: int
     There can't be more steps than asked for, since steps are joined to a calendar.
     """
     samples = d.targets.filter("target = 1").select("eid", "x", "y", F.col("i_max_date").alias("ref")).distinct()
-    on_step = F.timestamp_seconds(F.bround(seconds(F.col("ref")) / (3600.0 * step), 0).cast("long") * 3600 * step).cast("timestamp_ntz")
+    on_step = moment(F.bround(seconds(F.col("ref")) / (3600.0 * step), 0).cast("long") * 3600 * step)
     samples = samples.withColumn("ref", on_step)
     steps = (days_before + days_after) * 24 // step + 1
     hours = F.explode(F.sequence(F.expr(f"ref - INTERVAL {days_before} DAYS"), F.expr(f"ref + INTERVAL {days_after} DAYS"), F.expr(f"INTERVAL {step} HOURS")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.expressions import instant, moment
 from ..operators.events import API_DECAY, API_HOURS, GAP_HOURS, LEAST_SUM, WET
 
 HOUR_MS = 3_600_000
@@ -26,7 +27,7 @@ def stream_events(hours: DataFrame, late: str = "2 days", wet: float = WET, gap_
     session window ends at its last time plus the gap and merges with one that begins there. Dry hours never
     arrive, so the duration follows from start and end.
     """
-    rows = hours.filter(F.col("precip") >= wet).withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
+    rows = hours.filter(F.col("precip") >= wet).withColumn("time", instant(F.col("time"))).withWatermark("time", late)
     # a session ends before its last time plus the gap; a second more lets a gap of exactly that length merge
     session = F.session_window("time", f"{gap_hours * 3600 + 1} seconds")
     sums = rows.groupBy("cid", session.alias("session")).agg(
@@ -35,12 +36,12 @@ def stream_events(hours: DataFrame, late: str = "2 days", wet: float = WET, gap_
     start = F.col("session.start")
     out = sums.select(
         "cid",
-        start.cast("timestamp_ntz").alias("e_start"),
-        F.col("last").cast("timestamp_ntz").alias("e_end"),
+        moment(F.unix_seconds(start)).alias("e_start"),
+        moment(F.unix_seconds("last")).alias("e_end"),
         ((F.unix_seconds("last") - F.unix_seconds(start)) / 3600 + 1).cast("int").alias("duration"),
         F.round("p_wet", 3).alias("p_wet"),
         "i_max",
-        F.col("first_max").cast("timestamp_ntz").alias("i_max_date"),
+        moment(F.unix_seconds("first_max")).alias("i_max_date"),
     )
     return out.filter(F.col("p_wet") >= least_sum)
 
@@ -110,12 +111,12 @@ def full_stream_events(hours: DataFrame, late: str = "2 days") -> DataFrame:
     what is open, and goes when its last hour is out of sight. Rows behind the watermark are dropped; dry hours needn't arrive.
     The work and state of a cell are bounded by its hours between the watermark and the newest one, and 720 more.
     """
-    rows = hours.filter("precip > 0").withColumn("time", F.col("time").cast("timestamp")).withWatermark("time", late)
+    rows = hours.filter("precip > 0").withColumn("time", instant(F.col("time"))).withWatermark("time", late)
     rows = rows.select("cid", "time", F.floor(F.unix_seconds("time") / 3600).alias("hour"), "precip")
     kind = "cid int, start bigint, end bigint, duration bigint, p_sum double, i_max double, i_mean double, i_sd double, api double, top bigint"
     state = "hours array<bigint>, precip array<double>, after bigint"
     found = rows.groupBy("cid").applyInPandasWithState(_advance, kind, state, "append", GroupStateTimeout.EventTimeTimeout)
-    time = lambda c: F.timestamp_seconds(F.col(c) * 3600).cast("timestamp_ntz")
+    time = lambda c: moment(F.col(c) * 3600)
     rounded = [F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("p_sum", "i_max", "i_mean", "i_sd", "api")]
     return found.select("cid", time("start").alias("e_start"), time("end").alias("e_end"), F.col("duration").cast("int").alias("duration"), *rounded, time("top").alias("i_max_date"))
 
