@@ -608,6 +608,33 @@ def test_table_shape_keeps_recall():
         assert 20 <= width <= 28 and width * segments <= 64 * (similar.LANES - 1)
 
 
+def test_near_dedup_recall_at_the_limit(spark):
+    """1000 pairs just above 0.8 (and as many just below, which must not link), by edits at the end or all over the text."""
+    rng, docs, wanted = random.Random(21), {}, {}
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    for k in range(1000):
+        base = [word() for _ in range(rng.randrange(69, 400))]  # over ``SHORT`` shingles: shorter pairs meet by their own hashes
+        places = list(range(len(base) - 1, -1, -1)) if k % 2 else rng.sample(range(len(base)), len(base))
+        least, above, new = rng.uniform(0.8, 0.85), list(base), list(base)
+        for at in places:
+            new[at] = word()
+            if (s := alike(base, new)) < 0.8:
+                break
+            if s >= least:
+                above = list(new)
+        docs[3 * k], docs[3 * k + 1], docs[3 * k + 2] = base, above, new
+        wanted[k] = alike(base, above)
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in docs.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows).collect()}
+    assert all(s >= 0.8 for s in wanted.values()) and sum(s < 0.84 for s in wanted.values()) > 300
+    found = sum(got[3 * k + 1] == got[3 * k] for k in wanted)
+    assert found >= 0.98 * len(wanted), found
+    # what is below 0.8 of its base is in its group only by way of the text between them
+    assert all(got[3 * k + 2] != got[3 * k] or alike(docs[3 * k + 1], docs[3 * k + 2]) >= 0.8 for k in wanted)
+
+
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr("pluvia.llm.components.LEAST_HUB", 5)
     links = [(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 80)] + [(79, 39), (90, 91), (91, 92)]
