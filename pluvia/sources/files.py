@@ -5,11 +5,18 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders made in the innermost scope of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, below ``spark.checkpoint.dir``; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +24,35 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pluvia-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes at its end all intermediate tables made inside by this thread, but for results stored by the function that it gives.
+
+    Rows that are read later must be kept that way, or come from outside. Tables kept in an inner scope belong to the one around it.
+    """
+    outer, made = _SCOPE.get(), []
+
+    def keep(rows: DataFrame, name: str = "result") -> DataFrame:
+        out = stored(rows, name)
+        path = made.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    token = _SCOPE.set(made)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for x in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
