@@ -20,6 +20,9 @@ from .verification import confusion_counts, predicted, roc_area
 
 TREES, DEPTH, LEAF, SHARE = 800, 30, 90, "0.3"
 
+#: Rows of one task of a forest's fit at most, each with a weight per tree.
+ROWS_A_TASK = 50_000
+
 #: The seeds of a sweep's eleven splits, and its weight denominator.
 SEEDS, DENOMINATORS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 42), (30.0,)
 
@@ -47,9 +50,19 @@ def fit_logistic(rows: DataFrame, max_iter: int = 1000):
     return LogisticRegression(weightCol="weight", maxIter=max_iter, standardization=False, elasticNetParam=0.0, regParam=1.0 / total).fit(train)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores by event: a small table is one file, which one task would read. Sorted, so that a forest doesn't depend on files.
+
+    The rows of one event are alike in all that a forest reads.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return rows.repartition(tasks, "eid").sortWithinPartitions("eid")
+
+
 def fit_forest(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, features: str = SHARE, seed: int = 42, impurity: str = "gini"):
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, featureSubsetStrategy=features, weightCol="weight", seed=seed, impurity=impurity)
-    return forest.fit(rows.filter("split = 'train'"))
+    """A forest of the training part; each row's nodes are kept from level to level, so that no level walks the trees from their roots."""
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, featureSubsetStrategy=features, weightCol="weight", seed=seed, impurity=impurity, cacheNodeIds=True)
+    return forest.fit(dealt(rows.filter("split = 'train'").select("eid", "features", "label", "weight")))
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
@@ -71,7 +84,7 @@ def logistic_regression(d) -> DataFrame:
 @query("random_forest")
 def random_forest(d) -> DataFrame:
     rows = weighted(d)
-    return summary(scored(fit_forest(rows), rows))
+    return summary(stored(scored(fit_forest(rows), dealt(rows)), "scored"))
 
 
 @query("random_forest_ratio")
@@ -79,9 +92,10 @@ def random_forest_ratio(d) -> DataFrame:
     """A forest for the ratio of claims to contracts."""
     ratio = d.targets.select("eid", F.least(F.lit(1.0), F.col("nb_claims") / F.col("nb_contracts")).alias("label")).groupBy("eid").agg(F.max("label").alias("label"))
     rows = vectors(stored(split_rows(d).join(ratio, "eid"), "samples"))
-    model = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy=SHARE, seed=42).fit(rows.filter("split = 'train'"))
+    forest = RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, featureSubsetStrategy=SHARE, seed=42, cacheNodeIds=True)
+    model = forest.fit(dealt(rows.filter("split = 'train'").select("eid", "features", "label")))
     error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))))
-    return model.transform(rows).groupBy("split").agg(error.alias("rmse"), F.count("*").alias("n"))
+    return model.transform(dealt(rows)).groupBy("split").agg(error.alias("rmse"), F.count("*").alias("n"))
 
 
 @query("feature_importance")
@@ -170,7 +184,7 @@ def forest_search(d, settings: list[dict] | None = None, path: str | None = None
     def fit_and_score(setting: dict) -> float:
         own = dict(setting)
         rows = with_weights(base, float(own.pop("denominator")))
-        n = confusion_counts(scored(fit_forest(rows, **own), rows.filter("split = 'valid'")), []).first()
+        n = confusion_counts(scored(fit_forest(rows, **own), dealt(rows.filter("split = 'valid'"))), []).first()
         return 2 * n["tp"] / (2 * n["tp"] + n["fp"] + n["fn"] + 1e-7)
 
     found = search.halving_search(d.spark, path or scratch(d, "trials"), search.forest_settings() if settings is None else settings, fit_and_score, **options)

@@ -177,3 +177,22 @@ def test_ratio_forest_against_the_mean(spark, monkeypatch):
     want = {r["split"]: r for r in features.split_rows(d).join(ratio, "eid").groupBy("split").agg(F.count("*").alias("n"), F.stddev_pop("ratio").alias("sd")).collect()}
     assert {k: r["n"] for k, r in got.items()} == {k: r["n"] for k, r in want.items()}
     assert got["train"]["rmse"] <= want["train"]["sd"] and all(0 <= r["rmse"] <= 1 for r in got.values())
+
+
+def test_forests_read_a_small_table_in_all_tasks(spark, monkeypatch):
+    """A table of one file is dealt over the cores before a forest reads it, for the fit and for scores, with all its rows."""
+    rows = spark.createDataFrame([(i, "train" if i % 3 else "valid", i % 2, float(i % 7), float(i % 2), 1.0) for i in range(600)], "eid long, split string, target int, v double, label double, weight double")
+    rows = rows.coalesce(1)
+    seen = []
+
+    def spy(self, train):
+        seen.append((train.rdd.getNumPartitions(), train.count(), self.getCacheNodeIds()))
+        return None
+
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", spy)
+    models.fit_forest(rows.withColumn("features", F.col("v")))
+    assert seen == [(4, 400, True)]
+    got = models.dealt(rows)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 600 and got.exceptAll(rows).isEmpty()
+    monkeypatch.setattr(models, "ROWS_A_TASK", 50)
+    assert models.dealt(rows).rdd.getNumPartitions() == 12
