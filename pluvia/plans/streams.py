@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import day_start
+from ..functions.expressions import day_start, hour_start
 from ..operators import samples
 from ..operators.samples import threshold_prediction
 from ..sources.files import stored
@@ -21,7 +21,8 @@ def feed(d, least: float = 0.1) -> DataFrame:
     path = scratch(d, "feed")
     rows = d.observed.filter(F.col("precip") >= least)
     rows.write.parquet(path)
-    end = d.observed.agg(F.lit(-1).alias("cid"), F.expr("max(time) + INTERVAL 30 DAYS").alias("time"), F.lit(99.0).alias("precip"))
+    newest = d.table("events").agg(F.max(hour_start(F.col("ts"))).alias("time"))
+    end = newest.select(F.lit(-1).alias("cid"), F.expr("time + INTERVAL 30 DAYS").alias("time"), F.lit(99.0).alias("precip"))
     end.select("cid", "time", "precip").write.mode("append").parquet(path)
     return d.spark.readStream.schema(rows.schema).parquet(path)
 
@@ -79,8 +80,7 @@ class Forecast:
 
     def __init__(self, d) -> None:
         self.d = d
-        first = d.observed.agg(F.min("time").alias("first"))
-        cut = first.select(day_start(F.to_date("first"), ARCHIVED_DAYS).alias("cut"))
+        cut = d.span.select(day_start(F.col("first"), ARCHIVED_DAYS).alias("cut"))
         self.past = d.rain_events.join(F.broadcast(cut), F.col("e_start") < F.col("cut")).drop("cut")  # one row
         self.new = d.rain_events.join(F.broadcast(cut), F.col("e_start") >= F.col("cut")).drop("cut")
         self.archive = stored(scoring.archived_ranks(self.past, RANKS), "archive")

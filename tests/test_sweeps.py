@@ -85,3 +85,36 @@ def test_tiles_smooth_like_squares(spark, size, tile):
             if any((q, h) in rain for q in square):
                 want[number[p], at(h)] = sum(rain.get((q, h)) or 0.0 for q in square) / size**2
     assert got == pytest.approx(want)
+
+
+def test_events_of_rainy_hours_equal_those_of_the_full_series(spark):
+    """Wet, faint and negative hours among dry ones: a table without the dry hours gives the same events and the same hours of each."""
+    rng, n = np.random.default_rng(3), 900
+    full = {}
+    for c in range(6):
+        p = np.where(rng.random(n) < 0.12, np.round(rng.exponential(5, n), 3), 0.0)
+        p[rng.choice(n, 40, replace=False)] = 0.05
+        p[rng.choice(n, 10, replace=False)] = -0.2
+        full |= {(c, h): float(v) for h, v in enumerate(p)}
+    full |= {(9, h): 0.0 for h in range(n)} | {(7, h): 12.0 * (h == 5) for h in range(n)}  # a dry cell, and an event of one hour
+    table = lambda keep: spark.createDataFrame([(c, at(h), v) for (c, h), v in full.items() if keep(v)], "cid int, time timestamp_ntz, precip double")
+    series, rain = table(lambda v: True), table(lambda v: v != 0)
+    hours = lambda rows: sorted(map(tuple, rows.select("cid", "gid", "e_start", "e_end", "time", "precip").collect()))
+    want = hours(events.sessionise(series))
+    assert hours(events.with_dry_hours(events.sparse_sessions(rain))) == want == hours(events.with_dry_hours(events.sparse_sessions(series)))
+    columns = ["cid", "e_start", "e_end", "duration", "p_sum", "i_max", "i_mean", "i_sd", "api", "i_max_date", *[f"{c}_q" for c in events.RANKED]]
+    found = lambda rows: sorted(tuple(-1 if v is None else v for v in r) for r in rows.select(*columns).collect())
+    want = found(events.extract_events(series))
+    assert len(want) > 50 and any(r[3] == 1 for r in want)
+    assert found(events.extract_events(rain, sparse=True)) == want == found(events.extract_events(series, sparse=True))
+
+
+def test_events_are_made_without_the_calendar(spark):
+    """The plans that events and their samples come from read rainy hours only, and no hour of the calendar for each cell."""
+    from pluvia import registry
+    from pluvia.adapters import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    d.__dict__["precip"] = None  # any use of the full series would fail
+    for name in ("events", "i_max_date", "sessionise", "sample_cubes", "sample_series", "sample_series_padded", "precip_window_join", "drop_period_edges", "write_checked", "smoothing_stats"):
+        assert registry.ON_DOMAIN[name](d).count() > 0
