@@ -196,3 +196,15 @@ def test_forests_read_a_small_table_in_all_tasks(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == 4 and got.count() == 600 and got.exceptAll(rows).isEmpty()
     monkeypatch.setattr(models, "ROWS_A_TASK", 50)
     assert models.dealt(rows).rdd.getNumPartitions() == 12
+
+
+def test_fits_side_by_side_share_the_cores(spark, tmp_path, monkeypatch):
+    """Fits of a search that run at once get a part of the cores each, and all rows; a table of many rows is still dealt to more tasks."""
+    rows = spark.createDataFrame([(i, float(i)) for i in range(600)], "eid long, v double").coalesce(1)
+    assert [models.dealt(rows, n).rdd.getNumPartitions() for n in (1, 2, 3, 8)] == [4, 2, 2, 1]
+    assert models.dealt(rows, 8).exceptAll(rows).isEmpty() and models.dealt(rows, 8).count() == 600
+    monkeypatch.setattr(models, "ROWS_A_TASK", 50)
+    assert models.dealt(rows, 8).rdd.getNumPartitions() == 12
+    told = []
+    search.halving_search(spark, str(tmp_path / "t"), search.forest_settings(8), lambda own, n: told.append(n) or own["trees"] / 1e4, budgets=(1 / 2, 1.0), told=True)
+    assert told == [8] * 8 + [2] * 2
