@@ -5,7 +5,9 @@ of the next text's first word.
 
 Counting covers every training token. Clustering moves the core vocabulary: words with at least ``min_share``
 of all tokens, of which there are at most 1 / min_share on any corpus, so that the class map can be sent to
-every task. All rarer words share one class, in which their own counts still give their probabilities.
+every task. All rarer words begin in one class, in which their own counts still give their probabilities. With ``place_rare``
+each of them then gets the class that adds most to the likelihood, by what stands before and after it, in one distributed round: rare
+words are grouped by their hash, and neither they nor their classes pass through the driver to be placed. Class pairs are counted anew with them.
 
 Exchange clustering is bulk-synchronous. One row per core word holds its neighbour counts (at most one per core
 word and side). In each round every task computes, for its words, the change of the class bigram likelihood
@@ -221,6 +223,106 @@ def exchange(rows: DataFrame, core: Core, rare: int, n_classes: int = CLASSES, r
     return best[1], best[2]
 
 
+def rare_places(docs: DataFrame, shared, classes: np.ndarray, n_classes: int) -> DataFrame:
+    """One row per rare token: hash of the word; classes before and after it as one number, ``n_classes`` for a rare word; the next word's hash if that is rare."""
+    of_core = docs.sparkSession.sparkContext.broadcast(np.append(classes[:-1], n_classes))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core: Core = shared.value
+        for b in batches:
+            raw = texts(b.column(0))
+            for i, j in slices(raw):
+                own, words = core.sequence(raw[i:j])
+                flat = [x for w in words for x in (*w, END)]
+                at = np.flatnonzero(own == core.size)
+                hashes = np.zeros(len(own), np.int64)
+                hashes[at] = np.fromiter((xxhash.xxh64_intdigest(flat[k], 42) for k in at.tolist()), np.uint64, len(at)).view(np.int64)
+                of = of_core.value[own]
+                before = np.r_[of_core.value[0], of[:-1]]  # an end token before the first text
+                after = at + 1  # a text ends with the end token, so that there is one
+                following = pa.array(hashes[after], mask=own[after] != core.size)
+                yield pa.record_batch([pa.array(hashes[at]), pa.array(before[at] * (n_classes + 1) + of[after], pa.int32()), following], names=["word", "pair", "following"])
+        release()
+
+    return stored(docs.select("text").mapInArrow(places, "word bigint, pair int, following bigint"))
+
+
+def placed_classes(index: np.ndarray, before: np.ndarray, after: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The class of each rare word by the criterion of ``best_classes``; the last class is the one that all are in.
+
+    One entry per token: number of its word (in order, from 0), classes before and after it. A word's neighbours fall in few classes, so
+    sums run over those alone, and equal counts share their logarithms.
+    """
+    k = len(total)
+    row, column = total.sum(1), total.sum(0)
+
+    def gains(have: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What counts gain by ``n`` more; in the last class, what it would lose without them."""
+        out = _xlogx(have + n[:, None]) - _xlogx(have)
+        out[:, -1] = _xlogx(have[:, -1]) - _xlogx(np.maximum(have[:, -1] - n, 0))
+        return out
+
+    gain = np.zeros((index[-1] + 1, k))
+    for there, table in ((after, total.T), (before, total)):
+        codes, n = np.unique(index * k + there, return_counts=True)
+        of, word = codes % k, codes // k
+        kinds, kind = np.unique(of * (1 << 40) + n, return_inverse=True)
+        own = gains(table[kinds >> 40], kinds & (1 << 40) - 1)
+        gain += np.add.reduceat(own[kind], np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
+    sizes, size = np.unique(np.bincount(index), return_inverse=True)
+    gain -= (gains(np.broadcast_to(row, (len(sizes), k)), sizes) + gains(np.broadcast_to(column, (len(sizes), k)), sizes))[size]
+    gain[:, 0] = -np.inf  # the end token's
+    return gain.argmax(1)
+
+
+def place_rare_words(places: DataFrame, total: np.ndarray, last: int) -> tuple[DataFrame, np.ndarray]:
+    """(word, class) of every rare word by hash, and the counts of class pairs that have a rare word on one side or both."""
+    k = len(total)
+    shared = places.sparkSession.sparkContext.broadcast(total)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held = np.zeros(k * k, np.int64), []
+
+        def batch(words: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+            first = np.r_[True, words[1:] != words[:-1]]
+            index = np.cumsum(first) - 1
+            before, after = codes // (k + 1), codes % (k + 1)
+            found = placed_classes(index, np.where(before == k, last, before), np.where(after == k, last, after), shared.value)
+            own = found[index]
+            pairs[:] += np.bincount((own * k + after)[after < k], minlength=k * k) + np.bincount((before * k + own)[before < k], minlength=k * k)
+            return pa.record_batch([pa.array(words[first]), pa.array(found, pa.int32()), pa.nulls(len(found), pa.int64())], names=["word", "class", "n"])
+
+        def cut(end: bool) -> Iterator[pa.RecordBatch]:
+            """What is held, but for the last word, which may go on."""
+            words, codes = (np.concatenate(c) for c in zip(*held, strict=True))
+            most = len(words) if end else int(np.searchsorted(words, words[-1]))
+            held[:] = [(words[most:], codes[most:])]
+            if most:
+                yield batch(words[:most], codes[:most])
+
+        for b in batches:
+            if b.num_rows:
+                held.append((np.asarray(b.column(0)), np.asarray(b.column(1)).astype(np.int64)))
+            if sum(len(w) for w, _ in held) > 50_000:
+                yield from cut(False)
+        if held:
+            yield from cut(True)
+        there = np.flatnonzero(pairs)
+        yield pa.record_batch([pa.nulls(len(there), pa.int64()), pa.array(there, pa.int32()), pa.array(pairs[there])], names=["word", "class", "n"])
+        release()
+
+    sorted_ = places.select("word", "pair").repartition("word").sortWithinPartitions("word")
+    found = stored(sorted_.mapInArrow(place, "word bigint, class int, n bigint"))  # rows without a word: counts of a pair of classes
+    placed = found.filter("word IS NOT NULL").select("word", "class")
+    both = places.filter("following IS NOT NULL").select("word", "following").join(placed.withColumnRenamed("class", "a"), "word")
+    both = both.join(placed.select(F.col("word").alias("following"), F.col("class").alias("b")), "following")
+    counts = both.groupBy((F.col("a") * k + F.col("b")).alias("pair")).agg(F.count("*").alias("n"))
+    counts = counts.unionByName(found.filter("word IS NULL").groupBy(F.col("class").alias("pair")).agg(F.sum("n").alias("n"))).toArrow()  # pairs of classes
+    out = np.zeros(k * k)
+    np.add.at(out, np.asarray(counts["pair"]), np.asarray(counts["n"]))
+    return placed, out.reshape(k, k)
+
+
 @dataclass
 class ClassModel:
     """Everything that scoring needs but the counts of rare words."""
@@ -242,8 +344,11 @@ class ClassModel:
         return np.log10(unigram), np.log10(np.where(seen > 0, mixed, unigram))
 
 
-def learn(docs: DataFrame, n_classes: int = CLASSES, min_share: float = MIN_SHARE, rounds: int = ROUNDS, weight: float = WEIGHT) -> tuple[ClassModel, DataFrame]:
-    """The model learned from all rows of ``docs``, and the table (word, n) of its whole vocabulary."""
+def learn(docs: DataFrame, n_classes: int = CLASSES, min_share: float = MIN_SHARE, rounds: int = ROUNDS, weight: float = WEIGHT, place_rare: bool = False) -> tuple[ClassModel, DataFrame]:
+    """The model learned from all rows of ``docs``, and the table (word, n) of its whole vocabulary.
+
+    With ``place_rare`` the table has a third column, ``class``: that of each word outside the core.
+    """
     vocabulary = stored(word_counts(docs))
     sums = vocabulary.agg(F.sum("n"), F.count("*")).first()
     tokens, words = int(sums[0] or 0), int(sums[1])
@@ -253,6 +358,11 @@ def learn(docs: DataFrame, n_classes: int = CLASSES, min_share: float = MIN_SHAR
     shared = docs.sparkSession.sparkContext.broadcast(core)
     rows, rare = neighbours(docs, shared)
     classes, total = exchange(rows, core, rare, n_classes, rounds)
+    if place_rare:
+        places = rare_places(docs, shared, classes, n_classes)
+        placed, with_rare = place_rare_words(places, total, int(classes[-1]))
+        total = class_counts(rows, np.append(classes[:-1], n_classes), n_classes + 1, rare)[:n_classes, :n_classes] + with_rare
+        vocabulary = stored(vocabulary.join(placed.withColumnRenamed("word", "hash"), F.xxhash64("word") == F.col("hash"), "left").select("word", "n", "class"))
     sizes = total.sum(0)
     shares = sizes / max(sizes.sum(), 1)
     transition = (total + n_classes * shares) / (total.sum(1, keepdims=True) + n_classes)
@@ -260,10 +370,13 @@ def learn(docs: DataFrame, n_classes: int = CLASSES, min_share: float = MIN_SHAR
 
 
 def _score_udf(model, known):
-    """Sums per text; with ``known`` (sorted hashes and counts of all words) rare words are in them, else they are listed."""
-    item = pa.struct([("hash", pa.int64()), ("history", pa.int32()), ("n", pa.int32())])
+    """Sums per text; with ``known`` (sorted hashes, counts and classes of all words) rare words are in them.
+
+    Else they are listed, and so are words after them: hash, or class and count of a core word; the hash before it, or the class of a core word.
+    """
+    item = pa.struct([("hash", pa.int64()), ("own", pa.int32()), ("seen", pa.int64()), ("before", pa.int64()), ("history", pa.int32()), ("n", pa.int32())])
 
-    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double,rare:array<struct<hash:bigint,history:int,n:int>>>")
+    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double,rare:array<struct<hash:bigint,own:int,seen:bigint,before:bigint,history:int,n:int>>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m: ClassModel = model.value
         core, rare_class = m.core, int(m.classes[-1])
@@ -273,7 +386,7 @@ def _score_udf(model, known):
             rare: list[Counter] = []
             for i, j in slices(raw, 1_000_000):
                 own, words = core.sequence(raw[i:j])
-                history, of = m.classes[np.r_[0, own[:-1]]], m.classes[own]
+                of = m.classes[own]
                 sizes = np.array([len(w) + 1 for w in words], np.int64)
                 begin = np.cumsum(sizes) - sizes
                 seen = np.append(core.counts, 0)[own].astype(np.float64)
@@ -281,24 +394,28 @@ def _score_udf(model, known):
                 doc = np.searchsorted(begin, at, "right") - 1
                 hashes = np.fromiter((xxhash.xxh64_intdigest(words[d][p], 42) for d, p in zip(doc.tolist(), (at - begin[doc]).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
                 if known is not None:
-                    keys, counts = known.value
+                    keys, counts, placed = known.value
                     if len(keys):
                         place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                         seen[at] = np.where(keys[place] == hashes, counts[place], 0)
+                        of[at] = np.where(keys[place] == hashes, placed[place], rare_class)
                     rare += [Counter()] * len(words)
-                else:
-                    found = [Counter() for _ in words]
-                    for d, h, c in zip(doc.tolist(), hashes.tolist(), history[at].tolist(), strict=True):
-                        found[d][h, c] += 1
-                    rare += found
+                history = np.r_[m.classes[0], of[:-1]]
                 base, full = m.parts(seen, m.transition[history, of], of)
                 if known is None:
-                    base[at] = full[at] = 0
+                    found = [Counter() for _ in words]
+                    hash_of = dict(zip(at.tolist(), hashes.tolist(), strict=True))
+                    listed = np.unique(np.r_[at, at + 1])  # never beyond the last end token
+                    for d, i in zip((np.searchsorted(begin, listed, "right") - 1).tolist(), listed.tolist(), strict=True):
+                        core_word = i not in hash_of
+                        found[d][hash_of.get(i), int(of[i]) if core_word else None, int(seen[i]) if core_word else None, hash_of.get(i - 1), int(history[i])] += 1
+                    rare += found
+                    base[at] = full[listed] = 0
                 for column, value in zip(sums, (np.ones(len(own), np.int64), (seen > 0).astype(np.int64), base, full), strict=True):
                     column.append(np.add.reduceat(value, begin))
             ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            flat = [(h, c, n) for r in rare for (h, c), n in r.items()]
-            columns = zip(*flat, strict=True) if flat else ((), (), ())
+            flat = [(*key, n) for r in rare for key, n in r.items()]
+            columns = zip(*flat, strict=True) if flat else ((),) * len(item)
             rows = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, item, strict=True)], fields=list(item))
             done = [pa.array(np.concatenate(c)) if c else pa.array([], t) for c, t in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
             yield pa.StructArray.from_arrays([*done, pa.ListArray.from_arrays(pa.array(ends), rows)], names=["n_tokens", "n_known", "base_score", "score", "rare"])
@@ -312,26 +429,32 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, broadcast_w
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)
     name = fresh(docs, "lm")
+    rare_class = F.lit(int(model.classes[-1]))
+    own_class = F.coalesce("class", rare_class) if "class" in vocabulary.columns else rare_class
     if model.words <= broadcast_words:
-        found = vocabulary.select(F.xxhash64("word").alias("h"), "n").toArrow()
-        keys, counts = np.asarray(found["h"]), np.asarray(found["n"])
+        found = vocabulary.select(F.xxhash64("word").alias("h"), "n", own_class.cast("smallint").alias("class")).toArrow()
+        keys, counts, placed = (np.asarray(found[c]) for c in ("h", "n", "class"))
         order = np.argsort(keys)
         counts = counts.astype(np.int32 if not len(counts) or counts.max() < 1 << 31 else np.int64)
-        known = context.broadcast((keys[order], counts[order]))
+        known = context.broadcast((keys[order], counts[order], placed[order]))
         return docs.withColumn(name, _score_udf(shared, known)("text")), name
     row, lm = f"{name}row", F.col(name)
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(name, _score_udf(shared, None)("text")))
     rare = rows.select(F.col(row).alias("row"), F.explode(f"{name}.rare").alias("r")).select("row", "r.*")
-    joined = rare.join(vocabulary.select(F.xxhash64("word").alias("hash"), F.col("n").alias("seen")), "hash", "left")
-    seen = F.coalesce("seen", F.lit(0)).cast("double")
+    known = vocabulary.select(F.xxhash64("word").alias("hash"), F.col("n").alias("known_n"), own_class.alias("known_class"))
+    joined = rare.join(known, "hash", "left").join(known.select(F.col("hash").alias("before"), F.col("known_class").alias("known_before")), "before", "left")
+    seen = F.coalesce("seen", "known_n", F.lit(0)).cast("double")
+    joined = joined.select("row", "n", F.col("hash").isNull().alias("core"), seen.alias("seen"), F.coalesce("own", "known_class", rare_class).alias("own"), F.when(F.col("before").isNull(), F.col("history")).otherwise(F.coalesce("known_before", rare_class)).alias("history"))
+    k = len(model.transition)
+    move = model.transition / np.maximum(model.class_sizes, 1) * model.weight * (1 - 0.1 / (model.tokens + 0.1 * (model.words + 1)))
+    moves = docs.sparkSession.createDataFrame([(i, j, float(move[i, j])) for i in range(k) for j in range(k)], "history int, own int, move double")
+    joined = joined.join(F.broadcast(moves), ["history", "own"])  # pairs of classes
+    seen = F.col("seen")
     unigram = (seen + 0.1) / (model.tokens + 0.1 * (model.words + 1))
-    to_rare = model.transition[:, model.classes[-1]] / max(float(model.class_sizes[model.classes[-1]]), 1.0) * model.weight
-    to_rare = to_rare * (1 - 0.1 / (model.tokens + 0.1 * (model.words + 1)))
-    own = F.element_at(F.array(*[F.lit(float(x)) for x in to_rare]), F.col("history") + 1)
     sums = joined.groupBy("row").agg(
-        F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.col("n") * F.log10(unigram)).alias("b"),
-        F.sum(F.col("n") * F.log10(F.when(seen > 0, (1 - model.weight) * unigram + own * seen).otherwise(unigram))).alias("s"),
+        F.sum(F.when(~F.col("core") & (seen > 0), F.col("n")).otherwise(0)).alias("k"),
+        F.sum(F.when(F.col("core"), 0.0).otherwise(F.col("n") * F.log10(unigram))).alias("b"),
+        F.sum(F.col("n") * F.log10(F.when(seen > 0, (1 - model.weight) * unigram + F.col("move") * seen).otherwise(unigram))).alias("s"),
     )
     out = rows.join(sums, rows[row] == sums["row"], "left")
     zero = F.lit(0.0)

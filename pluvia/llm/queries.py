@@ -35,7 +35,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 10) == 0)
-    model, vocabulary = learn(docs.filter("NOT held_out"))
+    model, vocabulary = learn(docs.filter("NOT held_out"), place_rare=True)
     out, name = score(docs, model, vocabulary)
     m = F.col(name)
     return out.select(
