@@ -17,11 +17,13 @@ Texts of at most ``SHORT`` shingles are estimated too coarsely. They stand under
 hashes in order the first n - ceil(s n) + 1, of which two sets of similarity s share one, so that these pairs all meet, and
 their distance is held against what their two sizes make likely.
 
-Keys with more than ``crowd`` members come first: they are compared in random blocks of about ``block``, which links nearly
-all of a large group by a few links for each member (``crowd_links``). What is linked has a label, and from then on only pairs of
-different labels are looked for, so that pairs of a group grow with its members and not with their square: in crowded keys all pairs
-of two labels (``crowd_pairs``), in all others a join, thinned by one further lane (3.5 standard errors above the least similarity) and the complete distance. The exact similarity
-decides. Beyond 2^27 fingerprints tables fill up and more keys are crowded, with the same result.
+Large groups come first: texts with the same smallest shingle hash, under a few orders of the hashes, are compared in random blocks of
+about ``block``, which links nearly all of a group by a few links for each member (``first_links``) before any table is made. What is linked has
+a label, and from then on only pairs of different labels are looked for, so that pairs of a group grow with its members and not with their square:
+in keys with more than ``crowd`` members all pairs of two labels (``crowd_pairs``), in all others a join, thinned by two further lanes (3.5 standard
+errors above the least similarity) and the complete distance. Members of a crowded key's most frequent label are brought together only where another of its labels
+may be near by the two labels' centres, radii and sizes, which no near pair fails. The exact similarity decides. Beyond 2^27 fingerprints tables fill up and
+more keys are crowded, with the same result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ LANES = 16
 RECALL = 0.99
 SHORT = 64
 LEAST_WIDTH, MOST_WIDTH = 20, 28
-BLOCK, CROWD, PICKS = 256, 16, 4
+BLOCK, CROWD, PICKS, ROUNDS = 256, 16, 4, 2
 
 #: Rows of text hashes and doc_ids that may be broadcast, some ten bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -73,6 +75,16 @@ def lanes_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def picks_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of ``ROUNDS * PICKS`` numbers per document: its smallest shingle hash, in so many orders. Sets share each with their similarity."""
+    out, some = np.zeros((len(counts), ROUNDS * PICKS), np.int64), counts > 0
+    starts = (np.cumsum(counts) - counts)[some]
+    for k in range(ROUNDS * PICKS if len(starts) else 0):
+        z = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((k + LANES + 1) * 0x9E3779B97F4A7C16 % (1 << 64) | 1)
+        out[some, k] = np.minimum.reduceat(z ^ (z >> np.uint64(29)), starts).view(np.int64)
+    return out
+
+
 def _set(text: bytes, n: int) -> np.ndarray:
     """The distinct shingle hashes in order."""
     return np.unique(np.array(shingle_hashes(text, n), np.uint64))
@@ -85,22 +97,24 @@ def _few(own: np.ndarray, similarity: float) -> list[int]:
 
 
 def _prints_udf(n: int, similarity: float):
-    """struct<bits, n, few>: the fingerprint, the number of distinct shingles, and the table keys of a short text."""
+    """struct<bits, n, few, picks>: the fingerprint, the number of distinct shingles, the table keys of a short text, and ``picks_of``."""
 
-    @F.arrow_udf("struct<bits:binary,n:int,few:array<bigint>>")
+    @F.arrow_udf("struct<bits:binary,n:int,few:array<bigint>,picks:array<bigint>>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             raw = texts(batch)
-            bits, sizes, few = [np.zeros((0, LANES), np.uint64)], [np.zeros(0, np.int64)], []
+            bits, sizes, few, picks = [np.zeros((0, LANES), np.uint64)], [np.zeros(0, np.int64)], [], [np.zeros((0, ROUNDS * PICKS), np.int64)]
             for a, b in slices(raw, 1_000_000):
                 own = [_set(x, n) for x in raw[a:b]]
                 counts = np.array([len(x) for x in own], np.int64)
                 bits.append(lanes_of(np.concatenate(own), counts))
+                picks.append(picks_of(np.concatenate(own), counts))
                 sizes.append(counts)
                 few += [_few(x, similarity) for x in own]
             flat = np.ascontiguousarray(np.concatenate(bits))
             fixed = pa.Array.from_buffers(pa.binary(8 * LANES), len(flat), [None, pa.py_buffer(flat)])
-            yield pa.StructArray.from_arrays([fixed.cast(pa.binary()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(few, pa.list_(pa.int64()))], names=["bits", "n", "few"])
+            chosen = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * ROUNDS * PICKS, pa.int32()), pa.array(np.concatenate(picks).ravel()))
+            yield pa.StructArray.from_arrays([fixed.cast(pa.binary()), pa.array(np.concatenate(sizes), pa.int32()), pa.array(few, pa.list_(pa.int64())), chosen], names=["bits", "n", "few", "picks"])
         release()
 
     return prints
@@ -144,16 +158,16 @@ def segment_parts(rows: np.ndarray, width: int, segments: int) -> np.ndarray:
 
 
 def _segments_udf(width: int, segments: int):
-    """struct<lane, parts>: the last lane, and the table keys (segment number and bits) of all segments."""
+    """struct<lane, more, parts>: the last two lanes, and the table keys (segment number and bits) of all segments."""
 
-    @F.arrow_udf("struct<lane:bigint,parts:array<bigint>>")
+    @F.arrow_udf("struct<lane:bigint,more:bigint,parts:array<bigint>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = _matrix(batch)
             keys = segment_parts(rows, width, segments) + (np.arange(segments) << width)
             ends = pa.array(np.arange(len(rows) + 1) * segments, pa.int32())
-            lane = pa.array(np.ascontiguousarray(rows[:, -1]).view(np.int64))
-            yield pa.StructArray.from_arrays([lane, pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "parts"])
+            lanes = [pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in (-1, -2)]
+            yield pa.StructArray.from_arrays([*lanes, pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "more", "parts"])
 
     return cut
 
@@ -213,6 +227,14 @@ def _near_udf(near: Nearness):
     return check
 
 
+def _distance_udf():
+    @F.arrow_udf("int")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.bitwise_count(_matrix(a) ^ _matrix(b)).sum(-1, dtype=np.int32))
+
+    return distance
+
+
 @dataclass
 class Block:
     """Members of a key: ids, shingle counts, labels of what they are linked with so far, fingerprints."""
@@ -299,42 +321,66 @@ def _blocks(members: DataFrame, block: int, name: str, seed: int, *keys: str) ->
     return members.groupBy(*keys, salt).agg(F.collect_list(F.struct("id", "n", "label", "bits")).alias(name)).drop("salt")
 
 
-def crowd_links(members: DataFrame, prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
-    """Links (a, b) that connect nearly all similar members of crowded keys, at most a few for each member.
+def first_links(prints: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that connect nearly all members of large groups, at most a few for each member.
 
-    Of its keys that still hold several labels each member takes the one with the smallest hash, ``PICKS`` times with another
-    hash, so that members with many common keys often take the same one. Members of a key are compared in random blocks, and only
-    what joins two labels of a block is linked. Two rounds: the first asks for a closer estimate than ``similarity``.
+    Texts with the same pick are compared in random blocks, and only what joins two labels of a block is linked. Two rounds, each with
+    ``PICKS`` picks of its own: the first asks for a closer estimate than ``similarity``, the second meets what is left in larger blocks.
     """
     full, links = prints.select("id", "n", "bits"), None
     for k, estimate in enumerate((similarity + 0.06, similarity)):
-        labelled = _labelled(members, links)
-        several = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"))
-        picks = [F.min(F.struct(F.xxhash64("key", F.lit(PICKS * k + t)).alias("hash"), F.col("key"))).alias(f"p{t}") for t in range(PICKS)]
-        pick = labelled.join(several, "key").groupBy("id").agg(F.first("label").alias("label"), *picks)
-        pick = stored(pick.select("id", "label", F.posexplode(F.array(*[F.col(f"p{t}.key") for t in range(PICKS)])).alias("time", "key")))
-        size = pick.groupBy("key", "time").agg(F.count("*").alias("rows_n")).filter("rows_n > 1")
+        pick = _labelled(prints.select("id", "picks"), links).select("id", "label", F.posexplode(F.slice("picks", PICKS * k + 1, PICKS)).alias("time", "key"))
+        size = pick.groupBy("key", "time").agg(F.count("*").alias("rows_n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         own = pick.join(size, ["key", "time"]).join(full, "id")
         udf = _forest_udf(Nearness(similarity, estimate))
-        found = _few_rows(_ordered(_blocks(own, block, "rows", 1, "key", "time").select(F.explode(udf("rows")).alias("l"))), 16)
+        found = _few_rows(_ordered(_blocks(own, block * 4**k, "rows", 1, "key", "time").select(F.explode(udf("rows")).alias("l"))), 16)
         new = verified(found.distinct())
         links = new if links is None else stored(links.unionByName(new))
     return links
 
 
-def crowd_pairs(labelled: DataFrame, prints: DataFrame, near: Nearness, shape: tuple[int, int], block: int) -> DataFrame:
+def label_spans(labelled: DataFrame) -> DataFrame:
+    """(label, centre, radius, least, most) of rows (id, label, n, bits): the label's own fingerprint, the largest distance of a member to it,
+    and the least and the largest number of shingles."""
+    centres = labelled.filter("id = label").select("label", F.col("bits").alias("centre"))
+    alone = labelled.groupBy("label").agg(F.count("*").alias("ids"), F.min("n").alias("least"), F.max("n").alias("most"))
+    wide = labelled.join(alone.filter("ids > 1").select("label"), "label", "left_semi").join(centres, "label")
+    radius = wide.groupBy("label").agg(F.max(_distance_udf()("bits", "centre")).alias("radius"))
+    spans = alone.join(centres, "label").join(radius, "label", "left")
+    return spans.select("label", "centre", F.coalesce("radius", F.lit(0)).alias("radius"), "least", "most")
+
+
+def may_be_near(pairs: DataFrame, spans: DataFrame, near: Nearness) -> DataFrame:
+    """Those of the pairs of labels (label, main) of which a member of one can be near to a member of the other.
+
+    Near members x and y are at most their limit apart, so their centres are at most that and both radii apart.
+    """
+    side = lambda p, key: spans.select(F.col("label").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("centre", "radius", "least", "most")])
+    both = pairs.join(side("a", "label"), "label").join(side("b", "main"), "main")
+    sizes = (F.col("a_most") >= F.col("b_least") * near.ratio - 1e-6) & (F.col("b_most") >= F.col("a_least") * near.ratio - 1e-6)
+    short = F.greatest("a_least", "b_least") <= SHORT
+    limit = F.when(short, max(near.distance, int(near.short.max()))).otherwise(near.distance)
+    return both.filter(sizes & (_distance_udf()("a_centre", "b_centre") <= limit + F.col("a_radius") + F.col("b_radius"))).select("label", "main")
+
+
+def crowd_pairs(places: Callable[[DataFrame], DataFrame], labelled: DataFrame, keys: DataFrame, near: Nearness, shape: tuple[int, int], block: int) -> DataFrame:
     """All near pairs (a, b) of two labels that meet in a crowded key.
 
-    For keys that still hold several labels, each member with another label than the most frequent one meets all members of other
-    labels.
+    ``places`` gives (id, label, key) of rows of ``labelled`` (id, label, n, bits). ``keys`` (key, main, main_n, probes_n) are the crowded
+    keys with several labels. In each of them every member of another label than the most frequent one, ``main``, meets all members of other labels, but
+    ``main``'s members only if its label may be near to the member's.
     """
-    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mains = counts.groupBy("key").agg(F.sum("n").alias("rows_n"), F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels"))
-    mains = stored(mains.filter("labels > 1").select("key", "rows_n", (F.col("rows_n") - F.col("m.n")).alias("probes_n"), F.col("m.label").alias("main")))
-    all_ = labelled.join(mains, "key").join(prints.select("id", "n", "bits"), "id")
-    rows = _blocks(all_, block, "rows", 2, "key")
-    probes = _blocks(all_.filter("label <> main"), block, "probes", 3, "key")
-    both = rows.join(probes, "key").join(mains.select("key", "main"), "key")
+    size, full = ["main", "probes_n", "rows_n"], labelled.select("id", "n", "bits")
+    keys = keys.select("key", "main", "probes_n", (F.col("main_n") + F.col("probes_n")).alias("rows_n"))
+    probes = stored(places(labelled).join(keys, "key").filter("label <> main").select("key", "id", "label", *size))
+    met = stored(may_be_near(probes.select("label", "main").distinct(), label_spans(labelled), near))
+    open_ = stored(probes.join(met, ["label", "main"], "left_semi").select("key", *size).distinct())
+    large = labelled.join(open_.select(F.col("main").alias("label")).distinct(), "label", "left_semi")
+    mains = places(large).join(open_, "key").filter("label = main").select("key", "id", "label", *size)
+    # a key's only probe meets nothing where main's members stay away
+    asked = stored(probes.filter("probes_n > 1").unionByName(probes.filter("probes_n = 1").join(open_.select("key"), "key", "left_semi")).join(full, "id"))
+    rows = _blocks(asked.unionByName(mains.join(full, "id")), block, "rows", 2, "key", "main")
+    both = rows.join(_blocks(asked, block, "probes", 3, "key", "main"), ["key", "main"])
     return _few_rows(_ordered(both.select(F.explode(_across_udf(near, *shape)("key", "rows", "probes", "main")).alias("l"))), 16)
 
 
@@ -353,12 +399,12 @@ def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
 def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, sets: Callable[[DataFrame], DataFrame], block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between ids that connect all similar texts which meet in a table.
 
-    ``prints`` is a written table (id: bigint, bits, n: shingles, few: keys of short texts) of ``n`` rows. ``sets`` gives
+    ``prints`` is a written table (id: bigint, bits, n: shingles, few: keys of short texts, picks) of ``n`` rows. ``sets`` gives
     (id, hashes) of a table of ids, for exact checks.
     """
     width, segments = table_shape(n, similarity, RECALL)
     share = bit_share(similarity)
-    lane_most = int(64 * share + 3.5 * math.sqrt(64 * share * (1 - share)))
+    lanes_most = int(128 * share + 3.5 * math.sqrt(128 * share * (1 - share)))
     near = Nearness(similarity, similarity - margin)
     wide = prints.filter(F.col("n") >= similarity * SHORT)  # shorter pairs meet in ``few``
     cut = stored(wide.select("id", _segments_udf(width, segments)("bits").alias("s")).select("id", "s.*"))
@@ -375,30 +421,31 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, s
         side = lambda name: known.select(F.col("id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
         return _few_rows(found.join(side("a"), "a").join(side("b"), "b").filter(_exact_udf(similarity)("a_hashes", "b_hashes")).select("a", "b"), 64)
 
-    short = prints.filter(F.size("few") > 0).select("id", "few")
-    places = entries(cut.select("id", "parts"), short)
-    crowded = stored(places.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > crowd).select("key"))
-    links, cross = None, None
+    links = first_links(prints, verified, similarity, block)
+    labelled = stored(_labelled(prints.select("id", "n", "bits", "few"), links))
+
+    def places(rows: DataFrame) -> DataFrame:
+        own = rows.select("id", "label")
+        return entries(cut.join(own, "id"), rows.filter(F.size("few") > 0).select("id", "label", "few"))
+
+    found = places(labelled).select("key", "label").repartition("key").groupBy("key", "label").agg(F.count("*").alias("n"))
+    found = found.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("m"))
+    crowded = stored(found.filter(F.col("members") > crowd).select("key", F.col("m.label").alias("main"), F.col("m.n").alias("main_n"), (F.col("members") - F.col("m.n")).alias("probes_n")))
+    rest, cross = places(labelled), None
     if not crowded.isEmpty():
-        members = stored(places.join(crowded, "key").select("id", "key"))
-        links = crowd_links(members, prints, verified, similarity, block)
-        roots = stored(components(links))
-        labelled = stored(members.join(roots, members["id"] == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label")))
-        cross = crowd_pairs(labelled, prints, near, (width, segments), block)
-        group = roots.select(F.col("node").alias("id"), F.col("root").alias("label"))
-        cut, short = cut.join(group, "id", "left"), short.join(group, "id", "left")
-        rest = entries(cut, short).join(crowded, "key", "left_anti")
-    else:
-        rest = entries(cut.withColumn("label", F.lit(None).cast("long")), short.withColumn("label", F.lit(None).cast("long")))
+        cross = crowd_pairs(lambda rows: places(rows).select("id", "label", "key"), labelled, crowded.filter("probes_n > 0"), near, (width, segments), block)
+        rest = rest.join(crowded, "key", "left_anti")
     a, b = rest.alias("a"), rest.alias("b")
-    differ = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane")))
-    alike = (F.col("a.id") < F.col("b.id")) & (F.col("a.lane").isNull() | (differ <= lane_most))  # keys of short texts have no lanes
-    alike &= F.coalesce(F.col("a.label") != F.col("b.label"), F.lit(True))
+    differ = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) + F.bit_count(F.col("a.more").bitwiseXOR(F.col("b.more")))
+    alike = (F.col("a.id") < F.col("b.id")) & (F.col("a.lane").isNull() | (differ <= lanes_most))  # keys of short texts have no lanes
+    alike &= F.col("a.label") != F.col("b.label")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    if cross is not None:
+        pairs = pairs.join(cross, ["a", "b"], "left_anti")  # what is near is known of those
     side = lambda name: prints.select(F.col("id").alias(name), F.col("bits").alias(f"{name}_bits"), F.col("n").alias(f"{name}_n"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_near_udf(near)("a_bits", "a_n", "b_bits", "b_n")).select("a", "b")
     last = verified(pairs if cross is None else pairs.unionByName(cross).distinct())
-    return last if links is None else links.unionByName(last)
+    return links.unionByName(last)
 
 
 def _few_rows(df: DataFrame, rows: int) -> DataFrame:
@@ -416,7 +463,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, margin: float, bl
     text_hash = F.xxhash64("text").alias("text_hash")
     rows = stored(docs.select("doc_id", text_hash, _prints_udf(shingle, similarity)("text").alias("p")).select("doc_id", "text_hash", "p.*"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    distinct = rows.groupBy("bits", "n").agg(F.min(row).alias("first"), F.min("text_hash").alias("text_hash"), F.min("few").alias("few"))
+    distinct = rows.groupBy("bits", "n").agg(F.min(row).alias("first"), F.min("text_hash").alias("text_hash"), F.min("few").alias("few"), F.min("picks").alias("picks"))
     prints = stored(distinct.withColumn("id", F.monotonically_increasing_id()))  # written, so that ids are fixed
 
     def sets(ids: DataFrame) -> DataFrame:
@@ -426,7 +473,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, margin: float, bl
         one = docs.select(text_hash, "text").join(hashes, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
         return one.join(needed, "text_hash").select("id", _sets_udf(shingle)("text").alias("hashes"))
 
-    links = similar_links(prints.filter("n > 0").select("id", "n", "bits", "few"), prints.count(), similarity, margin, sets, block, crowd)
+    links = similar_links(prints.filter("n > 0").select("id", "n", "bits", "few", "picks"), prints.count(), similarity, margin, sets, block, crowd)
     linked = prints.join(components(links), prints["id"] == F.col("node"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("keep"))
     of_group = linked.select("id", "root").join(smallest, "root").select("id", "keep")

@@ -581,6 +581,34 @@ def test_near_dedup_of_a_crowd(spark):
         assert got == groups_at(0.8, docs)
 
 
+def test_a_crowd_meets_only_what_may_be_near(spark, monkeypatch):
+    """Members of a large group are brought together in crowded keys only beside texts that may be near: not beside any that shares a key."""
+    rng, docs = random.Random(31), {}
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [word() for _ in range(200)]
+    for _ in range(300):
+        new = list(base)
+        new[rng.randrange(len(new))] = word()
+        docs[len(docs)] = " ".join(new)
+    for _ in range(3000):
+        docs[len(docs)] = " ".join(word() for _ in range(90))
+    met, blocks = [], similar._blocks
+
+    def counted(members, block, name, seed, *keys):
+        met.append((name, members.count()))
+        return blocks(members, block, name, seed, *keys)
+
+    monkeypatch.setattr(similar, "_blocks", counted)
+    # few bits a key, so that texts of no likeness meet in the group's keys as they do in a large corpus
+    monkeypatch.setattr(similar, "table_shape", lambda n, similarity, recall: (10, 20))
+    rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(rows, crowd=250).collect()}
+    assert len({got[i] for i in range(300)}) == 1 and len(set(got.values())) == 3001
+    all_pairs = [n for name, n in met if name == "rows"][-1]
+    probes = [n for name, n in met if name == "probes"][-1]
+    assert probes > 300 and all_pairs == probes, met
+
+
 def test_short_limits_hold_at_the_limit():
     rng, limits = np.random.default_rng(2), similar.short_limits(0.8)
     for shared, a, b in [(4, 1, 0), (8, 1, 1), (40, 5, 5), (48, 12, 0), (51, 6, 6), (1, 0, 0)]:
