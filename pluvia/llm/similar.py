@@ -20,7 +20,7 @@ their distance is held against what their two sizes make likely.
 Large groups come first: texts with the same smallest shingle hash, under a few orders of the hashes, are compared in random blocks of
 about ``block``, which links nearly all of a group by a few links for each member (``first_links``) before any table is made. What is linked has
 a label, and from then on only pairs of different labels are looked for, so that pairs of a group grow with its members and not with their square:
-in keys with more than ``crowd`` members all pairs of two labels (``crowd_pairs``), in all others a join, thinned by two further lanes (3.5 standard
+in keys with more than ``crowd`` members all pairs of two labels (``crowd_pairs``), in all others a join, thinned by three further lanes (3.5 standard
 errors above the least similarity) and the complete distance. Members of a crowded key's most frequent label are brought together only where another of its labels
 may be near by the two labels' centres, radii and sizes, which no near pair fails. The exact similarity decides. Beyond 2^27 fingerprints tables fill up and
 more keys are crowded, with the same result.
@@ -158,16 +158,16 @@ def segment_parts(rows: np.ndarray, width: int, segments: int) -> np.ndarray:
 
 
 def _segments_udf(width: int, segments: int):
-    """struct<lane, more, parts>: the last two lanes, and the table keys (segment number and bits) of all segments."""
+    """struct<lane, more, last, parts>: the last three lanes, and the table keys (segment number and bits) of all segments."""
 
-    @F.arrow_udf("struct<lane:bigint,more:bigint,parts:array<bigint>>")
+    @F.arrow_udf("struct<lane:bigint,more:bigint,last:bigint,parts:array<bigint>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = _matrix(batch)
             keys = segment_parts(rows, width, segments) + (np.arange(segments) << width)
             ends = pa.array(np.arange(len(rows) + 1) * segments, pa.int32())
-            lanes = [pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in (-1, -2)]
-            yield pa.StructArray.from_arrays([*lanes, pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "more", "parts"])
+            lanes = [pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in (-1, -2, -3)]
+            yield pa.StructArray.from_arrays([*lanes, pa.ListArray.from_arrays(ends, pa.array(keys.ravel(), pa.int64()))], names=["lane", "more", "last", "parts"])
 
     return cut
 
@@ -404,7 +404,7 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, s
     """
     width, segments = table_shape(n, similarity, RECALL)
     share = bit_share(similarity)
-    lanes_most = int(128 * share + 3.5 * math.sqrt(128 * share * (1 - share)))
+    lanes_most = int(192 * share + 3.5 * math.sqrt(192 * share * (1 - share)))
     near = Nearness(similarity, similarity - margin)
     wide = prints.filter(F.col("n") >= similarity * SHORT)  # shorter pairs meet in ``few``
     cut = stored(wide.select("id", _segments_udf(width, segments)("bits").alias("s")).select("id", "s.*"))
@@ -436,7 +436,7 @@ def similar_links(prints: DataFrame, n: int, similarity: float, margin: float, s
         cross = crowd_pairs(lambda rows: places(rows).select("id", "label", "key"), labelled, crowded.filter("probes_n > 0"), near, (width, segments), block)
         rest = rest.join(crowded, "key", "left_anti")
     a, b = rest.alias("a"), rest.alias("b")
-    differ = F.bit_count(F.col("a.lane").bitwiseXOR(F.col("b.lane"))) + F.bit_count(F.col("a.more").bitwiseXOR(F.col("b.more")))
+    differ = sum(F.bit_count(F.col(f"a.{k}").bitwiseXOR(F.col(f"b.{k}"))) for k in ("lane", "more", "last"))
     alike = (F.col("a.id") < F.col("b.id")) & (F.col("a.lane").isNull() | (differ <= lanes_most))  # keys of short texts have no lanes
     alike &= F.col("a.label") != F.col("b.label")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).filter(alike).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
