@@ -124,7 +124,7 @@ def _crowd_links(rows: DataFrame, distance: int, block: int) -> DataFrame:
     labelled = stored(rows.join(roots, rows["fp"] == F.col("node"), "left").select("fp", "seg", "key", F.coalesce("root", "fp").alias("label")))
     several = labelled.groupBy("seg", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("seg", "key")
     left = labelled.join(several, ["seg", "key"], "left_semi")
-    return within.unionByName(links_of(blocks(left, "x").join(blocks(left, "y"), ["seg", "key"]).filter("x_salt < y_salt")))
+    return within.unionByName(links_of(blocks(left, "x").join(blocks(left, "y").hint("merge"), ["seg", "key"]).filter("x_salt < y_salt")))
 
 
 def fingerprint_links(prints: DataFrame, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
@@ -148,6 +148,7 @@ def fingerprint_links(prints: DataFrame, distance: int = 3, segments: int = 2, b
         flips = F.filter(flips, lambda m: F.col("key").bitwiseAND(m) == 0)
     probes = entries.select("fp", "seg", F.explode(flips).alias("m"), "key").select(F.col("fp").alias("probe"), "seg", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
     crowded = stored(entries.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    probes = probes.hint("merge")  # some 17 rows for each value, which the planner's size of them leaves out: it would broadcast them
     near = (F.col("fp") != F.col("probe")) & (_distance(F.col("fp"), F.col("probe")) <= distance)
     if crowded.isEmpty():
         return entries.join(probes, ["seg", "key"]).filter(near).select(F.col("fp").alias("a"), F.col("probe").alias("b"))
