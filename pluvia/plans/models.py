@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import forest, samples, search
@@ -130,13 +130,17 @@ def random_forest_ratio(d) -> DataFrame:
 @query("feature_importance")
 def feature_importance(d) -> DataFrame:
     """The twenty most important features of a forest, with the spread over its trees."""
-    model = fit_forest(weighted(d))
-    trees = [t.featureImportances.toArray() for t in model.trees]
-    rows = [(f, float(model.featureImportances[i]), i) for i, f in enumerate(FEATURES)]
-    out = d.spark.createDataFrame(rows, "feature string, importance double, i int")
-    long = d.spark.createDataFrame([(i, float(t[i])) for t in trees for i in range(len(FEATURES))], "i int, v double")
-    spread = long.groupBy("i").agg(F.stddev_pop("v").alias("sd"))
-    return out.join(F.broadcast(spread), "i").drop("i").orderBy(F.desc("importance")).limit(20)  # features by trees
+    rows = weighted(d)
+    cells = celled(rows.drop("features"), "false")[1]
+    if cells is None:
+        shares = [t.featureImportances.toArray() for t in fit_forest(rows).trees]
+        long = d.spark.createDataFrame([(i, float(t[i])) for t in shares for i in range(len(FEATURES))], "i int, v double")
+    else:
+        long = forest.importances(cells, forest.Settings(TREES, DEPTH, LEAF, SHARE, weights=class_weights_of(rows)), len(FEATURES))
+    per = long.groupBy("i").agg(F.sum("v").alias("sum"), F.stddev_pop("v").alias("sd"))  # one row per feature
+    share = F.coalesce(F.try_divide(F.col("sum"), F.sum("sum").over(Window.partitionBy())), F.lit(0.0))
+    names = d.spark.createDataFrame(list(enumerate(FEATURES)), "i int, feature string")
+    return names.join(F.broadcast(per), "i").select("feature", share.alias("importance"), "sd").orderBy(F.desc("importance"), "feature").limit(20)
 
 
 @query("benchmarks", "SELECT eid, target, 1 AS always_true, 0 AS always_false FROM targets")
